@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -68,21 +69,30 @@ def event_pivot(
     have every event, as the inner join does.
     """
     keys = own_names(df, keys, "key")
-    what, when = F.col(quoted(resolve(df, event))), F.col(quoted(resolve(df, order_by)))
-    picks, checks = [], []
+    moment = resolve(df, order_by)
+    what, when = F.col(quoted(resolve(df, event))), F.col(quoted(moment))
+    picks, present, columns = [], [], []
     for i, (value, names) in enumerate(values.items()):
-        row = F.struct(*[F.col(quoted(resolve(df, c))).alias(out) for c, out in names.items()])
-        picks.append(F.max_by(F.when(what == value, row), F.when(what == value, when)).alias(f"__e{i}"))
-        checks.append(F.col(f"__e{i}").isNotNull())
+        here = what == value
+        latest = F.max(F.when(here, when))
+        picks.append(latest.alias(f"__m{i}"))
+        present.append(F.col(f"__m{i}").isNotNull())
+        own = {resolve(df, c): out for c, out in names.items()}
+        columns += [F.col(f"__m{i}").alias(out) for c, out in own.items() if c == moment]
+        others = {c: out for c, out in own.items() if c != moment}
+        # The latest moment itself is a plain maximum; a single further column
+        # still aggregates in hash tables; several must come from one row.
+        if len(others) == 1:
+            ((c, out),) = others.items()
+            picks.append(F.max_by(F.when(here, F.col(quoted(c))), F.when(here, when)).alias(f"__v{i}"))
+            columns.append(F.col(f"__v{i}").alias(out))
+        elif others:
+            row = F.struct(*[F.col(quoted(c)).alias(out) for c, out in others.items()])
+            picks.append(F.max_by(F.when(here, row), F.when(here, when)).alias(f"__v{i}"))
+            columns += [F.col(f"__v{i}.{quoted(out)}").alias(out) for out in others.values()]
     out = df.where(what.isin(list(values))).groupBy(*columns_of(keys)).agg(*picks)
     if complete:
-        for check in checks:
-            out = out.where(check)
-    columns = [
-        F.col(f"__e{i}.{quoted(name)}").alias(name)
-        for i, names in enumerate(values.values())
-        for name in names.values()
-    ]
+        out = out.where(reduce(lambda a, b: a & b, present))
     return out.select(*columns_of(keys), *columns)
 
 

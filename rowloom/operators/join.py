@@ -2,13 +2,15 @@
 
 Skew: the plans keep both join inputs as plain shuffles and use join types whose
 hot partitions adaptive execution can split.  A full outer join cannot be split,
-so it is planned as a left outer join plus the unmatched right rows.
+so it is planned as a left outer join plus the unmatched right rows; an outer join
+whose optional side has hot keys sends those through an inner join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -22,6 +24,7 @@ from rowloom.functions.values import (
     resolve,
     to_type,
 )
+from rowloom.operators.skew import GROUP_ROWS, hot_keys
 
 JOIN_TYPES = ("INNER", "LEFT OUTER", "RIGHT OUTER", "FULL OUTER")
 _MATCHED = "__matched"
@@ -41,17 +44,28 @@ def check_columns(df: DataFrame) -> None:
         seen[c.lower()] = c
 
 
-def key_condition(left: Field | None, right: Field | None) -> Column:
-    """Equality of one key: NULL, missing and empty text all match each other."""
+class Key(NamedTuple):
+    """One join key, brought to one type on both sides."""
+
+    left: Column
+    right: Column
+    null_safe: bool
+
+    @property
+    def condition(self) -> Column:
+        return self.left.eqNullSafe(self.right) if self.null_safe else self.left == self.right
+
+
+def join_key(left: Field | None, right: Field | None) -> Key:
+    """NULL, missing and empty text all match each other."""
     left, right = left or null_field(), right or null_field()
-    if left.text and right.text:
-        return F.coalesce(left.col, F.lit("")) == F.coalesce(right.col, F.lit(""))
-    if left.type == right.type:
-        return left.col.eqNullSafe(right.col)
+    if left.type == right.type and not left.text:
+        return Key(left.col, right.col, True)
     if left.numeric and right.numeric or left.moment and right.moment:
         shared = common_type(left.type, right.type)
-        return left.col.cast(shared).eqNullSafe(right.col.cast(shared))
-    return F.coalesce(as_text(left), F.lit("")) == F.coalesce(as_text(right), F.lit(""))
+        return Key(left.col.cast(shared), right.col.cast(shared), True)
+    empty = F.lit("")
+    return Key(F.coalesce(as_text(left), empty), F.coalesce(as_text(right), empty), False)
 
 
 def _output(left: DataFrame, right: DataFrame, matched: Column | None) -> list[Column]:
@@ -72,36 +86,75 @@ def _output(left: DataFrame, right: DataFrame, matched: Column | None) -> list[C
     return out + [F.col(f"r.{quoted(c)}").alias(c) for c in new]
 
 
-def merge_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str] = (), how: str = "INNER") -> DataFrame:
-    """Join two inputs on equally named keys; no keys means the cross product."""
+def merge_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: str | Sequence[str] = (),
+    how: str = "INNER",
+    hot_rows: int | None = GROUP_ROWS,
+) -> DataFrame:
+    """Join two inputs on equally named keys; no keys means the cross product.
+
+    Outer joins first look for keys with more than ``hot_rows`` rows on the side
+    that adaptive execution cannot split; None skips that look.
+    """
     if how not in JOIN_TYPES:
         raise ValueError(f"unknown join type {how!r}; known: {list(JOIN_TYPES)}")
     check_columns(left)
     check_columns(right)
     names = split_names(keys)
-    l = left.alias("l")
     if not names:
-        return l.crossJoin(right.alias("r")).select(*_output(left, right, None))
-    condition = reduce(
-        lambda a, b: a & b,
-        [key_condition(field(left, k, "l"), field(right, k, "r")) for k in names],
-    )
-    if how in ("INNER", "RIGHT OUTER"):
-        kind = "inner" if how == "INNER" else "right"
-        return l.join(right.alias("r"), condition, kind).select(*_output(left, right, None))
-    r = right.withColumn(_MATCHED, F.lit(True)).alias("r")
-    matched = F.col(f"r.{_MATCHED}")
-    out = l.join(r, condition, "left").select(*_output(left, right, matched))
-    if how == "LEFT OUTER":
-        return out
-    unmatched = right.alias("r").join(l, condition, "left_anti").alias("r")
+        return left.alias("l").crossJoin(right.alias("r")).select(*_output(left, right, None))
+    pairs = [join_key(field(left, k, "l"), field(right, k, "r")) for k in names]
+    if how == "INNER":
+        return _joined(left, right, pairs, "inner")
+    if how == "RIGHT OUTER":
+        return _outer(left, right, pairs, "right", hot_rows)
+    out = _outer(left, right, pairs, "left", hot_rows)
+    return out if how == "LEFT OUTER" else out.union(_unmatched(left, right, pairs))
+
+
+def _joined(left: DataFrame, right: DataFrame, pairs: list[Key], how: str) -> DataFrame:
+    on = reduce(lambda a, b: a & b, [p.condition for p in pairs])
+    if how == "left":
+        marked = right.withColumn(_MATCHED, F.lit(True)).alias("r")
+        return left.alias("l").join(marked, on, how).select(*_output(left, right, F.col(f"r.{_MATCHED}")))
+    return left.alias("l").join(right.alias("r"), on, how).select(*_output(left, right, None))
+
+
+def _outer(left: DataFrame, right: DataFrame, pairs: list[Key], how: str, hot_rows: int | None) -> DataFrame:
+    """Adaptive execution splits hot keys of the preserved side only.  Keys that
+    are hot on the other side certainly match there, so their rows need no outer
+    join: they go through an inner join, which can be split on both sides."""
+    other = [p.right if how == "left" else p.left for p in pairs]
+    side = right.alias("r") if how == "left" else left.alias("l")
+    streams = left.isStreaming or right.isStreaming
+    hot = hot_keys(side, other, None if streams else hot_rows)
+    if hot is None:
+        return _joined(left, right, pairs, how)
+
+    def part(df: DataFrame, alias: str, columns: list[Column], kind: str) -> DataFrame:
+        listed = F.broadcast(hot.alias("h"))
+        on = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(f"h.k{i}")) for i, c in enumerate(columns)])
+        return df.alias(alias).join(listed, on, kind)
+
+    def both(kind: str) -> tuple[DataFrame, DataFrame]:
+        return part(left, "l", [p.left for p in pairs], kind), part(right, "r", [p.right for p in pairs], kind)
+
+    return _joined(*both("left_anti"), pairs, how).union(_joined(*both("left_semi"), pairs, "inner"))
+
+
+def _unmatched(left: DataFrame, right: DataFrame, pairs: list[Key]) -> DataFrame:
+    """Right rows without a left row, in the output's shape."""
+    known = left.alias("l").select(*[p.left.alias(f"k{i}") for i, p in enumerate(pairs)]).distinct().alias("k")
+    on = reduce(lambda a, b: a & b, [p.right.eqNullSafe(F.col(f"k.k{i}")) for i, p in enumerate(pairs)])
     columns = []
     for c in left.columns:
         mine, other = field(left, c), field(right, c, "r")
         value = F.lit(None).cast(mine.type) if other is None else to_type(other, common_type(mine.type, other.type))
         columns.append(value.alias(c))
     columns += [F.col(f"r.{quoted(c)}") for c in right.columns if resolve(left, c) is None]
-    return out.union(unmatched.select(*columns))
+    return right.alias("r").join(known, on, "left_anti").alias("r").select(*columns)
 
 
 def merge_join_inputs(inputs: Sequence[DataFrame], keys: str | Sequence[str] = (), how: str = "INNER") -> DataFrame:

@@ -29,13 +29,22 @@ from rowloom.operators.keyed import (
 _ORDER = "__order"
 
 
-def _update_names(source: DataFrame, keys: list[str], update_fields: str | Sequence[str] | None) -> list[str]:
-    """Given fields, or every non-key column of the source."""
-    chosen = split_names(update_fields) if update_fields is not None else []
-    if chosen or (update_fields is not None and not isinstance(update_fields, str)):
-        return chosen
+def _update_names(
+    target: DataFrame,
+    source: DataFrame,
+    keys: list[str],
+    update_fields: str | Sequence[str] | None,
+    order_by: str | Sequence[str],
+) -> list[str]:
+    """Given fields, or every non-key column of the source; a column that only
+    orders the source rows is not one."""
+    if update_fields is not None:
+        chosen = split_names(update_fields)
+        if chosen or not isinstance(update_fields, str):
+            return chosen
     low = {k.lower() for k in keys}
-    return [c for c in source.columns if c.lower() not in low]
+    ordering = {o.lower() for o in split_names(order_by) if resolve(target, o) is None}
+    return [c for c in source.columns if c.lower() not in low | ordering]
 
 
 def _changes(
@@ -120,7 +129,7 @@ def upsert(
     """
     names = _prepare(target, source, keys, "upsert")
     own_names(source, names, "key")
-    given = [u for u in _update_names(source, names, update_fields) if resolve(source, u)]
+    given = [u for u in _update_names(target, source, names, update_fields, order_by) if resolve(source, u)]
     written = own_names(target, given, "column")
     updates = [u for u in written if u not in names]
     once, loose = _changes(target, source, names, updates, order_by, assume_unique)
@@ -159,7 +168,7 @@ def update_matched(
     names = _prepare(target, source, keys, "update")
     if any(resolve(source, k) is None for k in names):
         return target
-    fields = own_names(target, _update_names(source, names, update_fields), "column")
+    fields = own_names(target, _update_names(target, source, names, update_fields, order_by), "column")
     fields = [f for f in fields if f not in names]
     if not fields:
         return target
@@ -198,7 +207,7 @@ def upsert_counts(
     """One row: ``processed`` source rows, keys ``inserted`` / ``updated`` /
     ``unchanged``.  Rows with a NULL key count as inserted."""
     names = _prepare(target, source, keys, "upsert")
-    given = [u for u in _update_names(source, names, update_fields) if resolve(source, u)]
+    given = [u for u in _update_names(target, source, names, update_fields, order_by) if resolve(source, u)]
     updates = [u for u in own_names(target, given, "column") if u not in names]
     once, loose = _changes(target, source, names, updates, order_by, assume_unique)
     old = target.where(all_present(names)).select(*columns_of([*names, *updates]), F.lit(True).alias("__old"))

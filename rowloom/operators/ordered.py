@@ -4,8 +4,8 @@ running count, and a global row number.
 A window hands each group to one task.  Where one group may hold a large share of
 all rows, the group is first cut along its order into cells: the window runs on
 (group, cell), and only the rows at the cell edges look across, through a table
-with one row per cell of a hot group.  That table and the list of hot groups are
-bounded by ``MAX_CELLS``, so they can be broadcast whatever the size of the data.
+with one row per cell of a hot group.  Hot groups together have at most twice
+``skew.MAX_HOT`` cells, so that table can be broadcast whatever the size of the data.
 """
 
 from __future__ import annotations
@@ -19,11 +19,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowloom.functions.values import Field, micros_between, quoted
 from rowloom.operators.keyed import columns_of, own_names
+from rowloom.operators.skew import GROUP_ROWS, hot_hashes
 from rowloom.sources.scratch import ensure_checkpoint_dir
 
-GROUP_ROWS = 5_000_000
-MAX_CELLS = 20_000
-_TRACKED = 100_000
 _CELL, _HASH, _PIECES = "__cell", "__hash", "__pieces"
 
 
@@ -41,34 +39,28 @@ def _position(df: DataFrame, name: str) -> Column | None:
 def _cut(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], group_rows: int | None) -> DataFrame | None:
     """``df`` with a cell per row, or None when no group is hot.
 
-    Hot groups are found with a frequent-items sketch (one narrow scan, no
-    shuffle of keys); the cut points are quantiles of the hot rows' positions.
-    Both are fixed numbers afterwards, so every use of the cells agrees, also
+    The cut points are quantiles of the hot rows' positions.  They and the hot
+    groups are fixed numbers afterwards, so every use of the cells agrees, also
     when lost tasks are run again.
     """
     position = _position(df, order_by[0]) if order_by else None
-    if df.isStreaming or not group_rows or position is None:
-        return None
-    hashed = df.select(F.xxhash64(*columns_of(keys)).alias("h"), position.alias("p"))
-    total, top = hashed.agg(
-        F.count(F.lit(1)), F.expr(f"approx_top_k(h, {MAX_CELLS}, {_TRACKED})")
-    ).first()
-    limit = max(group_rows, total // MAX_CELLS)
-    pieces = {r["item"]: math.ceil(r["count"] / limit) for r in top or [] if r["count"] > limit}
-    if not pieces:
+    hot = None if position is None else hot_hashes(df, columns_of(keys), group_rows)
+    if hot is None:
         return None
+    pieces = {h: math.ceil(n / hot.limit) for h, n in hot.counts.items()}
     most = max(pieces.values())
     cuts = (
-        hashed.where(F.col("h").isin(list(pieces)))
+        df.select(F.xxhash64(*columns_of(keys)).alias("h"), position.alias("p"))
+        .where(F.col("h").isin(list(pieces)))
         .agg(F.percentile_approx("p", [i / most for i in range(1, most)], max(10_000, 20 * most)))
         .first()[0]
     )
     edges = [-math.inf, *sorted(set(cuts or [])), math.inf]
     if len(edges) < 3:
         return None
-    hot = df.sparkSession.createDataFrame(list(pieces.items()), f"{_HASH} bigint, {_PIECES} int")
+    listed = df.sparkSession.createDataFrame(list(pieces.items()), f"{_HASH} bigint, {_PIECES} int")
     tagged = df.withColumns({_HASH: F.xxhash64(*columns_of(keys)), "__p": position})
-    tagged = tagged.join(F.broadcast(hot), _HASH, "left")
+    tagged = tagged.join(F.broadcast(listed), _HASH, "left")
     slots = Bucketizer(splits=edges, inputCol="__p", outputCol="__slot", handleInvalid="keep").transform(tagged)
     share = F.floor(F.col("__slot") * F.col(_PIECES) / F.lit(float(len(edges) - 1)))
     cell = F.when(F.col(_PIECES).isNull(), 0).when(F.col("__p").isNull(), -1).otherwise(share)

@@ -169,10 +169,10 @@ dept=01"""
 
 @query(
     "vars_per_date",
-    """WITH o AS (SELECT o_orderkey, o_orderdate AS at, CAST(o_orderdate AS DATE) AS d FROM orders)
+    """WITH o AS (SELECT o_orderkey, o_orderdate AS moment, CAST(o_orderdate AS DATE) AS d FROM orders)
        SELECT o_orderkey,
          strftime(d, '%Y/%m/%d') AS today,
-         strftime(at, '%Y/%m/%d %H:%M:%S') AS now,
+         strftime(moment, '%Y/%m/%d %H:%M:%S') AS now,
          strftime(d - 1, '%Y/%m/%d') AS yesterday,
          strftime(d - 45, '%Y/%m/%d') AS back,
          strftime(d + 10, '%Y/%m/%d') AS ahead,
