@@ -46,8 +46,8 @@ def read_delimited(
     """Text columns, named by the header or ``Column1``, ``Column2`` ...
 
     An empty field is empty text; a field the line does not have is NULL; fields
-    beyond the header are dropped.  Quotes mean something only when the delimiter
-    is a comma.  One small job reads the first line to fix the schema, so the
+    beyond the header are dropped, and so are lines of nothing but white space.
+    Quotes mean something only when the delimiter is a comma.  One small job reads the first line to fix the schema, so the
     files themselves are read once.
     """
     sep = delimiter or DELIMITERS.get(format, ",")
