@@ -47,7 +47,7 @@ def _as_moments(op: str, left: Column, right: Column) -> Column:
     return F.lit(False) if op == "contains" else _apply(op, left, right)
 
 
-def compare_literal(op: str, left: Field, value: str, textual_equality: bool = False) -> Column:
+def compare_literal(op: str, left: Field, value: str) -> Column:
     """``left op 'value'``; the literal is read once here, so that the remaining
     predicate is simple enough to be pushed into the scan."""
     at, amount = literal_moment(value), literal_number(value)
@@ -58,30 +58,43 @@ def compare_literal(op: str, left: Field, value: str, textual_equality: bool = F
             return _as_moments(op, column, F.lit(at.isoformat(sep=" ")).cast(target))
         return _as_words(op, as_text(left), F.lit(value))
     if left.numeric:
-        if amount is not None and op in ORDER:
-            return _apply(op, left.col, _number_literal(left, amount))
-        if amount is not None and op in EQUALITY and not textual_equality:
-            return _apply(op, left.col, _number_literal(left, amount))
-        return _as_words(op, as_text(left), F.lit(value))
+        if amount is None or op == "contains":
+            return _as_words(op, as_text(left), F.lit(value))
+        if op in EQUALITY and not isinstance(left.type, T.DecimalType):
+            return _equals_number_text(op, left, amount, value)
+        return _apply(op, left.col, _number_literal(left, amount))
     if not left.text:
         return _as_words(op, as_text(left), F.lit(value))
     words = _as_words(op, left.col, F.lit(value))
+    # A comparison with an unreadable text is NULL, which passes on to the next
+    # reading; the text is parsed once only.
     if amount is not None and op in ORDER:
-        read = number(left)
-        return F.when(read.isNotNull(), _apply(op, read, F.lit(amount))).otherwise(words)
+        return F.coalesce(_apply(op, number(left), F.lit(amount)), words)
+    if at is not None and op == "contains":
+        return words & moment(left).isNull()
     if at is not None:
-        read = moment(left)
         target = F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
-        return F.when(read.isNotNull(), _as_moments(op, read, target)).otherwise(words)
+        return F.coalesce(_apply(op, moment(left), target), words)
     return words
 
 
 def _number_literal(left: Field, amount: float) -> Column:
-    if left.integral and amount == int(amount) and abs(amount) < 2**31:
+    if left.integral and abs(amount) < 2**31 and amount == int(amount):
         return F.lit(int(amount))
     return F.lit(amount)
 
 
+def _equals_number_text(op: str, left: Field, amount: float, value: str) -> Column:
+    """Equality is textual: ``5`` is a number's text, ``5.0`` and ``05`` are of none.
+    Which of these the literal is, is known here, so the scan compares numbers."""
+    if not (amount == 0 or 1e-4 <= abs(amount) < 1e15):
+        return _as_words(op, as_text(left), F.lit(value))
+    plain = str(int(amount)) if amount == int(amount) else repr(amount)
+    if plain == value:
+        return _apply(op, left.col, _number_literal(left, amount))
+    return F.lit(False) if op == "equals" else left.col.isNotNull()
+
+
 def compare_fields(op: str, left: Field, right: Field, textual_equality: bool = False) -> Column:
     """``left op right`` for two columns; NULL on either side gives NULL."""
     if left.numeric and right.numeric and op != "contains":
@@ -93,17 +106,16 @@ def compare_fields(op: str, left: Field, right: Field, textual_equality: bool =
     readable_as_number = (left.numeric or left.text) and (right.numeric or right.text)
     if left.moment and right.moment:
         return _as_moments(op, moment(left), moment(right))
-    rule: list[tuple[Column, Column]] = []
+    if op == "contains":
+        if not readable_as_moment:
+            return words
+        return words & (moment(left).isNull() | moment(right).isNull())
+    readings = []
     if readable_as_moment:
-        a, b = moment(left), moment(right)
-        rule.append((a.isNotNull() & b.isNotNull(), _as_moments(op, a, b)))
+        readings.append(_apply(op, moment(left), moment(right)))
     if readable_as_number and op in ORDER:
-        a, b = number(left), number(right)
-        rule.append((a.isNotNull() & b.isNotNull(), _apply(op, a, b)))
-    out = words
-    for test, outcome in reversed(rule):
-        out = F.when(test, outcome).otherwise(out)
-    return out
+        readings.append(_apply(op, number(left), number(right)))
+    return F.coalesce(*readings, words)
 
 
 def values_equal(
@@ -136,9 +148,9 @@ def _cells_equal(left: Field, right: Field, ignore_case: bool, trim: bool) -> Co
     words = words_a == words_b
     if not ((left.numeric or left.text) and (right.numeric or right.text)):
         return words
-    x, y = decimal_number(left), decimal_number(right)
     # Equal texts are equal under either reading; only unequal ones are parsed.
-    return F.when(a == b, F.lit(True)).when(x.isNotNull() & y.isNotNull(), x == y).otherwise(words)
+    as_numbers = decimal_number(left) == decimal_number(right)
+    return F.when(a == b, F.lit(True)).otherwise(F.coalesce(as_numbers, words))
 
 
 def _close_doubles(a: Column, b: Column) -> Column:

@@ -35,7 +35,7 @@ def predicate(
     if right:
         other = field(df, right)
         return F.lit(False) if other is None else compare_fields(op, left, other, textual_equality)
-    return compare_literal(op, left, value, textual_equality)
+    return compare_literal(op, left, value)
 
 
 def filter_rows(df: DataFrame, name: str, op: str = "equals", value: str = "", right: str = "", **kw) -> DataFrame:

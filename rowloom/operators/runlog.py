@@ -15,15 +15,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowloom.functions.values import micros_between
 from rowloom.operators.ordered import GROUP_ROWS, with_next, with_running_count
 
-# The line formats of a run log, its level marks, the note of a
-# cancelled step, and the status names.
-STEP_START = r"^\[([^\]]+)\]\s*実行中"
-STEP_DONE = r"^\[([^\]]+)\]\s*完了\s*\((\d+)行\)"
-STEP_ERROR = r"^\[([^\]]+)\]\s*エラー:\s*(.+)$"
-STEP_CANCEL = r"^\[([^\]]+)\]\s*キャンセル"
+# The words and forms of a run log's event lines, which follow the
+# step name in brackets; its level marks; the note of a cancelled step; and the
+# status names.
+START_WORD, DONE_WORD, ERROR_WORD, CANCEL_WORD = "実行中", "完了", "エラー:", "キャンセル"
+DONE_ROWS = r"^完了\s*\((\d+)行\)"
+ERROR_TEXT = r"^エラー:\s*(.+)$"
+BLANKS = " \t\n\x0b\f\r"
 ERROR_MARKS = ("エラー:", "===== エラー")
 WARN_START, WARN_MARK = "警告", "警告:"
-CANCEL_NOTE = "キャンセル"
 RUNNING, SUCCESS, FAILED, CANCELLED = "Running", "Success", "Failed", "Cancelled"
 
 
@@ -40,23 +40,36 @@ def with_levels(logs: DataFrame) -> DataFrame:
 
 def parse_events(logs: DataFrame) -> DataFrame:
     """Log lines with ``kind`` (start / done / error / cancel, else NULL),
-    ``step_name``, ``row_count`` and ``error_message``."""
-    m = F.col("message")
-    kind = (
-        F.when(m.rlike(STEP_START), F.lit("start"))
-        .when(m.rlike(STEP_DONE), F.lit("done"))
-        .when(m.rlike(STEP_ERROR), F.lit("error"))
-        .when(m.rlike(STEP_CANCEL), F.lit("cancel"))
+    ``step_name``, ``row_count`` and ``error_message``.
+
+    Lines are told apart by plain text tests; a pattern is matched only on lines
+    that report a row count or an error.  The one-element explode makes a message
+    that is itself computed be computed once, not once per test.
+    """
+    m, rest, kind = F.col("__line"), F.col("__rest"), F.col("kind")
+    closing = F.instr(m, "]")
+    named = m.startswith("[") & (closing > 2)
+    after = F.when(named, F.ltrim(F.substring(m, closing + 1, F.length(m)), F.lit(BLANKS)))
+    counted = F.when(rest.startswith(DONE_WORD), F.regexp_extract(rest, DONE_ROWS, 1))
+    failed = F.when(rest.startswith(ERROR_WORD), F.regexp_extract(rest, ERROR_TEXT, 1))
+    found = (
+        F.when(rest.startswith(START_WORD), F.lit("start"))
+        .when(counted != "", F.lit("done"))
+        .when(failed != "", F.lit("error"))
+        .when(rest.startswith(CANCEL_WORD), F.lit("cancel"))
     )
-    k = F.col("kind")
-    return logs.withColumn("kind", kind).withColumns(
-        {
-            "step_name": F.when(k.isNotNull(), F.regexp_extract(m, r"^\[([^\]]+)\]", 1)),
-            "row_count": F.when(k == "done", F.regexp_extract(m, STEP_DONE, 2).try_cast("bigint")),
-            "error_message": F.when(k == "error", F.regexp_extract(m, STEP_ERROR, 2)).when(
-                k == "cancel", F.lit(CANCEL_NOTE)
-            ),
-        }
+    return (
+        logs.withColumn("__line", F.explode(F.array("message")))
+        .withColumn("__rest", after)
+        .withColumn("kind", found)
+        .withColumns(
+            {
+                "step_name": F.when(kind.isNotNull(), F.substring(m, F.lit(2), closing - 2)),
+                "row_count": F.when(kind == "done", counted.try_cast("bigint")),
+                "error_message": F.when(kind == "error", failed).when(kind == "cancel", F.lit(CANCEL_WORD)),
+            }
+        )
+        .drop("__line", "__rest")
     )
 
 

@@ -82,8 +82,9 @@ def test_number_columns(spark):
     ids = lambda *a, **k: [r[0] for r in rows(filter_rows(df, *a, **k).select("id"))]
     assert ids("d", "equals", "5") == [1]
     assert ids("d", "greaterThan", "5") == [2]
-    assert ids("d", "equals", "5.0", textual_equality=True) == []
-    assert ids("d", "equals", "5", textual_equality=True) == [1]
+    assert ids("d", "equals", "5.0") == ids("id", "equals", "01") == ids("id", "equals", " 1") == []
+    assert ids("d", "notEquals", "5.0") == [1, 2] and ids("d", "notEquals", "7.5") == [1]
+    assert ids("d", "equals", "7.5") == [2] and ids("id", "greaterThan", "1e400") == []
     assert ids("d", "contains", ".5") == [2]
     assert ids("id", "lessThan", right="d") == [1, 2]
 
