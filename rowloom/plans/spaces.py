@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from rowloom.operators import merge
 from rowloom.sinks import external
 from rowloom.sinks.tables import append_jdbc
-from rowloom.sources.jdbc import JdbcConnection, read_jdbc
-from rowloom.sources.sqlstep import exec_sql, has_named, sql_each_row, sql_input
+from rowloom.sources.jdbc import JdbcConnection, lookup_each_row, read_jdbc
+from rowloom.sources.sqlstep import exec_sql, sql_each_row, sql_input
 
 Action = Callable[[], object]
 
@@ -62,17 +62,19 @@ class SessionSpace:
 
 @dataclass
 class JdbcSpace:
-    """An external database: reads through JDBC, keyed changes through DB-API
-    connections opened inside the tasks."""
+    """An external database: reads through JDBC; lookups per row and keyed changes
+    through DB-API connections that ``connect`` opens inside the tasks."""
 
     spark: SparkSession
     connection: JdbcConnection
     connect: Callable[[], object] | None = None
 
     def query(self, sql: str, rows: DataFrame | None, each_row: bool) -> DataFrame:
-        if has_named(sql) or each_row:
-            raise ValueError("load the table into the session first; parameters are bound there")
-        return read_jdbc(self.spark, self.connection, sql=sql)
+        if each_row and rows is not None:
+            # Every column NULL: the database still tells the result's columns.
+            shape = read_jdbc(self.spark, self.connection, sql=sql, params=dict.fromkeys(rows.columns)).schema
+            return lookup_each_row(rows, self.connect, self.connection.kind, sql, shape)
+        return read_jdbc(self.spark, self.connection, sql=sql, params=rows)
 
     def execute(self, sql: str, rows: DataFrame | None, each_row: bool) -> list[Action]:
         if each_row and rows is not None:

@@ -17,7 +17,7 @@ from rowloom.plans.spaces import SessionSpace
 from rowloom.sinks.files import write_delimited
 from rowloom.sources.files import read_delimited
 from rowloom.sources.variables import set_variables
-from rowloom.sources.workbooks import read_workbooks, workbook_table
+from rowloom.sources.workbooks import parse_workbooks, workbook_files, workbook_headers, workbook_table
 
 OUT = ""
 Ports = dict[str, DataFrame]
@@ -143,9 +143,10 @@ def file_input(ctx, inputs, s):
                 ctx.spark, path, kind, header, text(s, "Delimiter"), text(s, "Encoding", "UTF-8"), most
             )
         }
-    cells = read_workbooks(ctx.spark, path, text(s, "SheetName"), header)
-    columns = join.split_names(text(s, "Columns"))
-    return {OUT: workbook_table(cells, columns, most) if columns else cells}
+    files, sheet = workbook_files(ctx.spark, path), text(s, "SheetName")
+    columns = join.split_names(text(s, "Columns")) or workbook_headers(files, sheet, header)
+    table = workbook_table(parse_workbooks(files, sheet, header), columns)
+    return {OUT: (table.limit(most) if most else table).drop("path", "row_no")}
 
 
 @step("ExcelOutput")

@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, Row, functions as F
 from rowloom.functions.values import resolve
 from rowloom.operators.join import split_names
 from rowloom.operators.keyed import COPIES, all_present, columns_of, one_per_key, own_names, require_order
+from rowloom.sources.jdbc import MARKS
 
-# How each database quotes names, marks parameters and merges.
+# How each database quotes names and merges.
 QUOTES = {
     "oracle": ("", ""),
     "mysql": ("`", "`"),
@@ -27,14 +28,6 @@ QUOTES = {
     "sqlserver": ("[", "]"),
     "sqlite": ('"', '"'),
 }
-MARKS = {
-    "oracle": ":{n}",
-    "mysql": "%s",
-    "mariadb": "%s",
-    "postgresql": "%s",
-    "sqlserver": "?",
-    "sqlite": "?",
-}
 MERGE_STYLE = {
     "oracle": "merge",
     "mysql": "duplicate",

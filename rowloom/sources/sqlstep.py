@@ -22,7 +22,7 @@ def has_named(sql: str) -> bool:
     return re.search(NAMED, sql) is not None
 
 
-def _values(params: DataFrame | Mapping | Sequence | None) -> tuple[list[str], list]:
+def parameter_row(params: DataFrame | Mapping | Sequence | None) -> tuple[list[str], list]:
     """Names and values of the parameter row; of a frame only the first row."""
     if params is None:
         return [], []
@@ -44,10 +44,10 @@ def sql_input(spark: SparkSession, sql: str, params: DataFrame | Mapping | Seque
     """
     text = trim_statement(sql)
     if has_named(text):
-        names, values = _values(params)
+        names, values = parameter_row(params)
         return spark.sql(re.sub(NAMED, r":\1", text), args=dict(zip(names, values)))
     if "?" in text and params is not None:
-        return spark.sql(text, args=_values(params)[1])
+        return spark.sql(text, args=parameter_row(params)[1])
     return spark.sql(text)
 
 
@@ -68,7 +68,10 @@ def sql_each_row(spark: SparkSession, sql: str, rows: DataFrame, check_empty: bo
         columns = iter(rows.columns)
         text = re.sub(r"\?", lambda m: f"{outer}.{quoted(next(columns))}", text)
     rows.createOrReplaceTempView(outer)
-    return spark.sql(f"SELECT q.* FROM {outer}, LATERAL ({text}) AS q")
+    try:
+        return spark.sql(f"SELECT q.* FROM {outer}, LATERAL ({text}) AS q")
+    finally:
+        spark.catalog.dropTempView(outer)
 
 
 def sql_columns(spark: SparkSession, sql: str) -> list[tuple[str, str]]:

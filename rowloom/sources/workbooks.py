@@ -167,6 +167,13 @@ def read_workbooks(spark: SparkSession, path: str, sheet: str = "", header: bool
     return parse_workbooks(workbook_files(spark, path), sheet, header)
 
 
+def workbook_headers(files: DataFrame, sheet: str = "", header: bool = True) -> list[str]:
+    """Column names of one workbook, in order; only that file is parsed."""
+    cells = parse_workbooks(files.limit(1), sheet, header)
+    titles = cells.groupBy("header").agg(F.min("col_no").alias("first")).orderBy("first")
+    return [r["header"] for r in titles.collect()]
+
+
 def workbook_table(cells: DataFrame, columns: Sequence[str], max_rows: int = 0) -> DataFrame:
     """One row per sheet row, with the named headers as text columns."""
     picks = [F.max(F.when(F.col("header") == c, F.col("value"))).alias(c) for c in columns]

@@ -196,3 +196,45 @@ def test_append_table(spark):
             append_table(spark.createDataFrame([(3, 4)], "id int, w int"), name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+class Answers(Recorder):
+    """Answers every question with two rows made of its parameters."""
+
+    def execute(self, statement, params):
+        self._log([statement, params])
+        self.rows = [(params[0] * 10, "x"), (params[0] * 10 + 1, None)] if params[0] != 2 else []
+
+    def fetchmany(self, n):
+        out, self.rows = self.rows[:n], self.rows[n:]
+        return out
+
+
+def test_lookup_asks_once_per_row(spark, tmp_path):
+    from rowloom.sources.jdbc import lookup_each_row
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, w string")
+    sql = "SELECT v, s FROM t WHERE w = :{w} AND id = :{id};"
+    got = lookup_each_row(rows.select("id", "w"), partial(Answers, str(tmp_path)), "oracle", "SELECT v, s FROM t WHERE id = ? AND w = ?;", "v long, s string", fetch=1)
+    assert sorted(map(tuple, got.collect())) == [(10, "x"), (11, None), (30, "x"), (31, None)]
+    asked = [kind for kind, _ in recorded(tmp_path)]
+    assert sorted(asked, key=str)[0] == ["SELECT v, s FROM t WHERE id = :1 AND w = :2", [1, "a"]]
+    named = lookup_each_row(rows.selectExpr("w", "id"), partial(Answers, str(tmp_path)), "mysql", sql.replace("w = :{w} AND ", ""), "v long, s string")
+    assert named.count() == 4
+
+
+def test_literals_for_jdbc_queries():
+    from datetime import datetime
+
+    from rowloom.sources.jdbc import bound_sql, literal
+
+    at = datetime(2026, 1, 2, 3, 4, 5)
+    assert literal(at, "oracle") == "TIMESTAMP '2026-01-02 03:04:05'"
+    assert literal(at, "sqlserver") == "'2026-01-02T03:04:05'"
+    assert literal("it's \\", "mysql") == "'it''s \\\\'" and literal("it's \\", "oracle") == "'it''s \\'"
+    assert (literal(None, "sqlite"), literal(True, "sqlite"), literal(2.5, "sqlite")) == ("NULL", "1", "2.5")
+    sql = "SELECT '?', ':{a}' FROM t WHERE a > :{a} AND b = :{b}"
+    assert bound_sql(sql, {"a": 1, "b": "x"}, "oracle") == "SELECT '?', ':{a}' FROM t WHERE a > 1 AND b = 'x'"
+    assert bound_sql("SELECT '?' FROM t WHERE a = ? AND b = ?", [1, "y'"], "oracle") == "SELECT '?' FROM t WHERE a = 1 AND b = 'y'''"
+    assert read_options(PG, sql="SELECT * FROM t WHERE a = :{a};", params={"a": 7})["dbtable"] == "(SELECT * FROM t WHERE a = 7) q"
+    assert bound_sql("SELECT 1", None, "oracle") == "SELECT 1"

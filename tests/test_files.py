@@ -126,3 +126,13 @@ def test_unknown_sheet_means_the_first(spark, books):
 def test_sheet_names(spark, books):
     names = list_sheets(workbook_files(spark, books))
     assert sorted(r["sheet"] for r in names.collect()) == ["Data", "Info", "Info"]
+
+
+def test_workbook_step_gives_a_table(spark, books):
+    from rowloom.plans.flow import build
+    from rowloom.plans.steps import Context
+
+    step = {"Id": "w", "StepType": "ExcelInput", "Settings": {"FilePath": books + "/one.xlsx", "SheetName": "Data"}}
+    table = build({"Steps": [step]}, Context(spark)).frame("w")
+    assert table.columns == ["id", "name", "day", "ok", ""]
+    assert rows(table.select("id", "ok")) == [("1", "True"), ("2.5", "False"), ("4", None), (None, None)]
