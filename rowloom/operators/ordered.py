@@ -4,15 +4,18 @@ running count, and a global row number.
 A window hands each group to one task.  Where one group may hold a large share of
 all rows, the group is first cut along its order into cells: the window runs on
 (group, cell), and only the rows at the cell edges look across, through a table
-with one row per cell of a hot group.  Hot groups together have at most twice
-``skew.MAX_HOT`` cells, so that table can be broadcast whatever the size of the data.
+with one row per cell of a hot group.  A value of the first order column that by
+itself fills more than a cell gets a cell of its own, which the next order column
+cuts further.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -22,7 +25,7 @@ from rowloom.operators.keyed import columns_of, own_names
 from rowloom.operators.skew import GROUP_ROWS, hot_hashes
 from rowloom.sources.scratch import ensure_checkpoint_dir
 
-_CELL, _HASH, _PIECES = "__cell", "__hash", "__pieces"
+_HASH, _PIECES = "__hash", "__pieces"
 
 
 def _position(df: DataFrame, name: str) -> Column | None:
@@ -36,43 +39,75 @@ def _position(df: DataFrame, name: str) -> Column | None:
     return None
 
 
-def _cut(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], group_rows: int | None) -> DataFrame | None:
-    """``df`` with a cell per row, or None when no group is hot.
+class Cut(NamedTuple):
+    """Rows with their cells; ``cells`` are the columns that number them in order."""
 
-    The cut points are quantiles of the hot rows' positions.  They and the hot
-    groups are fixed numbers afterwards, so every use of the cells agrees, also
-    when lost tasks are run again.
+    rows: DataFrame
+    cells: list[str]
+
+    @property
+    def hot(self) -> DataFrame:
+        return self.rows.where(F.col(_PIECES).isNotNull())
+
+
+def _edges(rows: DataFrame, most: int) -> tuple[list[float], list[int], int]:
+    """Slot edges of the positions ``__p``, which slots hold a single value, and
+    the number of rows without a position.  A value that several quantiles agree
+    on gets a slot to itself."""
+    shares = [i / most for i in range(1, most)]
+    quantiles = F.percentile_approx("__p", shares, max(10_000, 20 * most))
+    cuts, missing = rows.agg(quantiles, F.count_if(F.col("__p").isNull())).first()
+    heavy = {v for v, n in Counter(cuts or []).items() if n > 1}
+    inner = sorted(set(cuts or [0.0]) | {math.nextafter(v, math.inf) for v in heavy})
+    return [-math.inf, *inner, math.inf], [i + 1 for i, v in enumerate(inner) if v in heavy], missing
+
+
+def _cut(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], group_rows: int | None) -> Cut | None:
+    """``df`` cut into cells, or None when no group is hot.
+
+    Cut points and hot groups are fixed numbers once found, so every use of the
+    cells agrees, also when lost tasks are run again.
     """
-    position = _position(df, order_by[0]) if order_by else None
-    hot = None if position is None else hot_hashes(df, columns_of(keys), group_rows)
+    if not order_by or _position(df, order_by[0]) is None:
+        return None
+    hot = hot_hashes(df, columns_of(keys), group_rows)
     if hot is None:
         return None
     pieces = {h: math.ceil(n / hot.limit) for h, n in hot.counts.items()}
     most = max(pieces.values())
-    cuts = (
-        df.select(F.xxhash64(*columns_of(keys)).alias("h"), position.alias("p"))
-        .where(F.col("h").isin(list(pieces)))
-        .agg(F.percentile_approx("p", [i / most for i in range(1, most)], max(10_000, 20 * most)))
-        .first()[0]
-    )
-    edges = [-math.inf, *sorted(set(cuts or [])), math.inf]
-    if len(edges) < 3:
-        return None
     listed = df.sparkSession.createDataFrame(list(pieces.items()), f"{_HASH} bigint, {_PIECES} int")
-    tagged = df.withColumns({_HASH: F.xxhash64(*columns_of(keys)), "__p": position})
-    tagged = tagged.join(F.broadcast(listed), _HASH, "left")
-    slots = Bucketizer(splits=edges, inputCol="__p", outputCol="__slot", handleInvalid="keep").transform(tagged)
-    share = F.floor(F.col("__slot") * F.col(_PIECES) / F.lit(float(len(edges) - 1)))
-    cell = F.when(F.col(_PIECES).isNull(), 0).when(F.col("__p").isNull(), -1).otherwise(share)
-    return slots.withColumn(_CELL, cell.cast("int")).drop("__p", "__slot", _HASH)
-
-
-def _edge_join(cut: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join the per-cell table (one row per cell of a hot group) to the rows."""
-    a, b = columns_of(keys, "a"), columns_of(keys, "b")
-    same = reduce(lambda x, y: x & y, [m.eqNullSafe(n) for m, n in zip(a, b)])
-    on = same & (F.col(f"a.{_CELL}") == F.col(f"b.{_CELL}"))
-    return cut.alias("a").join(F.broadcast(edges.alias("b")), on, "left")
+    rows = df.withColumn(_HASH, F.xxhash64(*columns_of(keys)))
+    rows = rows.join(F.broadcast(listed), _HASH, "left").drop(_HASH)
+    uncut, cells = F.col(_PIECES).isNotNull(), []
+    for i, name in enumerate(order_by):
+        position = _position(df, name)
+        if position is None:
+            break
+        rows, cell, slot = rows.withColumn("__p", position), f"__cell{i}", F.col("__slot")
+        edges, single, missing = _edges(rows.where(uncut), most)
+        cutter = Bucketizer(splits=edges, inputCol="__p", outputCol="__slot", handleInvalid="keep")
+        # Slots are merged to as many cells as the group needs, but never with a
+        # slot of a single value.
+        place = [2 * sum(s < j for s in single) + (j in single) for j in range(len(edges))]
+        share = F.floor(slot * F.col(_PIECES) / F.lit(float(len(edges) - 1)))
+        number = share * (2 * len(single) + 2) + F.element_at(F.lit(place), slot.cast("int") + 1)
+        number = F.when(F.col("__p").isNull(), -1).otherwise(number)
+        rows = cutter.transform(rows).withColumn(cell, F.when(uncut, number).otherwise(0).cast("bigint"))
+        alone = f"__alone{i}"
+        rows = rows.withColumn(alone, uncut & (F.col("__p").isNull() | slot.isin(single))).drop("__p", "__slot")
+        cells.append(cell)
+        uncut = F.col(alone)
+        if not single and missing <= hot.limit:
+            break
+    return Cut(rows, cells) if cells else None
+
+
+def _edge_join(rows: DataFrame, edges: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Join the per-cell table to the rows.  It has one row per cell of a hot
+    group; Spark broadcasts it where its real size allows."""
+    a, b = columns_of(names, "a"), columns_of(names, "b")
+    on = reduce(lambda x, y: x & y, [m.eqNullSafe(n) for m, n in zip(a, b)])
+    return rows.alias("a").join(edges.alias("b"), on, "left")
 
 
 def _neighbour(
@@ -94,18 +129,15 @@ def _neighbour(
         w = Window.partitionBy(*columns_of(keys)).orderBy(*order)
         return df.withColumns({n: shift(F.col(quoted(s))).over(w) for s, n in zip(sources, names)})
 
-    w = Window.partitionBy(*columns_of(keys), F.col(_CELL)).orderBy(*order)
+    parts = [*keys, *cut.cells]
+    w = Window.partitionBy(*columns_of(parts)).orderBy(*order)
     row = F.struct(*[F.col(quoted(s)).alias(f"v{i}") for i, s in enumerate(sources)])
     pick = F.max_by if back else F.min_by
-    ends = (
-        cut.where(F.col(_PIECES).isNotNull())
-        .groupBy(*columns_of(keys), _CELL)
-        .agg(pick(row, F.struct(*order)).alias("__end"))
-    )
-    across = Window.partitionBy(*columns_of(keys)).orderBy(_CELL)
-    edges = ends.select(*columns_of(keys), _CELL, shift("__end").over(across).alias("__edge"))
-    inside = cut.withColumn("__near", shift(row).over(w))
-    joined = _edge_join(inside, edges, keys)
+    ends = cut.hot.groupBy(*columns_of(parts)).agg(pick(row, F.struct(*order)).alias("__end"))
+    across = Window.partitionBy(*columns_of(keys)).orderBy(*cut.cells)
+    edges = ends.select(*columns_of(parts), shift("__end").over(across).alias("__edge"))
+    inside = cut.rows.withColumn("__near", shift(row).over(w))
+    joined = _edge_join(inside, edges, parts)
     found = F.coalesce(F.col("a.__near"), F.col("b.__edge"))
     return joined.select(
         *columns_of(df.columns, "a"), *[found[f"v{i}"].alias(n) for i, n in enumerate(names)]
@@ -151,19 +183,15 @@ def with_running_count(
     order_by = own_names(df, order_by, "order column")
     counted = F.lit(1) if condition is None else F.when(condition, 1)
     cut = _cut(df, keys, order_by, group_rows)
-    rows = df if cut is None else cut
-    groups = [*columns_of(keys)] + ([] if cut is None else [F.col(_CELL)])
-    w = Window.partitionBy(*groups).orderBy(*columns_of(order_by)).rowsBetween(Window.unboundedPreceding, 0)
+    parts = keys if cut is None else [*keys, *cut.cells]
+    upto = Window.partitionBy(*columns_of(parts)).orderBy(*columns_of(order_by))
+    running = F.count(counted).over(upto.rowsBetween(Window.unboundedPreceding, 0))
     if cut is None:
-        return rows.withColumn(name, F.count(counted).over(w))
-    sizes = (
-        cut.where(F.col(_PIECES).isNotNull())
-        .groupBy(*columns_of(keys), _CELL)
-        .agg(F.count(counted).alias("__n"))
-    )
-    before = Window.partitionBy(*columns_of(keys)).orderBy(_CELL).rowsBetween(Window.unboundedPreceding, -1)
-    edges = sizes.select(*columns_of(keys), _CELL, F.sum("__n").over(before).alias("__before"))
-    joined = _edge_join(rows.withColumn("__n", F.count(counted).over(w)), edges, keys)
+        return df.withColumn(name, running)
+    sizes = cut.hot.groupBy(*columns_of(parts)).agg(F.count(counted).alias("__n"))
+    before = Window.partitionBy(*columns_of(keys)).orderBy(*cut.cells).rowsBetween(Window.unboundedPreceding, -1)
+    edges = sizes.select(*columns_of(parts), F.sum("__n").over(before).alias("__before"))
+    joined = _edge_join(cut.rows.withColumn("__n", running), edges, parts)
     count = F.col("a.__n") + F.coalesce(F.col("b.__before"), F.lit(0))
     return joined.select(*columns_of(df.columns, "a"), count.alias(name))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 from conftest import rows
 from rowloom.operators.intervals import event_intervals, event_pivot, overlap_split, previous_event, within_period
 from rowloom.operators.join import merge_join
-from rowloom.operators.ordered import global_row_number, with_next, with_previous, with_running_count
+from rowloom.operators.ordered import _cut, global_row_number, with_next, with_previous, with_running_count
 from rowloom.operators.skew import hot_hashes, hot_keys
 
 
@@ -54,6 +54,23 @@ def test_hot_group_is_cut(skewed):
     assert "__cell" not in plan and plan.count("Exchange") == 1 or "AdaptiveSparkPlan" in plan
 
 
+def cell_sizes(df, group_rows):
+    cut = _cut(df, ["k"], ["t", "i"], group_rows)
+    return cut.cells, [r["count"] for r in cut.hot.groupBy("k", *cut.cells).count().collect()]
+
+
+def test_cells_are_bounded_even_where_one_value_fills_a_group(skewed, spark):
+    cells, sizes = cell_sizes(skewed, 100)
+    assert sum(sizes) >= 2100 and max(sizes) <= 250
+    one = spark.range(5000).select(F.lit("k").alias("k"), F.lit(5).alias("t"), F.col("id").alias("i"))
+    cells, sizes = cell_sizes(one, 500)
+    assert len(cells) == 2 and sum(sizes) == 5000 and max(sizes) <= 1100
+    for missing in (F.lit(None).cast("int"), F.when(F.col("i") % 2 == 0, 7)):
+        df = one.withColumn("t", missing)
+        assert max(cell_sizes(df, 300)[1]) <= 1300
+        assert rows(with_previous(df, ["k"], ["t", "i"], {"i": "x"}, 300)) == windowed(df, F.lag("i"))
+
+
 def test_text_order_falls_back_to_the_window(skewed):
     df = skewed.withColumn("t", F.col("t").cast("string"))
     got = with_previous(df, ["k"], ["t", "i"], {"i": "x"}, 100)
