@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowloom.functions.values import Field, micros_between, quoted
 from rowloom.operators.keyed import columns_of, own_names
-from rowloom.operators.skew import GROUP_ROWS, hot_hashes
+from rowloom.operators.skew import GROUP_ROWS, hot_hashes, sampled
 from rowloom.sources.scratch import ensure_checkpoint_dir
 
 _HASH, _PIECES = "__hash", "__pieces"
+_PER_CUT = 200
 
 
 def _position(df: DataFrame, name: str) -> Column | None:
@@ -50,16 +51,16 @@ class Cut(NamedTuple):
         return self.rows.where(F.col(_PIECES).isNotNull())
 
 
-def _edges(rows: DataFrame, most: int) -> tuple[list[float], list[int], int]:
-    """Slot edges of the positions ``__p``, which slots hold a single value, and
-    the number of rows without a position.  A value that several quantiles agree
-    on gets a slot to itself."""
+def _edges(rows: DataFrame, most: int, rate: float) -> tuple[list[float], list[int], float]:
+    """Slot edges from a sample of the positions ``__p``, which slots hold a single
+    value, and the number of rows without a position.  A value that several
+    quantiles agree on gets a slot to itself."""
     shares = [i / most for i in range(1, most)]
     quantiles = F.percentile_approx("__p", shares, max(10_000, 20 * most))
-    cuts, missing = rows.agg(quantiles, F.count_if(F.col("__p").isNull())).first()
+    cuts, missing = sampled(rows.select("__p"), rate).agg(quantiles, F.count_if(F.col("__p").isNull())).first()
     heavy = {v for v, n in Counter(cuts or []).items() if n > 1}
     inner = sorted(set(cuts or [0.0]) | {math.nextafter(v, math.inf) for v in heavy})
-    return [-math.inf, *inner, math.inf], [i + 1 for i, v in enumerate(inner) if v in heavy], missing
+    return [-math.inf, *inner, math.inf], [i + 1 for i, v in enumerate(inner) if v in heavy], missing / rate
 
 
 def _cut(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], group_rows: int | None) -> Cut | None:
@@ -73,8 +74,9 @@ def _cut(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], group_rows
     hot = hot_hashes(df, columns_of(keys), group_rows)
     if hot is None:
         return None
-    pieces = {h: math.ceil(n / hot.limit) for h, n in hot.counts.items()}
+    pieces = hot.pieces()
     most = max(pieces.values())
+    rate = min(1.0, _PER_CUT * sum(pieces.values()) / hot.rows)
     listed = df.sparkSession.createDataFrame(list(pieces.items()), f"{_HASH} bigint, {_PIECES} int")
     rows = df.withColumn(_HASH, F.xxhash64(*columns_of(keys)))
     rows = rows.join(F.broadcast(listed), _HASH, "left").drop(_HASH)
@@ -84,7 +86,7 @@ def _cut(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], group_rows
         if position is None:
             break
         rows, cell, slot = rows.withColumn("__p", position), f"__cell{i}", F.col("__slot")
-        edges, single, missing = _edges(rows.where(uncut), most)
+        edges, single, missing = _edges(rows.where(uncut), most, rate)
         cutter = Bucketizer(splits=edges, inputCol="__p", outputCol="__slot", handleInvalid="keep")
         # Slots are merged to as many cells as the group needs, but never with a
         # slot of a single value.

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowloom.functions.values import micros_between
 from rowloom.operators.ordered import GROUP_ROWS, with_next, with_running_count
+from rowloom.operators.skew import hot_hashes
 
 # The words and forms of a run log's event lines, which follow the
 # step name in brackets; its level marks; the note of a cancelled step; and the
@@ -80,6 +81,9 @@ def step_records(logs: DataFrame, runs: DataFrame, group_rows: int | None = GROU
     start, the step was never closed and stays ``Running``; if there is none, it
     takes the status, end and error of its run.
     """
+    # A step of a run is no larger than the run: without hot runs nothing is cut.
+    if hot_hashes(logs, [F.col("run_id")], group_rows) is None:
+        group_rows = None
     events = parse_events(logs).where(F.col("kind").isNotNull())
     events = events.select("run_id", "line_no", "ts", "kind", "step_name", "row_count", "error_message")
     started = F.col("kind") == "start"

@@ -1,13 +1,15 @@
 """Finding hot keys: groups too large for one task.
 
-A frequent-items sketch over the key hashes is one narrow scan with a tiny result;
-keys are not shuffled.  What it returns is bounded: a key is hot only if it has
-more than ``rows`` rows and more than 1/``MAX_HOT`` of all rows, so there are at
-most ``MAX_HOT`` of them, whatever the size of the data.
+Key hashes are sampled at a rate at which a hot key shows about a thousand times,
+and counted by an ordinary distributed aggregation: one narrow scan and a shuffle
+of a few bytes per thousands of rows.  The sample only steers the plan; results
+never depend on it.  At most ``MAX_HOT`` keys are returned, the largest ones, so
+any other key has less than 1/``MAX_HOT`` of all rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -15,28 +17,38 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 GROUP_ROWS = 5_000_000
 MAX_HOT = 20_000
-_TRACKED = 100_000
+_SEEN = 1_000
+_SEED = 7
 
 
 class Hot(NamedTuple):
-    """Row counts by key hash, and the number of rows that one task should get."""
+    """Estimated rows by key hash, and the rows that one task should get.  All hot
+    keys together need at most ``2 * MAX_HOT`` tasks of that size."""
 
     counts: dict[int, int]
     limit: int
 
+    @property
+    def rows(self) -> int:
+        return sum(self.counts.values())
+
+    def pieces(self) -> dict[int, int]:
+        return {h: math.ceil(n / self.limit) for h, n in self.counts.items()}
+
+
+def sampled(df: DataFrame, rate: float) -> DataFrame:
+    return df if rate >= 1 else df.sample(rate, _SEED)
+
 
 def hot_hashes(df: DataFrame, keys: Sequence[Column], rows: int | None) -> Hot | None:
-    """The hot groups of a batch frame, or None.  Runs one job."""
+    """The keys with more than ``rows`` rows in a batch frame, or None.  Runs one job."""
     if not rows or df.isStreaming:
         return None
-    total, top = (
-        df.select(F.xxhash64(*keys).alias("h"))
-        .agg(F.count(F.lit(1)), F.expr(f"approx_top_k(h, {MAX_HOT}, {_TRACKED})"))
-        .first()
-    )
-    limit = max(rows, total // MAX_HOT)
-    counts = {r["item"]: r["count"] for r in top or [] if r["count"] > limit}
-    return Hot(counts, limit) if counts else None
+    rate = min(1.0, _SEEN / rows)
+    counts = sampled(df.select(F.xxhash64(*keys).alias("h")), rate).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where(F.col("n") > rows * rate).orderBy(F.desc("n"), "h").limit(MAX_HOT).collect()
+    found = {r["h"]: round(r["n"] / rate) for r in top}
+    return Hot(found, max(rows, sum(found.values()) // MAX_HOT)) if found else None
 
 
 def hot_keys(df: DataFrame, keys: Sequence[Column], rows: int | None) -> DataFrame | None:

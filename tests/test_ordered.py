@@ -85,6 +85,17 @@ def test_hot_keys(skewed):
     assert hot_hashes(skewed, [F.col("k")], None) is None
 
 
+def test_sampling_finds_large_keys(spark):
+    """A key far above the limit is found, and its size is about right."""
+    df = spark.range(400_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 1000).alias("k"))
+    hot = hot_hashes(df, [F.col("k")], 20_000)
+    assert len(hot.counts) == 1 and abs(hot.rows - 133_333) < 15_000
+    ordered = df.withColumn("i", F.monotonically_increasing_id())
+    got = with_running_count(ordered, ["k"], ["i"], "n", group_rows=20_000)
+    top = got.groupBy("k").agg(F.max("n").alias("m"), F.countDistinct("n").alias("d"), F.count("*").alias("c"))
+    assert top.where("m <> c OR d <> c").count() == 0
+
+
 def test_global_row_number(skewed):
     got = global_row_number(skewed, ["k", "t", "i"])
     expected = skewed.withColumn("ROWNUM", F.row_number().over(Window.orderBy("k", "t", "i")))
