@@ -196,6 +196,15 @@ def delete_by_key(target: DataFrame, source: DataFrame, keys: str | Sequence[str
     return kept.union(target.where(~all_present(names)))
 
 
+def matching_rows(df: DataFrame, other: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """Rows whose key occurs in the other frame, once each: a semi-join."""
+    names = _prepare(df, other, keys, "matching_rows")
+    own_names(other, names, "key")
+    known = other.select(*[to_type(field(other, k), df.schema[k].dataType).alias(k) for k in names])
+    known = known.where(all_present(names)).distinct()
+    return df.alias("t").join(known.alias("s"), equal_keys(names, "t", "s"), "left_semi")
+
+
 def upsert_counts(
     target: DataFrame,
     source: DataFrame,

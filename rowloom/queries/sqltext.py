@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rowloom.operators.merge import matching_rows
 from rowloom.queries.registry import plain, query
 from rowloom.sources.sqlstep import preview, sql_each_row, sql_input
 
@@ -111,8 +112,7 @@ SEMI = """SELECT a.o_orderkey, a.o_custkey FROM {orders} a,
 def semi_recent(t):
     """Rows whose key occurs in a filtered part of the table, as a semi-join."""
     recent = t.orders.where("o_orderdate > TIMESTAMP_NTZ '2000-06-01' AND o_orderstatus = 'F'")
-    keys = recent.select("o_custkey").distinct()
-    return t.orders.join(keys, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+    return matching_rows(t.orders, recent, "o_custkey").select("o_orderkey", "o_custkey")
 
 
 LEFT_AGG = """SELECT c_custkey, n, total FROM {customer} LEFT JOIN (

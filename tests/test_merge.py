@@ -121,3 +121,9 @@ def test_counts(spark):
     assert merge.update_counts(items(spark), source, "id").first().asDict() == {"processed": 5, "updated": 2, "unmatched": 2}
     empty = source.limit(0)
     assert merge.upsert_counts(items(spark), empty, "id", "label", order_by="step").first()["processed"] == 0
+
+
+def test_matching_rows(spark):
+    other = spark.createDataFrame([(2,), (2,), (None,)], "ID int")
+    target = items(spark).union(spark.createDataFrame([(None, "n", 0), (2, "again", 1)], "id long, label string, qty long"))
+    assert rows(merge.matching_rows(target, other, "id")) == [(2, "again", 1), (2, "two", 20)]
