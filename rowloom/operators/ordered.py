@@ -15,6 +15,7 @@ import math
 from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
@@ -22,11 +23,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowloom.functions.values import Field, micros_between, quoted
 from rowloom.operators.keyed import columns_of, own_names
-from rowloom.operators.skew import GROUP_ROWS, hot_hashes, sampled
+from rowloom.operators.skew import GROUP_ROWS, MAX_HOT, hot_hashes, sampled
 from rowloom.sources.scratch import ensure_checkpoint_dir
 
 _HASH, _PIECES = "__hash", "__pieces"
 _PER_CUT = 200
+MAX_BROADCAST_CELLS = 5 * MAX_HOT
 
 
 def _position(df: DataFrame, name: str) -> Column | None:
@@ -41,10 +43,12 @@ def _position(df: DataFrame, name: str) -> Column | None:
 
 
 class Cut(NamedTuple):
-    """Rows with their cells; ``cells`` are the columns that number them in order."""
+    """Rows with their cells; ``cells`` are the columns that number them in order,
+    and hot groups have at most ``most_cells`` of them together."""
 
     rows: DataFrame
     cells: list[str]
+    most_cells: int
 
     @property
     def hot(self) -> DataFrame:
@@ -81,6 +85,7 @@ def _cut(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], group_rows
     rows = df.withColumn(_HASH, F.xxhash64(*columns_of(keys)))
     rows = rows.join(F.broadcast(listed), _HASH, "left").drop(_HASH)
     uncut, cells = F.col(_PIECES).isNotNull(), []
+    most_cells, repeats = 0, 1
     for i, name in enumerate(order_by):
         position = _position(df, name)
         if position is None:
@@ -88,9 +93,11 @@ def _cut(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], group_rows
         rows, cell, slot = rows.withColumn("__p", position), f"__cell{i}", F.col("__slot")
         edges, single, missing = _edges(rows.where(uncut), most, rate)
         cutter = Bucketizer(splits=edges, inputCol="__p", outputCol="__slot", handleInvalid="keep")
+        alone_slots = set(single)
         # Slots are merged to as many cells as the group needs, but never with a
         # slot of a single value.
-        place = [2 * sum(s < j for s in single) + (j in single) for j in range(len(edges))]
+        before = list(accumulate((int(j in alone_slots) for j in range(len(edges))), initial=0))
+        place = [2 * before[j] + int(j in alone_slots) for j in range(len(edges))]
         share = F.floor(slot * F.col(_PIECES) / F.lit(float(len(edges) - 1)))
         number = share * (2 * len(single) + 2) + F.element_at(F.lit(place), slot.cast("int") + 1)
         number = F.when(F.col("__p").isNull(), -1).otherwise(number)
@@ -98,18 +105,23 @@ def _cut(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], group_rows
         alone = f"__alone{i}"
         rows = rows.withColumn(alone, uncut & (F.col("__p").isNull() | slot.isin(single))).drop("__p", "__slot")
         cells.append(cell)
+        most_cells += repeats * (sum(pieces.values()) + len(pieces) * (2 * len(single) + 2))
+        repeats *= len(single) + 1
         uncut = F.col(alone)
         if not single and missing <= hot.limit:
             break
-    return Cut(rows, cells) if cells else None
+    return Cut(rows, cells, most_cells) if cells else None
 
 
-def _edge_join(rows: DataFrame, edges: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Join the per-cell table to the rows.  It has one row per cell of a hot
-    group; Spark broadcasts it where its real size allows."""
+def _edge_join(rows: DataFrame, edges: DataFrame, names: Sequence[str], cut: Cut) -> DataFrame:
+    """Join the per-cell table to the rows: broadcast up to a fixed number of
+    cells, beyond that as an ordinary join."""
     a, b = columns_of(names, "a"), columns_of(names, "b")
     on = reduce(lambda x, y: x & y, [m.eqNullSafe(n) for m, n in zip(a, b)])
-    return rows.alias("a").join(edges.alias("b"), on, "left")
+    table = edges.alias("b")
+    if cut.most_cells <= MAX_BROADCAST_CELLS:
+        table = F.broadcast(table)
+    return rows.alias("a").join(table, on, "left")
 
 
 def _neighbour(
@@ -139,7 +151,7 @@ def _neighbour(
     across = Window.partitionBy(*columns_of(keys)).orderBy(*cut.cells)
     edges = ends.select(*columns_of(parts), shift("__end").over(across).alias("__edge"))
     inside = cut.rows.withColumn("__near", shift(row).over(w))
-    joined = _edge_join(inside, edges, parts)
+    joined = _edge_join(inside, edges, parts, cut)
     found = F.coalesce(F.col("a.__near"), F.col("b.__edge"))
     return joined.select(
         *columns_of(df.columns, "a"), *[found[f"v{i}"].alias(n) for i, n in enumerate(names)]
@@ -193,7 +205,7 @@ def with_running_count(
     sizes = cut.hot.groupBy(*columns_of(parts)).agg(F.count(counted).alias("__n"))
     before = Window.partitionBy(*columns_of(keys)).orderBy(*cut.cells).rowsBetween(Window.unboundedPreceding, -1)
     edges = sizes.select(*columns_of(parts), F.sum("__n").over(before).alias("__before"))
-    joined = _edge_join(cut.rows.withColumn("__n", running), edges, parts)
+    joined = _edge_join(cut.rows.withColumn("__n", running), edges, parts, cut)
     count = F.col("a.__n") + F.coalesce(F.col("b.__before"), F.lit(0))
     return joined.select(*columns_of(df.columns, "a"), count.alias(name))
 

@@ -18,19 +18,16 @@ def write_delimited(
     header: bool = True,
     delimiter: str = "",
     encoding: str = "UTF-8",
-    single_file: bool = False,
     at: datetime | None = None,
 ) -> DataFrame:
     """Write a directory of text files and hand the input on.
 
     ``{yyyyMMdd}``-like tokens in the path are filled.  NULL becomes an empty
     field.  A field is quoted only when it has to be; with a tab delimiter never.
-    ``single_file`` puts everything through one task: for small exports only.
     """
     sep = delimiter or DELIMITERS.get(format, ",")
     target = resolve_path_tokens(path, at or datetime.now())
     texts = df.select(*[as_text(field(df, c)).alias(c) for c in df.columns])
-    rows = texts.coalesce(1) if single_file else texts
     options = {"sep": sep, "header": str(header).lower(), "encoding": charset(df.sparkSession, encoding)}
     # emptyValue: Spark would otherwise write "" for empty text.
     if sep == "\t":
@@ -38,7 +35,7 @@ def write_delimited(
     else:
         options |= {"quote": '"', "escape": '"', "emptyValue": ""}
     options |= {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    rows.write.mode("overwrite").options(**options).csv(target)
+    texts.write.mode("overwrite").options(**options).csv(target)
     return df
 
 

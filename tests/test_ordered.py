@@ -56,6 +56,7 @@ def test_hot_group_is_cut(skewed):
 
 def cell_sizes(df, group_rows):
     cut = _cut(df, ["k"], ["t", "i"], group_rows)
+    assert cut.hot.select("k", *cut.cells).distinct().count() <= cut.most_cells
     return cut.cells, [r["count"] for r in cut.hot.groupBy("k", *cut.cells).count().collect()]
 
 
@@ -71,6 +72,12 @@ def test_cells_are_bounded_even_where_one_value_fills_a_group(skewed, spark):
         assert rows(with_previous(df, ["k"], ["t", "i"], {"i": "x"}, 300)) == windowed(df, F.lag("i"))
 
 
+def test_edges_beyond_the_broadcast_bound(skewed, monkeypatch):
+    monkeypatch.setattr("rowloom.operators.ordered.MAX_BROADCAST_CELLS", 0)
+    got = with_previous(skewed, ["k"], ["t", "i"], {"i": "x"}, 100)
+    assert rows(got) == windowed(skewed, F.lag("i"))
+
+
 def test_text_order_falls_back_to_the_window(skewed):
     df = skewed.withColumn("t", F.col("t").cast("string"))
     got = with_previous(df, ["k"], ["t", "i"], {"i": "x"}, 100)
