@@ -11,11 +11,27 @@ from rowloom.operators import merge
 from rowloom.sinks import external
 from rowloom.sinks.tables import append_jdbc
 from rowloom.sources.jdbc import JdbcConnection, lookup_each_row, read_jdbc
-from rowloom.sources.sqlstep import exec_sql, sql_each_row, sql_input
+from rowloom.sources.sqlstep import exec_sql, has_named, parameter_row, sql_each_row, sql_input
 
 Action = Callable[[], object]
 
 
+@dataclass
+class Parameters:
+    """The first row of each parameter input, read once: all statements that hang
+    on one input see the same values."""
+
+    seen: dict[int, tuple[DataFrame, dict]] = default(default_factory=dict)
+
+    def of(self, sql: str, rows: DataFrame | None) -> dict | None:
+        if rows is None or not (has_named(sql) or "?" in sql):
+            return None
+        if id(rows) not in self.seen:
+            names, values = parameter_row(rows)
+            self.seen[id(rows)] = (rows, dict(zip(names, values)))
+        return self.seen[id(rows)][1]
+
+
 @dataclass
 class SessionSpace:
     """Views and tables of the Spark session.
@@ -26,11 +42,12 @@ class SessionSpace:
 
     spark: SparkSession
     states: dict[str, DataFrame] = default(default_factory=dict)
+    parameters: Parameters = default(default_factory=Parameters)
 
     def query(self, sql: str, rows: DataFrame | None, each_row: bool) -> DataFrame:
         if each_row and rows is not None:
             return sql_each_row(self.spark, sql, rows)
-        return sql_input(self.spark, sql, rows)
+        return sql_input(self.spark, sql, self.parameters.of(sql, rows))
 
     def execute(self, sql: str, rows: DataFrame | None, each_row: bool) -> list[Action]:
         if each_row:
@@ -68,13 +85,14 @@ class JdbcSpace:
     spark: SparkSession
     connection: JdbcConnection
     connect: Callable[[], object] | None = None
+    parameters: Parameters = default(default_factory=Parameters)
 
     def query(self, sql: str, rows: DataFrame | None, each_row: bool) -> DataFrame:
         if each_row and rows is not None:
             # Every column NULL: the database still tells the result's columns.
             shape = read_jdbc(self.spark, self.connection, sql=sql, params=dict.fromkeys(rows.columns)).schema
             return lookup_each_row(rows, self.connect, self.connection.kind, sql, shape)
-        return read_jdbc(self.spark, self.connection, sql=sql, params=rows)
+        return read_jdbc(self.spark, self.connection, sql=sql, params=self.parameters.of(sql, rows))
 
     def execute(self, sql: str, rows: DataFrame | None, each_row: bool) -> list[Action]:
         if each_row and rows is not None:

@@ -175,7 +175,9 @@ def workbook_headers(files: DataFrame, sheet: str = "", header: bool = True) ->
 
 
 def workbook_table(cells: DataFrame, columns: Sequence[str], max_rows: int = 0) -> DataFrame:
-    """One row per sheet row, with the named headers as text columns."""
-    picks = [F.max(F.when(F.col("header") == c, F.col("value"))).alias(c) for c in columns]
+    """One row per sheet row, with the named headers as text columns.  A header
+    that occurs twice means its last column."""
+    here = [F.col("header") == c for c in columns]
+    picks = [F.max_by(F.when(h, F.col("value")), F.when(h, F.col("col_no"))).alias(c) for h, c in zip(here, columns)]
     rows = cells.where(F.col("row_no") <= max_rows) if max_rows > 0 else cells
     return rows.groupBy("path", "row_no").agg(*picks)

@@ -59,8 +59,10 @@ class UpsertStream:
     """Merge batches into a keyed table, one version of the table per batch.
 
     Version n is computed from version n-1 only, so running batch n again gives
-    the same version.  Each version is the whole table: where the catalog can
-    merge rows itself, use ``merge_into_table`` in ``foreachBatch`` instead.
+    the same version, and a new process goes on from the version before its first
+    batch (``latest`` is only what ``state()`` shows).  Each version is the whole
+    table: where the catalog can merge rows itself, use ``merge_into_table`` in
+    ``foreachBatch`` instead.
     """
 
     spark: SparkSession

@@ -83,6 +83,20 @@ def test_tsv_output_is_never_quoted(spark, tmp_path):
     assert lines(tmp_path / "o") == ["1\tplain\t2\t", '2\tsay "x", ok\t2.5\t', "3\t pad \t100000000\t東京"]
 
 
+def test_encoded_output(spark, tmp_path):
+    df = frame(spark).select("i", "n")
+    write_delimited(df, str(tmp_path / "o"), encoding="Shift-JIS")
+    raw = b"".join(p.read_bytes() for p in (tmp_path / "o").glob("part-*"))
+    assert "東京".encode("shift_jis") in raw and "東京".encode() not in raw
+    assert rows(read_delimited(spark, str(tmp_path / "o"), encoding="Shift-JIS")) == [("1", ""), ("2", ""), ("3", "東京")]
+
+
+def test_repeated_workbook_header_means_the_last_column(spark, tmp_path):
+    (tmp_path / "b.xlsx").write_bytes(workbook_bytes({"S": sheet_xml([["a", "b", "a"], [9, 2, 1]])}))
+    table = workbook_table(read_workbooks(spark, str(tmp_path)), ["a", "b"])
+    assert rows(table.select("a", "b")) == [("1", "2")]
+
+
 def test_dated_folders(spark, tmp_path):
     df = spark.createDataFrame([(1, datetime(2026, 1, 2)), (2, datetime(2026, 1, 3))], "i int, t timestamp_ntz")
     write_dated(df, str(tmp_path / "o"), "t")

@@ -192,6 +192,17 @@ def test_own_step_types(spark, source):
         del STEPS["Upper"]
 
 
+def test_statements_of_one_input_see_the_same_values(spark):
+    steps = [
+        node("v", "DBInput", SQL="SELECT rand() AS x, 2 AS y"),
+        node("a", "DBInput", SQL="SELECT :{x} AS x, '?' AS mark"),
+        node("b", "DBInput", SQL="SELECT ? AS x, ? AS y"),
+    ]
+    flow = build(spec(steps, ("v", "a"), ("v", "b")), Context(spark))
+    assert flow.frame("a").first()["x"] == flow.frame("b").first()["x"]
+    assert flow.frame("b").first()["y"] == 2
+
+
 def test_work_wait_flow_equals_the_operator(spark, sf_dir):
     """Two numbered inputs and a join give what the previous-event operator gives."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

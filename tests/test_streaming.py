@@ -56,6 +56,18 @@ def test_upsert_is_idempotent(spark, stream, tmp_path):
     assert len(rows(sink.state())) == 5 and rows(sink.state(-1)) == rows(initial)
 
 
+def test_a_new_process_goes_on_from_the_last_version(spark, stream, tmp_path):
+    initial = spark.createDataFrame([], "k long, id long, v string")
+    args = (spark, initial, str(tmp_path / "state"), ["k"], ["id"])
+    UpsertStream(*args).start(stream, str(tmp_path / "check")).awaitTermination()
+    spark.sql("SELECT 100L AS id, 1L AS k, 'new' AS v").write.mode("append").parquet(str(tmp_path / "in"))
+    second = UpsertStream(*args)
+    second.start(stream, str(tmp_path / "check")).awaitTermination()
+    assert second.latest == 3
+    got = {r["k"]: (r["id"], r["v"]) for r in second.state().collect()}
+    assert set(got) == {0, 1, 2, 3} and got[1] == (100, "new")
+
+
 def test_stream_meets_static_table(spark, stream, tmp_path):
     static = spark.createDataFrame([(1, "one", "x"), (2, "two", None)], "k int, name string, v string")
     out = str(tmp_path / "out")
