@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowloom.functions.compare import values_equal
 from rowloom.functions.values import Field, common_type, field, null_field, quoted, resolve, to_type
@@ -44,6 +44,7 @@ def table_compare(
     columns: str | Sequence[str] = (),
     order_by: str | Sequence[str] = (),
     assume_unique: bool = False,
+    left_unique: bool = False,
     ignore_case: bool = False,
     trim: bool = False,
     nulls_equal: bool = True,
@@ -52,9 +53,9 @@ def table_compare(
     """Keys, ``c_L``/``c_R`` per compared column, ``_status`` and ``_diff_columns``.
 
     Of several right rows with one key the first in ``order_by`` is compared; all
-    left rows are.  Matching left rows and the unmatched right rows are found by
-    two joins rather than one full outer join, because adaptive execution can
-    split hot keys of the former but not of the latter.
+    left rows are.  Left rows and unmatched right rows are found by two joins,
+    because adaptive execution can split hot keys of these but not of a full outer
+    join.  When left keys never repeat (``left_unique``) one full outer join does.
     """
     names = split_names(keys)
     if not names:
@@ -68,51 +69,65 @@ def table_compare(
     repeats = not assume_unique and bool(right_keys)
     once = one_per_key(right, right_keys, order, last=False).drop(COPIES) if repeats else right
 
-    def pair(c: str) -> tuple[Field, Field]:
-        return field(left, c, "l") or null_field(), field(right, c, "r") or null_field()
-
     on = reduce(lambda a, b: a & b, [_same_key(field(left, k, "l"), field(right, k, "r")) for k in names])
-    here = F.col(f"r.{_HERE}").isNotNull()
-    unequal = {c: ~values_equal(*pair(c), ignore_case, trim, nulls_equal) for c in compared}
-    joined = left.alias("l").join(once.withColumn(_HERE, F.lit(True)).alias("r"), on, "left")
+    on_left, on_right = F.col(f"l.{_HERE}").isNotNull(), F.col(f"r.{_HERE}").isNotNull()
+    l = left.withColumn(_HERE, F.lit(True)).alias("l")
+    r = once.withColumn(_HERE, F.lit(True)).alias("r")
+    joined = l.join(r, on, "full" if left_unique else "left")
+    unequal = {
+        c: ~values_equal(
+            field(left, c, "l") or null_field(), field(right, c, "r") or null_field(), ignore_case, trim, nulls_equal
+        )
+        for c in compared
+    }
     differing = F.concat_ws(",", *[F.when(test, F.lit(c)) for c, test in unequal.items()])
-    diffs = F.when(here, differing).otherwise(F.lit(""))
-
-    def output(own: str) -> list[Column]:
-        """Output columns, with values of the absent side NULL."""
-        out = []
-        for k in names:
-            l, r = field(left, k, "l"), field(right, k, "r")
-            shared = common_type((l or null_field()).type if l else r.type, r.type if r else l.type) if l or r else None
-            source = l if own == "l" else r
-            # A key column one side lacks is read from the other side.
-            source = source or (r if own == "l" else None)
-            value = F.lit(None).cast(shared or "string") if source is None else to_type(source, shared)
-            out.append(value.alias(k))
-        for c in compared:
-            for side, f, suffix in (("l", field(left, c, "l"), "_L"), ("r", field(right, c, "r"), "_R")):
-                kind = f.type if f else "string"
-                seen = f is not None and (own == "l" or side == "r")
-                out.append((f.col if seen else F.lit(None).cast(kind)).alias(c + suffix))
-        return out
-
-    left_rows = joined.select(*output("l"), here.alias(_HERE), diffs.alias(DIFF_COLUMNS))
-    left_rows = left_rows.withColumn(
-        STATUS,
-        F.when(~F.col(_HERE), F.lit(ONLY_LEFT)).when(F.col(DIFF_COLUMNS) == "", F.lit(MATCH)).otherwise(F.lit(DIFF)),
-    ).drop(_HERE)
+    status = (
+        F.when(~on_right, F.lit(ONLY_LEFT))
+        .when(~on_left, F.lit(ONLY_RIGHT))
+        .when(differing == "", F.lit(MATCH))
+        .otherwise(F.lit(DIFF))
+    )
+    keys_out = [_key_value(field(left, k, "l"), field(right, k, "r"), on_left).alias(k) for k in names]
+    values = []
+    for c in compared:
+        for f, suffix in ((field(left, c, "l"), "_L"), (field(right, c, "r"), "_R")):
+            values.append((f.col if f else F.lit(None).cast("string")).alias(c + suffix))
+    diffs = F.when(on_left & on_right, differing).otherwise(F.lit(""))
+    out = joined.select(*keys_out, *values, status.alias(STATUS), diffs.alias(DIFF_COLUMNS))
     if not include_matched:
-        left_rows = left_rows.where(F.col(STATUS) != MATCH)
+        out = out.where(F.col(STATUS) != MATCH)
+    if left_unique:
+        return out
     left_keys = [resolve(left, k) for k in names if resolve(left, k)]
     known = left.select(*[F.col(quoted(k)) for k in left_keys]).distinct()
-    right_rows = (
-        once.alias("r")
-        .join(known.alias("l"), on, "left_anti")
-        .alias("r")
-        .select(*output("r"), F.lit(ONLY_RIGHT).alias(STATUS), F.lit("").alias(DIFF_COLUMNS))
-    )
-    columns_out = [c for c in left_rows.columns if c not in (STATUS, DIFF_COLUMNS)] + [STATUS, DIFF_COLUMNS]
-    return left_rows.select(*[F.col(quoted(c)) for c in columns_out]).union(right_rows)
+    alone = once.alias("r").join(known.alias("l"), on, "left_anti").alias("r")
+    return out.union(alone.select(*_right_only(left, right, names, compared)))
+
+
+def _key_type(l: Field | None, r: Field | None) -> T.DataType:
+    return common_type((l or r or null_field()).type, (r or l or null_field()).type)
+
+
+def _key_value(l: Field | None, r: Field | None, on_left: Column) -> Column:
+    """The left row's key, or the right row's where there is no left row."""
+    shared = _key_type(l, r)
+    if l is None or r is None:
+        return to_type(l or r or null_field(), shared)
+    return F.when(on_left, to_type(l, shared)).otherwise(to_type(r, shared))
+
+
+def _right_only(left: DataFrame, right: DataFrame, names: list[str], compared: list[str]) -> list[Column]:
+    """Right rows without a partner, in the output's shape."""
+    out = []
+    for k in names:
+        l, r = field(left, k, "l"), field(right, k, "r")
+        shared = _key_type(l, r)
+        out.append((to_type(r, shared) if r else F.lit(None).cast(shared)).alias(k))
+    for c in compared:
+        l, r = field(left, c, "l"), field(right, c, "r")
+        out.append(F.lit(None).cast(l.type if l else "string").alias(c + "_L"))
+        out.append((r.col if r else F.lit(None).cast("string")).alias(c + "_R"))
+    return [*out, F.lit(ONLY_RIGHT).alias(STATUS), F.lit("").alias(DIFF_COLUMNS)]
 
 
 def compare_summary(left: DataFrame, right: DataFrame, keys: str | Sequence[str], **options) -> DataFrame:

@@ -52,6 +52,12 @@ def compare_diff(t):
     return table_compare(*_sides(t), "p_partkey", assume_unique=True)
 
 
+@query("compare_both_unique", _oracle(EXACT, ALL))
+def compare_both_unique(t):
+    """Keys repeat on neither side: one full outer join."""
+    return table_compare(*_sides(t), "p_partkey", assume_unique=True, left_unique=True, include_matched=True)
+
+
 @query("compare_all", _oracle(EXACT, ALL))
 def compare_all(t):
     return table_compare(*_sides(t), "p_partkey", order_by="p_retailprice,p_name", include_matched=True)

@@ -9,8 +9,13 @@ def both(spark, a, b, schema, other=None):
 
 
 def compare(spark, a, b, schema, keys="id", other=None, **options):
+    """The comparison by two joins, after checking that one full join agrees."""
     options.setdefault("assume_unique", True)
-    return table_compare(*both(spark, a, b, schema, other), keys, **options)
+    sides = both(spark, a, b, schema, other)
+    out = table_compare(*sides, keys, **options)
+    single = table_compare(*sides, keys, left_unique=True, **options)
+    assert single.schema == out.schema and rows(single) == rows(out)
+    return out
 
 
 def test_match_is_hidden_unless_asked_for(spark):
