@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import decontaminate, langid, quality, toxicity
+from rowloom.llm import chat, decontaminate, langid, quality, secrets, toxicity
 from rowloom.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,44 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"), "n_exact", "n_misspelled", "n_quoted")
 
 
+@query("op3_secret_scan")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secrets(table(spark, folder, "documents"))
+    count = lambda rank: F.size(F.filter("spans", lambda x: x["rank"] == rank)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.span_list(secrets.base_spans(F.col("spans"))).cast("binary"), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"))
+
+
+@query("op5_chat_format", """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, replace(replace(text, '\\', '\\\\'), '<|', '<\\|') AS etext,
+         replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '<\\n') AS erole FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, etext)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, etext) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|start|>') + length(erole) + 1 + length(etext) + length('<|end|>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    messages = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    out = chat.format_chats(messages.withColumn("parts", chat.text_part(F.col("text"))))
+    turns, loss = chat.read_turns(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss"))
+    read = out.select("conv_id", turns.alias("turns"), loss.alias("masked"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    line = F.lit("\n")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], line, t["text"], line)), "").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("masked").cast("long").alias("loss_chars"), F.sha2(F.col("masked").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
 @query("op7_language_id")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
