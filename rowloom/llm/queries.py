@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import chat, decontaminate, langid, quality, secrets, toxicity
-from rowloom.llm.common import remainder
+from rowloom.llm import bpe, chat, decontaminate, langid, quality, secrets, token_codes, toxicity
+from rowloom.llm.common import remainder, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,10 +23,22 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer() -> str:
+    """The vocabulary file of the queries; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_bpe_round_trip")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"), tokenizer())
+
+
 @query("op2_toxicity")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -47,6 +59,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"))
 
 
+@query("op4_token_codes")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "codes")
+    token_codes.write_codes(table(spark, folder, "documents"), path, tokenizer())
+    return token_codes.read_codes(spark, path)
+
+
 @query("op5_chat_format", """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
