@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import bpe, chat, decontaminate, langid, quality, secrets, token_codes, toxicity
+from rowloom.llm import bpe, chat, decontaminate, langid, quality, secrets, simhash, token_codes, toxicity
 from rowloom.llm.common import remainder, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+@query("op8_simhash_groups")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.groups(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
