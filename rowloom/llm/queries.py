@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import bpe, chat, decontaminate, langid, quality, secrets, simhash, token_codes, toxicity
+from rowloom.llm import bpe, chat, decontaminate, langid, quality, secrets, simhash, substring, token_codes, toxicity
 from rowloom.llm.common import remainder, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         F.char_length("masked").cast("long").alias("loss_chars"), F.sha2(F.col("masked").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring.passages(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op7_language_id")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
