@@ -209,9 +209,9 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     return per_slice(given, "text", f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>", make).withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per document: id, ``n_tokens``, ``ids_sha256`` of the decimal ids joined by commas,
-    and ``decoded_sha256`` of the text decoded from the ids."""
+    and ``decoded_sha256`` of the text decoded from the ids; ``ids`` if asked for."""
     import hashlib
 
     given = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
@@ -222,15 +222,17 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
         def work(part: pa.RecordBatch) -> dict:
             n, of_ids, of_text = [], [], []
-            for ids in codec.encode(part.column("text").to_pylist()):
+            found = codec.encode(part.column("text").to_pylist())
+            for ids in found:
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(b",".join(map(decimal.__getitem__, ids.tolist()))).hexdigest())
                 of_text.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
-            return {"id": part.column("id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
+            out = {"id": part.column("id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
+            return out | ({"ids": _lists(found)} if with_ids else {})
 
         return work
 
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return per_slice(given, "text", schema, make).withColumnRenamed("id", id_col)
 
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 8_000_000
 """Text that a task works on at once.  A longer text is a slice of its own."""
@@ -60,10 +61,10 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         start = stop
 
 
-def per_slice(df: DataFrame, text: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+def per_slice(df: DataFrame, text: str, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """``make()`` runs once in each task and returns a function from a slice of rows to
     the columns of ``schema``."""
-    names = [f.split()[0].strip("`") for f in _fields(schema)]
+    names = schema.names if isinstance(schema, StructType) else [f.split()[0].strip("`") for f in _fields(schema)]
 
     def run(batches):
         work = make()
@@ -75,6 +76,11 @@ def per_slice(df: DataFrame, text: str, schema: str, make: Callable[[], Callable
     return df.mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame, columns: Sequence[str]) -> Column:
+    """The columns as one struct ``row``, so that no name of theirs can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+
+
 def _fields(schema: str) -> list[str]:
     fields, depth, start = [], 0, 0
     for i, c in enumerate(schema):
@@ -181,7 +187,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     root = links.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
     return ids.join(root, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
-def only(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in columns])

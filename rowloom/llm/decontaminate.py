@@ -14,12 +14,13 @@ alone.  Texts are read whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from rowloom.llm.common import per_slice, whole
+from rowloom.llm.common import packed, per_slice, whole
 
 WINDOW = 13
 SHARD_WORDS = 200_000
@@ -84,23 +85,29 @@ def joined(spans: list[list[int]]) -> list[list[int]]:
 SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<first:long,end:long,start:long,stop:long>>"
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def contamination(docs: DataFrame, items: DataFrame, carry: Sequence[str] = ("doc_id",), text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per document: id, words, words inside an occurrence of an item's window, the
-    items that occur, and the hit stretches in words and in code points."""
+    """Per document: ``row`` with the carried columns, words, words inside an occurrence
+    of an item's window, the items that occur, and the hit stretches in words and in
+    code points."""
     tests = items.select(F.col(item_col).cast("string").alias("name"), whole(item_text).alias("text"))
     sized = F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     shards = max(1, -(-(tests.agg(F.sum(sized)).first()[0] or 0) // SHARD_WORDS))
     spark = docs.sparkSession
-    out = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), F.lit(None).cast("array<struct<first:long,end:long>>").alias("had"), F.lit(None).cast("array<string>").alias("named"))
+    out = docs.select(packed(docs, carry), whole(text_col).alias("text"), F.lit(None).cast("array<struct<first:long,end:long>>").alias("had"), F.lit(None).cast("array<string>").alias("named"))
     for shard in range(shards):
         mine = tests if shards == 1 else tests.where(F.pmod(F.xxhash64("name", "text"), F.lit(shards)) == shard)
         known = spark.sparkContext.broadcast([(r["name"], r["text"]) for r in mine.select("name", "text").distinct().toLocalIterator()])
-        out = _pass(out, known, window, docs.schema[id_col].dataType.simpleString(), shard == shards - 1)
-    return out.withColumnRenamed("id", id_col)
+        out = _pass(out, known, window, shard == shards - 1)
+    return out
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **names: str) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    return contamination(docs, items, docs.columns, text_col, **names).where(~is_contaminated()).select("row.*")
 
 
-def _pass(rows: DataFrame, known, window: int, id_type: str, last: bool) -> DataFrame:
+def _pass(rows: DataFrame, known, window: int, last: bool) -> DataFrame:
     def make():
         scanner = Scanner(known.value, window)
 
@@ -123,7 +130,7 @@ def _pass(rows: DataFrame, known, window: int, id_type: str, last: bool) -> Data
                 found["items"].append(sorted(items))
                 places = [m.span() for m in _WORD.finditer(text)] if spans else []
                 found["spans"].append([{"first": a, "end": b, "start": places[a][0], "stop": places[b - 1][1]} for a, b in spans])
-            out = {"id": part.column("id"), "text": part.column("text")}
+            out = {"row": part.column("row"), "text": part.column("text")}
             span = pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "end")]))
             if not last:
                 return out | {"had": pa.array(found["had"], span), "named": pa.array(found["named"], pa.list_(pa.string()))}
@@ -133,7 +140,8 @@ def _pass(rows: DataFrame, known, window: int, id_type: str, last: bool) -> Data
 
         return work
 
-    schema = f"id {id_type}, " + (SCHEMA if last else "text string, had array<struct<first:long,end:long>>, named array<string>")
+    more = SCHEMA if last else "text string, had array<struct<first:long,end:long>>, named array<string>"
+    schema = StructType([rows.schema["row"], *StructType.fromDDL(more).fields])
     return per_slice(rows, "text", schema, make)
 
 

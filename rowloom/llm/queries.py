@@ -44,7 +44,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held = remainder(F.col("doc_id"), 3) == 1
     model = toxicity.learn(docs.where(~held), table(spark, folder, "labels").where(~held))
-    found = toxicity.toxicity(docs, model)
+    found = toxicity.toxicity(docs, model).select("row.*", "*")
     predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
     return found.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"), "n_exact", "n_misspelled", "n_quoted")
 
@@ -124,7 +124,14 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_decontamination")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("row.*", "*")
     names = F.concat_ws(",", F.array_sort("items"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"),
                         decontaminate.is_contaminated().alias("contaminated"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)

@@ -26,13 +26,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from rowloom.llm.common import Words, cut, slices, whole
+from rowloom.llm.common import Words, cut, packed, slices, whole
 
 SAMPLE_ROWS = 30_000
 MAX_TERMS = 2_000
@@ -281,10 +283,10 @@ def chosen_terms(rows: list[tuple[str, int, int]], n1: int, n0: int) -> list[str
     return out[:MAX_TERMS]
 
 
-def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, ``score``, and the mentions by channel."""
+def toxicity(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """Per document: ``row`` with the carried columns, ``score``, and the mentions by channel."""
     known = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    given = docs.select(packed(docs, carry), whole(text_col).alias("text"))
 
     def run(batches):
         automaton = Automaton(known.value.terms)
@@ -292,12 +294,17 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             for part in slices(batch, "text"):
                 yield _scored(part, known.value, automaton)
 
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, score double, n_exact long, n_misspelled long, n_quoted long"
-    return given.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    more = StructType.fromDDL("score double, n_exact long, n_misspelled long, n_quoted long")
+    return given.mapInArrow(run, StructType([given.schema["row"], *more.fields]))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold."""
+    return toxicity(docs, model, docs.columns, text_col).where(F.col("score") < threshold).select("row.*")
 
 
 def _scored(part: pa.RecordBatch, model: Model, automaton: Automaton) -> pa.RecordBatch:
     per = mentions(part.column("text"), automaton)
     counts = [pa.array([sum(n for (_, c), n in found.items() if c == channel) for found in per], pa.int64()) for channel in CHANNELS]
     scores = pa.array([model.score(found) for found in per], pa.float64())
-    return pa.RecordBatch.from_arrays([part.column("id"), scores, *counts], ["id", "score", *[f"n_{c}" for c in CHANNELS]])
+    return pa.RecordBatch.from_arrays([part.column("row"), scores, *counts], ["row", "score", *[f"n_{c}" for c in CHANNELS]])
