@@ -21,15 +21,20 @@ SLICE_BYTES = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, named by ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder.rstrip("/")
+    """The folder that all executors share: ``spark.checkpoint.dir``, and where that is
+    unset a folder of the warehouse, which is shared as well."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{folder.rstrip('/')}/rowloom-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rowloom-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application has left in the shared folder, once its results are read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowloom.llm.common import cut, whole
+from rowloom.llm.common import cut, packed, whole
 
 MAX_OWNERS = 2
 """A value with more owners than this is widely copied."""
@@ -122,7 +122,8 @@ def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = secrets(docs, id_col, text_col, owner_col).where(F.size("spans") > 0)
     # equal rows have equal spans
     spans = cut(found.groupBy(F.col(id_col).alias("id_"), F.col("text_hash").alias("hash_")).agg(F.first("spans").alias("spans_")))
-    hashed = docs.withColumn("hash__", F.xxhash64(whole(text_col)))
-    joined = hashed.join(spans, F.col(id_col).eqNullSafe(F.col("id_")) & (F.col("hash__") == F.col("hash_")), "left")
-    text = F.when(F.col("spans_").isNull(), F.col(text_col)).otherwise(masked(whole(text_col), F.col("spans_")))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(packed(docs, docs.columns), F.col(id_col).alias("id"), F.xxhash64(whole(text_col)).alias("hash"))
+    joined = keyed.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")), "left")
+    given = F.col("row")[text_col]
+    text = F.when(F.col("spans_").isNull(), given).otherwise(masked(given, F.col("spans_")))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

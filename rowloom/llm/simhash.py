@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from rowloom.llm.common import Words, components, cut, inside, mixed, per_slice, runs_of, whole
+from rowloom.llm.common import Words, components, cut, inside, mixed, packed, per_slice, runs_of, whole
 
 WORDS = 4
 SEED = 42
@@ -282,7 +282,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each group of copies and near copies."""
     stays = near_copies(docs, id_col, text_col).where("stays").select(F.col("id").alias("id_"), F.col("text_hash").alias("text_hash_"))
-    hashed = docs.withColumn("text_hash__", F.xxhash64(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("id_")) & (F.col("text_hash__") == F.col("text_hash_"))
-    kept = hashed.join(stays, same).dropDuplicates([id_col, "text_hash__"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(packed(docs, docs.columns), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    same = keyed["id"].eqNullSafe(F.col("id_")) & (keyed["text_hash"] == F.col("text_hash_"))
+    return keyed.join(stays, same).dropDuplicates(["id", "text_hash"]).select("row.*")
