@@ -44,7 +44,7 @@ def table_compare(
     columns: str | Sequence[str] = (),
     order_by: str | Sequence[str] = (),
     assume_unique: bool = False,
-    left_unique: bool = False,
+    split_hot: bool = False,
     ignore_case: bool = False,
     trim: bool = False,
     nulls_equal: bool = True,
@@ -53,9 +53,8 @@ def table_compare(
     """Keys, ``c_L``/``c_R`` per compared column, ``_status`` and ``_diff_columns``.
 
     Of several right rows with one key the first in ``order_by`` is compared; all
-    left rows are.  Left rows and unmatched right rows are found by two joins,
-    because adaptive execution can split hot keys of these but not of a full outer
-    join.  When left keys never repeat (``left_unique``) one full outer join does.
+    left rows are.  One full outer join does it; where left keys are hot
+    (``split_hot``) it is two joins, whose hot keys adaptive execution can split.
     """
     names = split_names(keys)
     if not names:
@@ -73,7 +72,7 @@ def table_compare(
     on_left, on_right = F.col(f"l.{_HERE}").isNotNull(), F.col(f"r.{_HERE}").isNotNull()
     l = left.withColumn(_HERE, F.lit(True)).alias("l")
     r = once.withColumn(_HERE, F.lit(True)).alias("r")
-    joined = l.join(r, on, "full" if left_unique else "left")
+    joined = l.join(r, on, "left" if split_hot else "full")
     unequal = {
         c: ~values_equal(
             field(left, c, "l") or null_field(), field(right, c, "r") or null_field(), ignore_case, trim, nulls_equal
@@ -96,7 +95,7 @@ def table_compare(
     out = joined.select(*keys_out, *values, status.alias(STATUS), diffs.alias(DIFF_COLUMNS))
     if not include_matched:
         out = out.where(F.col(STATUS) != MATCH)
-    if left_unique:
+    if not split_hot:
         return out
     left_keys = [resolve(left, k) for k in names if resolve(left, k)]
     known = left.select(*[F.col(quoted(k)) for k in left_keys]).distinct()

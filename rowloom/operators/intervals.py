@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from rowloom.functions.values import quoted, resolve
 from rowloom.operators.keyed import columns_of, own_names
-from rowloom.operators.ordered import GROUP_ROWS, with_previous
+from rowloom.operators.ordered import with_previous
 from rowloom.operators.project import calculate
-from rowloom.operators.route import FAIL, PASS, filter_split, filter_rows
+from rowloom.operators.route import FAIL, PASS, filter_rows, predicate
 
 PREFIX = "PREVIOUS_"
 
@@ -23,7 +23,7 @@ def previous_event(
     columns: Sequence[str],
     prefix: str = PREFIX,
     keep_first: bool = False,
-    group_rows: int | None = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Each row with ``columns`` of the row before it in its group.
 
@@ -46,7 +46,7 @@ def event_intervals(
     end: str,
     order_by: Sequence[str] = (),
     output: str = "INTERVAL_MIN",
-    group_rows: int | None = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Minutes from the previous row's ``end`` to this row's ``start``."""
     out = previous_event(df, keys, order_by or [end], [end], group_rows=group_rows)
@@ -103,17 +103,17 @@ def overlap_split(
     end: str,
     order_by: Sequence[str] = (),
     output: str = "INTERVAL_MIN",
-    group_rows: int | None = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> dict[str, DataFrame]:
     """Rows that begin before the previous row of the group has ended and end
     after it, with the minutes between the two ends; all others on ``fail``."""
     chained = previous_event(df, keys, order_by or [end], [end], group_rows=group_rows)
     before = PREFIX + resolve(df, end)
-    first = filter_split(chained, start, "lessThan", right=before)
-    second = filter_split(first[PASS], end, "greaterThan", right=before)
+    begins, ends = (predicate(chained, c, op, right=before) for c, op in ((start, "lessThan"), (end, "greaterThan")))
+    overlaps = F.coalesce(begins & ends, F.lit(False))
     return {
-        PASS: calculate(second[PASS], "dateDiffMinutes", end, before, output),
-        FAIL: first[FAIL].unionByName(second[FAIL]),
+        PASS: calculate(chained.where(overlaps), "dateDiffMinutes", end, before, output),
+        FAIL: chained.where(~overlaps),
     }
 
 

@@ -1,9 +1,10 @@
 """Two-input join with the NULL-matches-empty key rule, and union of inputs.
 
 Skew: the plans keep both join inputs as plain shuffles and use join types whose
-hot partitions adaptive execution can split.  A full outer join cannot be split,
-so it is planned as a left outer join plus the unmatched right rows; an outer join
-whose optional side has hot keys sends those through an inner join.
+hot partitions adaptive execution can split.  Adaptive execution splits no full outer
+join, and of other outer joins only the preserved side.  Where keys may be hot there,
+``hot_rows`` looks for them (which runs a job) and sends them through an inner join; a
+full outer join is then a left outer join plus the unmatched right rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from rowloom.functions.values import (
     resolve,
     to_type,
 )
-from rowloom.operators.skew import GROUP_ROWS, hot_keys
+from rowloom.operators.skew import hot_keys
 
 JOIN_TYPES = ("INNER", "LEFT OUTER", "RIGHT OUTER", "FULL OUTER")
 _MATCHED = "__matched"
@@ -91,12 +92,12 @@ def merge_join(
     right: DataFrame,
     keys: str | Sequence[str] = (),
     how: str = "INNER",
-    hot_rows: int | None = GROUP_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join two inputs on equally named keys; no keys means the cross product.
 
-    Outer joins first look for keys with more than ``hot_rows`` rows on the side
-    that adaptive execution cannot split; None skips that look.
+    With ``hot_rows``, outer joins first look for keys with more rows than that on
+    the side that adaptive execution cannot split; without, no job runs.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"unknown join type {how!r}; known: {list(JOIN_TYPES)}")
@@ -110,6 +111,8 @@ def merge_join(
         return _joined(left, right, pairs, "inner")
     if how == "RIGHT OUTER":
         return _outer(left, right, pairs, "right", hot_rows)
+    if how == "FULL OUTER" and hot_rows is None:
+        return _full(left, right, pairs)
     out = _outer(left, right, pairs, "left", hot_rows)
     return out if how == "LEFT OUTER" else out.union(_unmatched(left, right, pairs))
 
@@ -122,6 +125,13 @@ def _joined(left: DataFrame, right: DataFrame, pairs: list[Key], how: str) -> Da
     return left.alias("l").join(right.alias("r"), on, how).select(*_output(left, right, None))
 
 
+def _full(left: DataFrame, right: DataFrame, pairs: list[Key]) -> DataFrame:
+    """One full outer join.  A shared column is the right row's where there is one."""
+    on = reduce(lambda a, b: a & b, [p.condition for p in pairs])
+    marked = right.withColumn(_MATCHED, F.lit(True)).alias("r")
+    return left.alias("l").join(marked, on, "full").select(*_output(left, right, F.col(f"r.{_MATCHED}")))
+
+
 def _outer(left: DataFrame, right: DataFrame, pairs: list[Key], how: str, hot_rows: int | None) -> DataFrame:
     """Adaptive execution splits hot keys of the preserved side only.  Keys that
     are hot on the other side certainly match there, so their rows need no outer

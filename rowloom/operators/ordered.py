@@ -2,126 +2,115 @@
 running count, and a global row number.
 
 A window hands each group to one task.  Where one group may hold a large share of
-all rows, the group is first cut along its order into cells: the window runs on
+all rows, ``group_rows`` cuts it along its order into cells: the window runs on
 (group, cell), and only the rows at the cell edges look across, through a table
-with one row per cell of a hot group.  A value of the first order column that by
-itself fills more than a cell gets a cell of its own, which the next order column
-cuts further.
+with one row per cell of a hot group.  Every hot group is cut at its own quantiles,
+so groups that follow one another in the order are cut as well as groups that
+overlap.  A value of the first order column that by itself fills more than a cell
+gets a cell of its own, which the next order column cuts further.
+
+Looking for hot groups runs jobs while the plan is built, so it is done only when
+``group_rows`` is given.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
-from itertools import accumulate
 from typing import NamedTuple
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowloom.functions.values import Field, micros_between, quoted
+from rowloom.functions.values import quoted
 from rowloom.operators.keyed import columns_of, own_names
-from rowloom.operators.skew import GROUP_ROWS, MAX_HOT, hot_hashes, sampled
+from rowloom.operators.skew import hot_hashes, sampled
 from rowloom.sources.scratch import ensure_checkpoint_dir
 
-_HASH, _PIECES = "__hash", "__pieces"
+_HASH, _CUTS = "__hash", "__cuts"
 _PER_CUT = 200
-MAX_BROADCAST_CELLS = 5 * MAX_HOT
-
-
-def _position(df: DataFrame, name: str) -> Column | None:
-    """The leading order column as a double that keeps its order."""
-    f = Field(F.col(quoted(name)), df.schema[name].dataType)
-    if f.numeric:
-        return f.col.cast("double")
-    if f.moment:
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return micros_between(f.col.cast("timestamp_ntz"), epoch).cast("double")
-    return None
 
 
 class Cut(NamedTuple):
     """Rows with their cells; ``cells`` are the columns that number them in order,
-    and hot groups have at most ``most_cells`` of them together."""
+    and ``is_hot`` marks the rows of the groups that are cut."""
 
     rows: DataFrame
     cells: list[str]
-    most_cells: int
+    is_hot: Column
 
     @property
     def hot(self) -> DataFrame:
-        return self.rows.where(F.col(_PIECES).isNotNull())
-
-
-def _edges(rows: DataFrame, most: int, rate: float) -> tuple[list[float], list[int], float]:
-    """Slot edges from a sample of the positions ``__p``, which slots hold a single
-    value, and the number of rows without a position.  A value that several
-    quantiles agree on gets a slot to itself."""
-    shares = [i / most for i in range(1, most)]
-    quantiles = F.percentile_approx("__p", shares, max(10_000, 20 * most))
-    cuts, missing = sampled(rows.select("__p"), rate).agg(quantiles, F.count_if(F.col("__p").isNull())).first()
-    heavy = {v for v, n in Counter(cuts or []).items() if n > 1}
-    inner = sorted(set(cuts or [0.0]) | {math.nextafter(v, math.inf) for v in heavy})
-    return [-math.inf, *inner, math.inf], [i + 1 for i, v in enumerate(inner) if v in heavy], missing / rate
+        return self.rows.where(self.is_hot)
+
+
+def _quantiles(sample: DataFrame, parts: Sequence[str], rows_per_row: float, limit: int) -> DataFrame:
+    """Cut points of each part (a hot group, or a value of one) that still has more than
+    ``limit`` rows: its own quantiles in the sample, repeated where one value fills
+    several cells."""
+    size = F.col("__n") * F.lit(rows_per_row)
+    pieces = F.ceil(size / F.lit(float(limit))).cast("int")
+    known = F.sort_array(F.collect_list("__p"))
+    per = sample.groupBy(*columns_of(parts)).agg(F.count(F.lit(1)).alias("__n"), known.alias("__s"))
+    place = lambda i: F.greatest(F.lit(1), F.ceil(i * F.size("__s") / pieces).cast("int"))
+    cuts = F.when(F.size("__s") == 0, F.slice("__s", 1, 0)).otherwise(
+        F.transform(F.sequence(F.lit(1), pieces - 1), lambda i: F.element_at("__s", place(i)))
+    )
+    return per.where(pieces > 1).select(*columns_of(parts), cuts.alias(_CUTS))
 
 
 def _cut(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], group_rows: int | None) -> Cut | None:
     """``df`` cut into cells, or None when no group is hot.
 
-    Cut points and hot groups are fixed numbers once found, so every use of the
-    cells agrees, also when lost tasks are run again.
+    The sample is kept while the cut points are taken from it; these are fixed
+    values once found, so every use of the cells agrees, also when lost tasks are
+    run again.
     """
-    if not order_by or _position(df, order_by[0]) is None:
-        return None
-    hot = hot_hashes(df, columns_of(keys), group_rows)
+    hot = hot_hashes(df, columns_of(keys), group_rows) if order_by else None
     if hot is None:
         return None
-    pieces = hot.pieces()
-    most = max(pieces.values())
+    spark, pieces = df.sparkSession, hot.pieces()
     rate = min(1.0, _PER_CUT * sum(pieces.values()) / hot.rows)
-    listed = df.sparkSession.createDataFrame(list(pieces.items()), f"{_HASH} bigint, {_PIECES} int")
-    rows = df.withColumn(_HASH, F.xxhash64(*columns_of(keys)))
-    rows = rows.join(F.broadcast(listed), _HASH, "left").drop(_HASH)
-    uncut, cells = F.col(_PIECES).isNotNull(), []
-    most_cells, repeats = 0, 1
-    for i, name in enumerate(order_by):
-        position = _position(df, name)
-        if position is None:
-            break
-        rows, cell, slot = rows.withColumn("__p", position), f"__cell{i}", F.col("__slot")
-        edges, single, missing = _edges(rows.where(uncut), most, rate)
-        cutter = Bucketizer(splits=edges, inputCol="__p", outputCol="__slot", handleInvalid="keep")
-        alone_slots = set(single)
-        # Slots are merged to as many cells as the group needs, but never with a
-        # slot of a single value.
-        before = list(accumulate((int(j in alone_slots) for j in range(len(edges))), initial=0))
-        place = [2 * before[j] + int(j in alone_slots) for j in range(len(edges))]
-        share = F.floor(slot * F.col(_PIECES) / F.lit(float(len(edges) - 1)))
-        number = share * (2 * len(single) + 2) + F.element_at(F.lit(place), slot.cast("int") + 1)
-        number = F.when(F.col("__p").isNull(), -1).otherwise(number)
-        rows = cutter.transform(rows).withColumn(cell, F.when(uncut, number).otherwise(0).cast("bigint"))
-        alone = f"__alone{i}"
-        rows = rows.withColumn(alone, uncut & (F.col("__p").isNull() | slot.isin(single))).drop("__p", "__slot")
-        cells.append(cell)
-        most_cells += repeats * (sum(pieces.values()) + len(pieces) * (2 * len(single) + 2))
-        repeats *= len(single) + 1
-        uncut = F.col(alone)
-        if not single and missing <= hot.limit:
-            break
-    return Cut(rows, cells, most_cells) if cells else None
-
-
-def _edge_join(rows: DataFrame, edges: DataFrame, names: Sequence[str], cut: Cut) -> DataFrame:
-    """Join the per-cell table to the rows: broadcast up to a fixed number of
-    cells, beyond that as an ordinary join."""
+    listed = spark.createDataFrame([(h,) for h in pieces], f"{_HASH} bigint")
+    hashed = df.withColumn(_HASH, F.xxhash64(*columns_of(keys)))
+    narrow = hashed.join(F.broadcast(listed), _HASH, "left_semi").select(_HASH, *columns_of(order_by))
+    sample = sampled(narrow, rate).persist()
+    rows = hashed
+    cells: list[str] = []
+    try:
+        for i, name in enumerate(order_by):
+            parts, cell = [_HASH, *cells], f"__cell{i}"
+            # only cells of one value (or of none) may be cut by the next column
+            single = sample.where(F.col(cells[-1]) % 2 == 1) if cells else sample
+            found = _quantiles(single.withColumn("__p", F.col(quoted(name))), parts, 1 / rate, hot.limit)
+            points = found.collect()
+            if not points:
+                break
+            table = F.broadcast(spark.createDataFrame(points, found.schema))
+            numbered = _cell_number(F.col(quoted(name))).alias(cell)
+            rows = rows.join(table, parts, "left").select(*columns_of(rows.columns), numbered)
+            sample = sample.join(table, parts, "left").select(*columns_of(sample.columns), numbered)
+            cells.append(cell)
+    finally:
+        sample.unpersist()
+    if not cells:
+        return None
+    return Cut(rows, cells, F.col(cells[0]) != 0)
+
+
+def _cell_number(p: Column) -> Column:
+    """The cell of a value among its part's cut points: even between two points, odd
+    for a value that fills a cell of its own, and for no value; 0 where nothing is cut."""
+    below = F.size(F.filter(_CUTS, lambda c: c < p))
+    same = F.size(F.filter(_CUTS, lambda c: c == p))
+    number = F.when(p.isNull(), F.lit(1)).otherwise(2 + 2 * below + (same > 1).cast("int"))
+    return F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(number).cast("bigint")
+
+
+def _edge_join(rows: DataFrame, edges: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Join the per-cell table to the rows; Spark broadcasts it where it is small."""
     a, b = columns_of(names, "a"), columns_of(names, "b")
     on = reduce(lambda x, y: x & y, [m.eqNullSafe(n) for m, n in zip(a, b)])
-    table = edges.alias("b")
-    if cut.most_cells <= MAX_BROADCAST_CELLS:
-        table = F.broadcast(table)
-    return rows.alias("a").join(table, on, "left")
+    return rows.alias("a").join(edges.alias("b"), on, "left")
 
 
 def _neighbour(
@@ -151,7 +140,7 @@ def _neighbour(
     across = Window.partitionBy(*columns_of(keys)).orderBy(*cut.cells)
     edges = ends.select(*columns_of(parts), shift("__end").over(across).alias("__edge"))
     inside = cut.rows.withColumn("__near", shift(row).over(w))
-    joined = _edge_join(inside, edges, parts, cut)
+    joined = _edge_join(inside, edges, parts)
     found = F.coalesce(F.col("a.__near"), F.col("b.__edge"))
     return joined.select(
         *columns_of(df.columns, "a"), *[found[f"v{i}"].alias(n) for i, n in enumerate(names)]
@@ -163,12 +152,12 @@ def with_previous(
     keys: Sequence[str],
     order_by: Sequence[str],
     columns: dict[str, str],
-    group_rows: int | None = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Add ``columns`` (source -> new name) of the row before, within each group.
 
     The order is ascending and should be total.  Groups with more than
-    ``group_rows`` rows are cut; None always plans the plain window.
+    ``group_rows`` rows are cut; None plans the plain window.
     """
     return _neighbour(df, keys, order_by, columns, True, group_rows)
 
@@ -178,7 +167,7 @@ def with_next(
     keys: Sequence[str],
     order_by: Sequence[str],
     columns: dict[str, str],
-    group_rows: int | None = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Like ``with_previous``, for the row after."""
     return _neighbour(df, keys, order_by, columns, False, group_rows)
@@ -190,7 +179,7 @@ def with_running_count(
     order_by: Sequence[str],
     name: str,
     condition: Column | None = None,
-    group_rows: int | None = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Add the number of rows so far (this one included) that meet ``condition``."""
     keys = own_names(df, keys, "key")
@@ -205,7 +194,7 @@ def with_running_count(
     sizes = cut.hot.groupBy(*columns_of(parts)).agg(F.count(counted).alias("__n"))
     before = Window.partitionBy(*columns_of(keys)).orderBy(*cut.cells).rowsBetween(Window.unboundedPreceding, -1)
     edges = sizes.select(*columns_of(parts), F.sum("__n").over(before).alias("__before"))
-    joined = _edge_join(cut.rows.withColumn("__n", running), edges, parts, cut)
+    joined = _edge_join(cut.rows.withColumn("__n", running), edges, parts)
     count = F.col("a.__n") + F.coalesce(F.col("b.__before"), F.lit(0))
     return joined.select(*columns_of(df.columns, "a"), count.alias(name))
 

@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowloom.functions.values import micros_between
-from rowloom.operators.ordered import GROUP_ROWS, with_next, with_running_count
+from rowloom.operators.ordered import with_next, with_running_count
 from rowloom.operators.skew import hot_hashes
 
 # The words and forms of a run log's event lines, which follow the
@@ -74,7 +74,7 @@ def parse_events(logs: DataFrame) -> DataFrame:
     )
 
 
-def step_records(logs: DataFrame, runs: DataFrame, group_rows: int | None = GROUP_ROWS) -> DataFrame:
+def step_records(logs: DataFrame, runs: DataFrame, group_rows: int | None = None) -> DataFrame:
     """One record per started step.
 
     A step ends at the next event of its name in the run.  If that is another
@@ -160,9 +160,9 @@ def search_runs(
     job: str = "",
     statuses: Sequence[str] = (),
     triggers: Sequence[str] = (),
-    limit: int = 500,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Runs that meet every given condition, newest first, at most ``limit``."""
+    """Runs that meet every given condition, newest first; with ``limit`` that many."""
     out = runs
     if since is not None:
         out = out.where(F.col("started_at") >= F.lit(str(since)).cast("timestamp_ntz"))
@@ -176,7 +176,8 @@ def search_runs(
         out = out.where(F.col("status").isin(list(statuses)))
     if triggers:
         out = out.where(F.col("trigger").isin(list(triggers)))
-    return out.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(max(1, limit))
+    out = out.orderBy(F.col("started_at").desc(), F.col("id").desc())
+    return out if limit is None else out.limit(limit)
 
 
 def run_detail(runs: DataFrame, steps: DataFrame, logs: DataFrame, run_id: int) -> dict[str, DataFrame]:

@@ -15,7 +15,6 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-GROUP_ROWS = 5_000_000
 MAX_HOT = 20_000
 _SEEN = 1_000
 _SEED = 7

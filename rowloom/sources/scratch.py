@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def _shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints.  Only a local session may
-    fall back to a folder of this machine."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="rowloom-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    """The folder the cluster names for checkpoints, and where it names none a folder
+    of the warehouse; both are shared by all executors."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{named.rstrip('/')}/rowloom-{spark.sparkContext.applicationId}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -26,4 +21,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one intermediate table."""
-    return f"{_shared_dir(spark).rstrip('/')}/rowloom-{name}-{uuid.uuid4().hex}"
+    return f"{_shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has left there, once its results are read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,7 +13,7 @@ def compare(spark, a, b, schema, keys="id", other=None, **options):
     options.setdefault("assume_unique", True)
     sides = both(spark, a, b, schema, other)
     out = table_compare(*sides, keys, **options)
-    single = table_compare(*sides, keys, left_unique=True, **options)
+    single = table_compare(*sides, keys, split_hot=True, **options)
     assert single.schema == out.schema and rows(single) == rows(out)
     return out
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from conftest import rows
+from rowloom.operators.compare import table_compare
 from rowloom.operators.intervals import event_intervals, event_pivot, overlap_split, previous_event, within_period
 from rowloom.operators.join import merge_join
 from rowloom.operators.ordered import _cut, global_row_number, with_next, with_previous, with_running_count
@@ -56,7 +57,6 @@ def test_hot_group_is_cut(skewed):
 
 def cell_sizes(df, group_rows):
     cut = _cut(df, ["k"], ["t", "i"], group_rows)
-    assert cut.hot.select("k", *cut.cells).distinct().count() <= cut.most_cells
     return cut.cells, [r["count"] for r in cut.hot.groupBy("k", *cut.cells).count().collect()]
 
 
@@ -72,16 +72,35 @@ def test_cells_are_bounded_even_where_one_value_fills_a_group(skewed, spark):
         assert rows(with_previous(df, ["k"], ["t", "i"], {"i": "x"}, 300)) == windowed(df, F.lag("i"))
 
 
-def test_edges_beyond_the_broadcast_bound(skewed, monkeypatch):
-    monkeypatch.setattr("rowloom.operators.ordered.MAX_BROADCAST_CELLS", 0)
-    got = with_previous(skewed, ["k"], ["t", "i"], {"i": "x"}, 100)
-    assert rows(got) == windowed(skewed, F.lag("i"))
-
-
-def test_text_order_falls_back_to_the_window(skewed):
+def test_text_order_is_cut(skewed):
     df = skewed.withColumn("t", F.col("t").cast("string"))
     got = with_previous(df, ["k"], ["t", "i"], {"i": "x"}, 100)
     assert rows(got) == windowed(df, F.lag("i"))
+    cells, sizes = cell_sizes(df, 100)
+    assert max(sizes) <= 250
+
+
+def test_groups_that_follow_one_another_are_cut(spark):
+    """Each key covers a range of its own: 20 keys of 5,000 rows."""
+    df = spark.range(100_000).select(F.floor(F.col("id") / 5000).alias("k"), (F.col("id") * 3).alias("t"), F.col("id").alias("i"))
+    cells, sizes = cell_sizes(df, 500)
+    assert sum(sizes) == 100_000 and max(sizes) <= 1000
+    assert rows(with_previous(df, ["k"], ["t"], {"i": "x"}, 500)) == windowed(df, F.lag("i"))
+
+
+def test_no_job_runs_while_planning(skewed):
+    sc = skewed.sparkSession.sparkContext
+    sc.setJobGroup("planning", "planning")
+    try:
+        with_previous(skewed, ["k"], ["t", "i"], {"i": "x"})
+        with_running_count(skewed, ["k"], ["t", "i"], "x")
+        other = skewed.withColumnRenamed("t", "u")
+        for how in ("LEFT OUTER", "RIGHT OUTER", "FULL OUTER"):
+            merge_join(skewed, other, "k", how)
+        table_compare(skewed, other, "i", order_by="u")
+        assert list(sc.statusTracker().getJobIdsForGroup("planning")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_hot_keys(skewed):
