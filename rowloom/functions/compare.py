@@ -138,8 +138,8 @@ def _cells_equal(left: Field, right: Field, ignore_case: bool, trim: bool) -> Co
     if left.numeric and right.numeric:
         if left.integral and right.integral:
             return left.col == right.col
-        if isinstance(left.type, T.DecimalType) and isinstance(right.type, T.DecimalType):
-            return left.col == right.col
+        if not left.floating and not right.floating:
+            return exactly_equal(left, right)
         return _close_doubles(left.col.cast("double"), right.col.cast("double"))
     a, b = as_text(left), as_text(right)
     words_a, words_b = (F.trim(a), F.trim(b)) if trim else (a, b)
@@ -153,6 +153,13 @@ def _cells_equal(left: Field, right: Field, ignore_case: bool, trim: bool) -> Co
     return F.when(a == b, F.lit(True)).otherwise(F.coalesce(as_numbers, words))
 
 
+def exactly_equal(left: Field, right: Field) -> Column:
+    """Equality of integers and decimals of any width: whole parts and fractions are
+    compared apart, as their common type may need more than 38 digits."""
+    a, b = (f.col.cast("decimal(20,0)") if f.integral else f.col for f in (left, right))
+    return (F.floor(a) == F.floor(b)) & ((a % F.lit(1)) == (b % F.lit(1)))
+
+
 def _close_doubles(a: Column, b: Column) -> Column:
     """Doubles are equal when they agree in 15 significant digits."""
     digits = F.format_string("%.14e", a) == F.format_string("%.14e", b)

@@ -38,6 +38,10 @@ class Field(NamedTuple):
     def integral(self) -> bool:
         return isinstance(self.type, _INTEGRAL)
 
+    @property
+    def floating(self) -> bool:
+        return isinstance(self.type, _FLOATING)
+
     @property
     def numeric(self) -> bool:
         return isinstance(self.type, T.NumericType)
@@ -243,12 +247,31 @@ def common_type(left: T.DataType, right: T.DataType) -> T.DataType:
             return left if _INTEGRAL.index(type(left)) > _INTEGRAL.index(type(right)) else right
         if isinstance(left, _FLOATING) or isinstance(right, _FLOATING):
             return T.DoubleType()
-        return DECIMAL
+        return _common_decimal(left, right)
     if lf.moment and rf.moment:
         return T.TimestampNTZType()
     return T.StringType()
 
 
+def decimal_digits(left: T.DataType, right: T.DataType) -> tuple[int, int]:
+    """Whole and fractional digits that hold both sides."""
+    sizes = [(t.precision, t.scale) if isinstance(t, T.DecimalType) else (19, 0) for t in (left, right)]
+    return max(p - s for p, s in sizes), max(s for _, s in sizes)
+
+
+def _common_decimal(left: T.DataType, right: T.DataType) -> T.DecimalType:
+    """Room for the whole digits of both sides, and for their fractions as far as 38
+    digits go."""
+    whole, fraction = decimal_digits(left, right)
+    return T.DecimalType(38, min(fraction, 38 - whole))
+
+
+def in_parts(f: Field, fraction: int) -> Column:
+    """A number without rounding: its whole part and its fraction."""
+    n = f.col.cast("decimal(20,0)") if f.integral else f.col
+    return F.struct(F.floor(n).cast("decimal(38,0)").alias("whole"), (n % F.lit(1)).cast(T.DecimalType(38, fraction)).alias("part"))
+
+
 def to_type(f: Field, target: T.DataType) -> Column:
     if f.type == target:
         return f.col

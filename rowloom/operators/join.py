@@ -19,7 +19,9 @@ from rowloom.functions.values import (
     Field,
     as_text,
     common_type,
+    decimal_digits,
     field,
+    in_parts,
     null_field,
     quoted,
     resolve,
@@ -63,6 +65,10 @@ def join_key(left: Field | None, right: Field | None) -> Key:
     if left.type == right.type and not left.text:
         return Key(left.col, right.col, True)
     if left.numeric and right.numeric or left.moment and right.moment:
+        if not (left.floating or right.floating or left.moment or left.integral and right.integral):
+            whole, fraction = decimal_digits(left.type, right.type)
+            if whole + fraction > 38:
+                return Key(in_parts(left, fraction), in_parts(right, fraction), True)
         shared = common_type(left.type, right.type)
         return Key(left.col.cast(shared), right.col.cast(shared), True)
     empty = F.lit("")

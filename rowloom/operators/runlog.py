@@ -177,7 +177,7 @@ def search_runs(
     if triggers:
         out = out.where(F.col("trigger").isin(list(triggers)))
     out = out.orderBy(F.col("started_at").desc(), F.col("id").desc())
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else out.limit(max(1, limit))
 
 
 def run_detail(runs: DataFrame, steps: DataFrame, logs: DataFrame, run_id: int) -> dict[str, DataFrame]:

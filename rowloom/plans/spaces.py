@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from rowloom.operators import merge
 from rowloom.sinks import external
 from rowloom.sinks.tables import append_jdbc
-from rowloom.sources.jdbc import JdbcConnection, lookup_each_row, read_jdbc
-from rowloom.sources.sqlstep import exec_sql, has_named, parameter_row, sql_each_row, sql_input
+from rowloom.sources.jdbc import JdbcConnection, Split, lookup_each_row, read_jdbc
+from rowloom.sources.sqlstep import exec_sql, has_named, has_positional, parameter_row, sql_each_row, sql_input
 
 Action = Callable[[], object]
 
@@ -24,7 +24,7 @@ class Parameters:
     seen: dict[int, tuple[DataFrame, dict]] = default(default_factory=dict)
 
     def of(self, sql: str, rows: DataFrame | None) -> dict | None:
-        if rows is None or not (has_named(sql) or "?" in sql):
+        if rows is None or not (has_named(sql) or has_positional(sql)):
             return None
         if id(rows) not in self.seen:
             names, values = parameter_row(rows)
@@ -44,7 +44,7 @@ class SessionSpace:
     states: dict[str, DataFrame] = default(default_factory=dict)
     parameters: Parameters = default(default_factory=Parameters)
 
-    def query(self, sql: str, rows: DataFrame | None, each_row: bool) -> DataFrame:
+    def query(self, sql: str, rows: DataFrame | None, each_row: bool, split: Split | None = None) -> DataFrame:
         if each_row and rows is not None:
             return sql_each_row(self.spark, sql, rows)
         return sql_input(self.spark, sql, self.parameters.of(sql, rows))
@@ -87,12 +87,12 @@ class JdbcSpace:
     connect: Callable[[], object] | None = None
     parameters: Parameters = default(default_factory=Parameters)
 
-    def query(self, sql: str, rows: DataFrame | None, each_row: bool) -> DataFrame:
+    def query(self, sql: str, rows: DataFrame | None, each_row: bool, split: Split | None = None) -> DataFrame:
         if each_row and rows is not None:
             # Every column NULL: the database still tells the result's columns.
             shape = read_jdbc(self.spark, self.connection, sql=sql, params=dict.fromkeys(rows.columns)).schema
             return lookup_each_row(rows, self.connect, self.connection.kind, sql, shape)
-        return read_jdbc(self.spark, self.connection, sql=sql, params=self.parameters.of(sql, rows))
+        return read_jdbc(self.spark, self.connection, sql=sql, params=self.parameters.of(sql, rows), split=split)
 
     def execute(self, sql: str, rows: DataFrame | None, each_row: bool) -> list[Action]:
         if each_row and rows is not None:

@@ -12,10 +12,11 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.operators import compare, join, project, route
+from rowloom.operators import compare, intervals, join, project, route
 from rowloom.plans.spaces import SessionSpace
 from rowloom.sinks.files import write_delimited
 from rowloom.sources.files import read_delimited
+from rowloom.sources.jdbc import Split
 from rowloom.sources.variables import set_variables
 from rowloom.sources.workbooks import parse_workbooks, workbook_files, workbook_headers, workbook_table
 
@@ -81,8 +82,13 @@ def _one(inputs: list[DataFrame], what: str) -> DataFrame:
 
 @step("DBInput", "OracleInput", "MySQLInput", "PostgreSQLInput", "SqlServerInput", "SqliteInput")
 def db_input(ctx, inputs, s):
+    """``SplitColumn`` with ``SplitLower``, ``SplitUpper`` and ``SplitParts`` divides a
+    read of an external database among tasks."""
     rows = inputs[0] if inputs else None
-    return {OUT: ctx.space(s).query(text(s, "SQL"), rows, truth(s, "ExecuteEachRow", False))}
+    split = None
+    if text(s, "SplitColumn"):
+        split = Split(text(s, "SplitColumn"), text(s, "SplitLower"), text(s, "SplitUpper"), count(s, "SplitParts", 16))
+    return {OUT: ctx.space(s).query(text(s, "SQL"), rows, truth(s, "ExecuteEachRow", False), split)}
 
 
 @step("DBOutput", "OracleOutput", "MySQLOutput", "PostgreSQLOutput", "SqlServerOutput", "SqliteOutput")
@@ -146,7 +152,9 @@ def file_input(ctx, inputs, s):
     files, sheet = workbook_files(ctx.spark, path), text(s, "SheetName")
     columns = join.split_names(text(s, "Columns")) or workbook_headers(files, sheet, header)
     table = workbook_table(parse_workbooks(files, sheet, header), columns)
-    return {OUT: (table.limit(most) if most else table).drop("path", "row_no")}
+    if most:  # the first rows of the files in their order
+        table = table.orderBy("path", "row_no").limit(most)
+    return {OUT: table.drop("path", "row_no")}
 
 
 @step("ExcelOutput")
@@ -230,6 +238,36 @@ def compare_step(ctx, inputs, s):
     }
 
 
+@step("PreviousEvent")
+def previous_event_step(ctx, inputs, s):
+    """``Columns`` of the row before in the group, under ``Prefix``."""
+    rows = _one(inputs, "PreviousEvent")
+    names = {k: join.split_names(text(s, k)) for k in ("KeyFields", "OrderFields", "Columns")}
+    out = intervals.previous_event(rows, names["KeyFields"], names["OrderFields"], names["Columns"], text(s, "Prefix", intervals.PREFIX), truth(s, "KeepFirst", False))
+    return {OUT: out}
+
+
+@step("EventPivot")
+def event_pivot_step(ctx, inputs, s):
+    """One row per key; ``Events`` has lines ``event|column|output name``."""
+    values: dict[str, dict[str, str]] = {}
+    for line in text(s, "Events").splitlines():
+        if line.strip():
+            event, column, name = (part.strip() for part in line.split("|"))
+            values.setdefault(event, {})[column] = name
+    keys = join.split_names(text(s, "KeyFields"))
+    rows = _one(inputs, "EventPivot")
+    return {OUT: intervals.event_pivot(rows, keys, text(s, "EventField"), values, text(s, "OrderField"), truth(s, "Complete", True))}
+
+
+@step("Overlap")
+def overlap_step(ctx, inputs, s):
+    """Spans that begin before the group's previous one has ended, and all others."""
+    rows = _one(inputs, "Overlap")
+    keys, order = (join.split_names(text(s, k)) for k in ("KeyFields", "OrderFields"))
+    return intervals.overlap_split(rows, keys, text(s, "StartField"), text(s, "EndField"), order, text(s, "OutputFieldName", "INTERVAL_MIN"))
+
+
 @step("SetVariable")
 def variables(ctx, inputs, s):
     return {OUT: set_variables(ctx.spark, text(s, "Fields"), text(s, "DateFormat", "yyyy/MM/dd"), ctx.as_of)}

@@ -23,40 +23,31 @@ def _edges(*pairs: str) -> list[dict]:
     return out
 
 
-# A stretch of work begins with a view or click and ends with the next event; its
-# waiting time is the gap since the end of the stretch before.  The period is the
-# last ten days of the data.
-PERIOD = """SELECT date_format(max(ts) - INTERVAL '10' DAY, 'yyyy/MM/dd') AS start_date,
-                   date_format(max(ts), 'yyyy/MM/dd') AS end_date FROM events"""
-NUMBERED = """SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + {shift} AS ROWNUM, {columns},
-                     :{{start_date}} AS START_DATE_VAR, :{{end_date}} AS END_DATE_VAR
-              FROM events WHERE user_id IN (SELECT user_id FROM events
-                WHERE ts > to_timestamp(:{{start_date}}, 'yyyy/MM/dd') AND ts <= to_timestamp(:{{end_date}}, 'yyyy/MM/dd')
-                GROUP BY user_id)"""
-WORK_WAIT = {
-    "Name": "work wait",
+# How long each user was idle before each event of the last ten days: the gap to the
+# event before, kept for a period, and written into a table of gaps.
+RECENT = [
+    {"name": "from_day", "sql": "date_format(max(ts) - INTERVAL '{days}' DAY, 'yyyy/MM/dd')"},
+    {"name": "to_day", "sql": "date_format(max(ts), 'yyyy/MM/dd')"},
+]
+
+
+def _bounds(days: int) -> str:
+    return "SELECT " + ", ".join(f"{c['sql'].format(days=days)} AS {c['name']}" for c in RECENT) + " FROM events"
+
+
+IDLE = {
+    "Name": "idle minutes",
     "Steps": [
-        _step("Period", "DBInput", SQL=PERIOD),
-        _step("Rows", "DBInput", SQL=NUMBERED.format(shift=0, columns="user_id, event_id, ts AS WORK_START")),
-        _step("Before", "DBInput", SQL=NUMBERED.format(shift=1, columns="user_id, ts AS PREVIOUS_WORK_END")),
-        _step("Join", "MergeJoin", JoinType="INNER", KeyFields="ROWNUM,user_id"),
-        _step(
-            "Minutes",
-            "Calculation",
-            OutputFieldName="WAIT_MIN",
-            ExpressionType="dateDiffMinutes",
-            Field1="WORK_START",
-            Field2="PREVIOUS_WORK_END",
-        ),
-        _step("After", "Filter", FieldName="WORK_START", Operator="greaterThan", RightField="START_DATE_VAR"),
-        _step("Until", "Filter", FieldName="WORK_START", Operator="lessOrEqual", RightField="END_DATE_VAR"),
-        _step("Keep", "SelectValues", FieldMappings="user_id\nevent_id\nWAIT_MIN|wait_min"),
-        _step("Update", "DBUpdate", TableName="waits", KeyFields="USER_ID,EVENT_ID", UpdateFields="wait_min"),
+        _step("Bounds", "DBInput", SQL=_bounds(10)),
+        _step("Read", "DBInput", SQL="SELECT user_id, event_id, ts, :{from_day} AS from_day, :{to_day} AS to_day FROM events"),
+        _step("Before", "PreviousEvent", KeyFields="user_id", OrderFields="ts,event_id", Columns="ts", Prefix="last_"),
+        _step("Later", "Filter", FieldName="ts", Operator="greaterThan", RightField="from_day"),
+        _step("Within", "Filter", FieldName="ts", Operator="lessOrEqual", RightField="to_day"),
+        _step("Gap", "Calculation", OutputFieldName="idle_min", ExpressionType="dateDiffMinutes", Field1="ts", Field2="last_ts"),
+        _step("Slim", "SelectValues", FieldMappings="user_id\nevent_id\nidle_min"),
+        _step("Store", "DBUpdate", TableName="gaps", KeyFields="USER_ID,EVENT_ID", UpdateFields="idle_min"),
     ],
-    "Connections": _edges(
-        "Period>Rows", "Period>Before", "Rows>Join", "Before>Join", "Join>Minutes", "Minutes>After", "After>Until",
-        "Until:pass>Keep", "Keep>Update",
-    ),
+    "Connections": _edges("Bounds>Read", "Read>Before", "Before>Later", "Later>Within", "Within>Gap", "Gap>Slim", "Slim>Store"),
 }
 
 
@@ -65,78 +56,72 @@ WORK_WAIT = {
     """WITH p AS (SELECT date_trunc('day', max(ts) - INTERVAL 10 DAY) AS lo, date_trunc('day', max(ts)) AS hi FROM events),
         x AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
        SELECT user_id, event_id, CASE WHEN ts > lo AND ts <= hi
-           THEN round_even((epoch_us(ts) - epoch_us(before)) / 60000000.0::DOUBLE, 2) END AS wait_min FROM x, p""",
+           THEN round_even((epoch_us(ts) - epoch_us(before)) / 60000000.0::DOUBLE, 2) END AS idle_min FROM x, p""",
 )
 def work_wait_flow(t):
-    """Number the rows, join row k with row k-1, keep a period, update a table."""
+    """The event before in the user's order, a period, and an update of a table."""
     t.views("events")
-    waits = t.events.select("user_id", "event_id", F.lit(None).cast("double").alias("wait_min"))
-    waits.createOrReplaceTempView("waits")
+    gaps = t.events.select("user_id", "event_id", F.lit(None).cast("double").alias("idle_min"))
+    gaps.createOrReplaceTempView("gaps")
     context = Context(t.spark)
-    build(WORK_WAIT, context)
-    return context.session.states["waits"]
-
-
-DAILY = "SELECT *, date_trunc('day', ts) AS day FROM events"
-PROCESS_SQL = f"""SELECT 'H1' AS line_id, d.user_id, d.day, a.work_start, b.proc_start, c.proc_end, d.work_end,
-    CASE WHEN a.v > 10 AND d.v > 10 THEN 1 ELSE 0 END AS auto_flag, e.n, e.total
-  FROM (SELECT user_id, day, max(ts) AS work_end, max(value) AS v FROM ({DAILY}) WHERE event_type = 'signup' GROUP BY user_id, day) d
-  JOIN (SELECT user_id, day, max(ts) AS work_start, max(value) AS v FROM ({DAILY}) WHERE event_type = 'view' GROUP BY user_id, day) a
-    ON a.user_id = d.user_id AND a.day = d.day
-  JOIN (SELECT user_id, day, max(ts) AS proc_start FROM ({DAILY}) WHERE event_type = 'click' GROUP BY user_id, day) b
-    ON b.user_id = d.user_id AND b.day = d.day
-  JOIN (SELECT user_id, day, max(ts) AS proc_end FROM ({DAILY}) WHERE event_type = 'purchase' GROUP BY user_id, day) c
-    ON c.user_id = d.user_id AND c.day = d.day
-  LEFT JOIN (SELECT user_id, day, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total
-             FROM ({DAILY}) WHERE event_type = 'error' GROUP BY user_id, day) e
-    ON e.user_id = d.user_id AND e.day = d.day
-  WHERE d.work_end >= {{start}} AND d.work_end < {{end}}"""
-PROCESS = {
-    "Name": "process time",
+    build(IDLE, context)
+    return context.session.states["gaps"]
+
+
+# The visits of a user and day that went from view over click and purchase to signup:
+# when each happened, how long the visit took, and what failed meanwhile.
+STAGES = {"view": "began", "click": "tried", "purchase": "paid", "signup": "ended"}
+VISITS = {
+    "Name": "visits",
     "Steps": [
-        _step("Period", "DBInput", SQL=PERIOD.replace("'10'", "'25'")),
+        _step("Bounds", "DBInput", SQL=_bounds(25)),
         _step(
-            "Collect",
+            "Read",
             "DBInput",
-            SQL=PROCESS_SQL.format(
-                start="to_timestamp(:{start_date}, 'yyyy/MM/dd')", end="to_timestamp(:{end_date}, 'yyyy/MM/dd')"
-            ),
+            SQL="""SELECT user_id, date_trunc('day', ts) AS day, event_type, ts, value,
+                       :{from_day} AS from_day, :{to_day} AS to_day FROM events""",
         ),
-        _step("Minutes", "Calculation", OutputFieldName="work_min", ExpressionType="dateDiffMinutes", Field1="work_end", Field2="work_start"),
-        _step("Store", "InsertUpdate", TableName="process_time", KeyFields="line_id,user_id,day",
-              UpdateFields="line_id,user_id,day,work_start,proc_start,proc_end,work_end,auto_flag,n,total,work_min"),
+        _step(
+            "Pivot",
+            "EventPivot",
+            KeyFields="user_id,day,from_day,to_day",
+            EventField="event_type",
+            OrderField="ts",
+            Events="\n".join(f"{event}|ts|{name}" for event, name in STAGES.items()),
+        ),
+        _step("Later", "Filter", FieldName="ended", Operator="greaterOrEqual", RightField="from_day"),
+        _step("Within", "Filter", FieldName="ended", Operator="lessThan", RightField="to_day"),
+        _step("Took", "Calculation", OutputFieldName="took_min", ExpressionType="dateDiffMinutes", Field1="ended", Field2="began"),
+        _step("Slim", "SelectValues", FieldMappings="user_id\nday\nbegan\ntried\npaid\nended\ntook_min"),
+        _step("Store", "InsertUpdate", TableName="visits", KeyFields="user_id,day", UpdateFields="user_id,day,began,tried,paid,ended,took_min"),
     ],
-    "Connections": _edges("Period>Collect", "Collect>Minutes", "Minutes>Store"),
+    "Connections": _edges("Bounds>Read", "Read>Pivot", "Pivot>Later", "Later>Within", "Within>Took", "Took>Slim", "Slim>Store"),
 }
-PROCESS_ORACLE = PROCESS_SQL.format(start="p.lo", end="p.hi").replace(
-    "FROM (SELECT user_id, day, max(ts) AS work_end",
-    "FROM (SELECT date_trunc('day', max(ts) - INTERVAL 25 DAY) AS lo, date_trunc('day', max(ts)) AS hi FROM events) p, (SELECT user_id, day, max(ts) AS work_end",
-)
 
 
 @query(
     "process_time_flow",
-    f"""WITH s AS ({PROCESS_ORACLE}), t AS (SELECT DISTINCT 'H1' AS line_id, user_id, date_trunc('day', ts) AS day, -1 AS auto_flag
-          FROM events WHERE event_type = 'signup')
-        SELECT coalesce(t.line_id, s.line_id) AS line_id, coalesce(t.user_id, s.user_id) AS user_id,
-               CAST(coalesce(t.day, s.day) AS TIMESTAMP) AS day, work_start, proc_start, proc_end, work_end,
-               coalesce(s.auto_flag, t.auto_flag) AS auto_flag, n, total,
-               round_even((epoch_us(work_end) - epoch_us(work_start)) / 60000000.0::DOUBLE, 2) AS work_min
-        FROM t FULL JOIN s ON t.line_id = s.line_id AND t.user_id = s.user_id AND t.day = s.day""",
+    """WITH p AS (SELECT date_trunc('day', max(ts) - INTERVAL 25 DAY) AS lo, date_trunc('day', max(ts)) AS hi FROM events),
+        v AS (SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day,
+                max(ts) FILTER (event_type = 'view') AS began, max(ts) FILTER (event_type = 'click') AS tried,
+                max(ts) FILTER (event_type = 'purchase') AS paid, max(ts) FILTER (event_type = 'signup') AS ended
+              FROM events GROUP BY ALL),
+        s AS (SELECT v.* FROM v, p WHERE began IS NOT NULL AND tried IS NOT NULL AND paid IS NOT NULL AND ended >= lo AND ended < hi),
+        t AS (SELECT DISTINCT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day FROM events WHERE event_type = 'signup')
+       SELECT coalesce(t.user_id, s.user_id) AS user_id, coalesce(t.day, s.day) AS day, began, tried, paid, ended,
+              round_even((epoch_us(ended) - epoch_us(began)) / 60000000.0::DOUBLE, 2) AS took_min
+       FROM t FULL JOIN s ON t.user_id = s.user_id AND t.day = s.day""",
 )
 def process_time_flow(t):
-    """Four events of one item side by side, with a left-joined total, upserted."""
+    """Four events of a visit side by side in one aggregation, upserted."""
     t.views("events")
-    known = t.spark.sql(
-        """SELECT DISTINCT 'H1' AS line_id, user_id, CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ) AS day,
-             CAST(NULL AS TIMESTAMP_NTZ) AS work_start, CAST(NULL AS TIMESTAMP_NTZ) AS proc_start, CAST(NULL AS TIMESTAMP_NTZ) AS proc_end,
-             CAST(NULL AS TIMESTAMP_NTZ) AS work_end, -1 AS auto_flag, CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS total,
-             CAST(NULL AS DOUBLE) AS work_min FROM events WHERE event_type = 'signup'"""
-    )
-    known.createOrReplaceTempView("process_time")
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
+    known = t.events.where("event_type = 'signup'").select("user_id", day).distinct()
+    empty = [F.lit(None).cast("timestamp_ntz").alias(c) for c in STAGES.values()]
+    known.select("user_id", "day", *empty, F.lit(None).cast("double").alias("took_min")).createOrReplaceTempView("visits")
     context = Context(t.spark)
-    build(PROCESS, context)
-    return context.session.states["process_time"]
+    build(VISITS, context)
+    return context.session.states["visits"]
 
 
 ROUTES = {

@@ -99,8 +99,21 @@ class Statements:
         return " ".join(parts) + ("" if oracle else ";")
 
 
-def send(df: DataFrame, connect: Callable[[], object], statement: str, columns: Sequence[str], commit_size: int = 100) -> None:
-    """Run ``statement`` once per row, in batches, one connection per partition.
+CONNECTIONS = 16
+"""Connections that one write opens at once, whatever the number of executors."""
+
+
+def send(
+    df: DataFrame,
+    connect: Callable[[], object],
+    statement: str,
+    columns: Sequence[str],
+    commit_size: int = 100,
+    connections: int = CONNECTIONS,
+    in_order: bool = False,
+) -> None:
+    """Run ``statement`` once per row, in batches, over ``connections`` partitions with a
+    connection each; ``in_order`` keeps the rows of a partition together.
 
     ``connect`` is called inside the tasks.  Tasks may run again after a loss, so
     the statement must be idempotent.
@@ -125,7 +138,15 @@ def send(df: DataFrame, connect: Callable[[], object], statement: str, columns:
         finally:
             connection.close()
 
-    df.select(*columns_of(list(dict.fromkeys(names)))).foreachPartition(run)
+    rows = df.select(*columns_of(list(dict.fromkeys(names))))
+    (rows.rdd.coalesce(connections) if in_order else rows.repartition(connections)).foreachPartition(run)
+
+
+def _keys(df: DataFrame, keys: str | Sequence[str]) -> list[str]:
+    names = own_names(df, split_names(keys), "key")
+    if not names:
+        raise ValueError("a change of an external table needs at least one key column")
+    return names
 
 
 def _reduced(
@@ -151,7 +172,7 @@ def upsert_external(
     assume_unique: bool = False,
     commit_size: int = 100,
 ) -> DataFrame:
-    names = own_names(df, split_names(keys), "key")
+    names = _keys(df, keys)
     low = {k.lower() for k in names}
     chosen = split_names(update_fields)
     updates = [c for c in df.columns if c.lower() not in low and (not chosen or c.lower() in {u.lower() for u in chosen})]
@@ -173,7 +194,7 @@ def update_external(
     commit_size: int = 100,
 ) -> DataFrame:
     """An update field the source lacks is set to NULL."""
-    names = own_names(df, split_names(keys), "key")
+    names = _keys(df, keys)
     low = {k.lower() for k in names}
     updates = split_names(update_fields) or [c for c in df.columns if c.lower() not in low]
     lacking = {u: F.lit(None).cast("string") for u in updates if resolve(df, u) is None}
@@ -187,7 +208,7 @@ def update_external(
 def delete_external(
     df: DataFrame, connect: Callable[[], object], kind: str, table: str, keys: str | Sequence[str], commit_size: int = 100
 ) -> DataFrame:
-    names = own_names(df, split_names(keys), "key")
+    names = _keys(df, keys)
     gone = df.select(*columns_of(names)).where(all_present(names)).distinct()
     send(gone, connect, Statements(kind).delete(table, names), names, commit_size)
     return df
@@ -195,5 +216,5 @@ def delete_external(
 
 def exec_each_row(df: DataFrame, connect: Callable[[], object], statement: str, commit_size: int = 100) -> DataFrame:
     """Run a statement for every row, values bound by column order."""
-    send(df, connect, statement, df.columns, commit_size)
+    send(df, connect, statement, df.columns, commit_size, in_order=True)
     return df

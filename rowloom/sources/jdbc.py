@@ -10,7 +10,7 @@ from datetime import date, datetime
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from rowloom.sources.sqlstep import NAMED, has_named, parameter_row, trim_statement
+from rowloom.sources.sqlstep import NAMED, has_named, has_positional, outside_quotes, parameter_row, trim_statement
 
 # Url prefix -> database kind, and the driver class of each kind.
 KINDS = {
@@ -84,7 +84,9 @@ def literal(value: object, kind: str) -> str:
     if value is None:
         return "NULL"
     if isinstance(value, bool):
-        return str(int(value))
+        return str(value).upper() if kind == "postgresql" else str(int(value))
+    if isinstance(value, (bytes, bytearray)):
+        raise TypeError("a binary value cannot be a literal in a JDBC query")
     if isinstance(value, (datetime, date)):
         at = value if isinstance(value, datetime) else datetime(value.year, value.month, value.day)
         text = at.isoformat(sep="T" if kind == "sqlserver" else " ")
@@ -102,17 +104,15 @@ def bound_sql(sql: str, params: DataFrame | Mapping | Sequence | None, kind: str
     if params is None:
         return sql
     wanted = NAMED if has_named(sql) else r"\?"
-    if not re.search(wanted, sql):
+    if wanted != NAMED and not has_positional(sql):
         return sql
     names, values = parameter_row(params)
     by_name, in_order = dict(zip(names, values)), iter(values)
 
     def fill(m: re.Match) -> str:
-        if m.group(0).startswith("'"):
-            return m.group(0)
-        return literal(by_name[m.group(1)] if m.group(0).startswith(":") else next(in_order), kind)
+        return literal(by_name[m.group(2)] if m.group(0).startswith(":") else next(in_order), kind)
 
-    return re.sub(rf"'(?:[^']|'')*'|{wanted}", fill, sql)
+    return outside_quotes(wanted, fill, sql, kind in BACKSLASH_ESCAPES)
 
 
 def read_options(
@@ -153,10 +153,10 @@ def lookup_each_row(
     order: list[str] = []
 
     def mark(m: re.Match) -> str:
-        order.append(m.group(1) if m.group(0).startswith(":") else columns[len(order)])
+        order.append(m.group(2) if m.group(0).startswith(":") else columns[len(order)])
         return MARKS[kind].format(n=len(order))
 
-    statement = re.sub(NAMED if has_named(text) else r"\?", mark, text)
+    statement = outside_quotes(NAMED if has_named(text) else r"\?", mark, text, kind in BACKSLASH_ESCAPES)
     fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fieldNames()
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,12 +14,34 @@ from rowloom.functions.values import quoted
 NAMED = r":\{([a-zA-Z_]\w*)\}"
 
 
+_NAMES_AND_COMMENTS = r"""`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/"""
+_QUOTED = r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|""" + _NAMES_AND_COMMENTS
+_ESCAPED = r"""'(?:[^'\\]|''|\\.)*'|"(?:[^"\\]|""|\\.)*"|""" + _NAMES_AND_COMMENTS
+
+
+def outside_quotes(pattern: str, fill: Callable[[re.Match], str], sql: str, escapes: bool = True) -> str:
+    """Replace what ``pattern`` matches outside literals, quoted names and comments.
+    ``escapes``: a backslash keeps a quote from ending a literal, as in Spark SQL."""
+    found = re.compile(f"(?P<quoted__>{_ESCAPED if escapes else _QUOTED})|{pattern}", re.S)
+    return found.sub(lambda m: m.group(0) if m.group("quoted__") is not None else fill(m), sql)
+
+
+def _unquoted(pattern: str, sql: str) -> bool:
+    seen: list[str] = []
+    outside_quotes(pattern, lambda m: seen.append(m.group(0)) or m.group(0), sql)
+    return bool(seen)
+
+
+def has_positional(sql: str) -> bool:
+    return _unquoted(r"\?", sql)
+
+
 def trim_statement(sql: str) -> str:
     return sql.strip().rstrip(";").rstrip()
 
 
 def has_named(sql: str) -> bool:
-    return re.search(NAMED, sql) is not None
+    return _unquoted(NAMED, sql)
 
 
 def parameter_row(params: DataFrame | Mapping | Sequence | None) -> tuple[list[str], list]:
@@ -45,8 +67,8 @@ def sql_input(spark: SparkSession, sql: str, params: DataFrame | Mapping | Seque
     text = trim_statement(sql)
     if has_named(text):
         names, values = parameter_row(params)
-        return spark.sql(re.sub(NAMED, r":\1", text), args=dict(zip(names, values)))
-    if "?" in text and params is not None:
+        return spark.sql(outside_quotes(NAMED, lambda m: f":{m.group(2)}", text), args=dict(zip(names, values)))
+    if params is not None and has_positional(text):
         return spark.sql(text, args=parameter_row(params)[1])
     return spark.sql(text)
 
@@ -63,10 +85,10 @@ def sql_each_row(spark: SparkSession, sql: str, rows: DataFrame, check_empty: bo
     outer = "p_" + uuid.uuid4().hex
     text = trim_statement(sql)
     if has_named(text):
-        text = re.sub(NAMED, lambda m: f"{outer}.{quoted(m.group(1))}", text)
+        text = outside_quotes(NAMED, lambda m: f"{outer}.{quoted(m.group(2))}", text)
     else:
         columns = iter(rows.columns)
-        text = re.sub(r"\?", lambda m: f"{outer}.{quoted(next(columns))}", text)
+        text = outside_quotes(r"\?", lambda m: f"{outer}.{quoted(next(columns))}", text)
     rows.createOrReplaceTempView(outer)
     try:
         return spark.sql(f"SELECT q.* FROM {outer}, LATERAL ({text}) AS q")
