@@ -56,7 +56,8 @@ class Flow:
         return self.frames[(ident, port)]
 
     def run(self) -> None:
-        """Run the writes in step order, then read every other terminal step."""
+        """Run the external writes in step order, read every other terminal step, and
+        last write the changed tables of the session."""
         sources = {c["SourceStepId"] for c in self.spec.get("Connections", [])}
         acted = bool(self.context.actions)
         for action in self.context.actions:
@@ -65,6 +66,7 @@ class Flow:
             for (ident, _), df in self.frames.items():
                 if ident not in sources and not (acted and self._is_sink(ident)):
                     df.write.format("noop").mode("overwrite").save()
+            self.context.session.flush()
         finally:
             for df in self.persisted:
                 df.unpersist()
@@ -153,6 +155,7 @@ def build(
         if len(inputs) > 1 and me["StepType"] not in TWO_INPUTS:
             inputs = [union_inputs(inputs)]
         settings = me.get("Settings") or {}
+        context.read_later = readers[ident] > 0
         for port, df in STEPS[me["StepType"]](context, inputs, settings).items():
             if observe:
                 seen = Observation(f"{ident}/{port}/{id(flow)}")

@@ -7,10 +7,13 @@ from dataclasses import dataclass, field as default
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rowloom.functions.values import resolve
 from rowloom.operators import merge
+from rowloom.operators.keyed import columns_of
 from rowloom.sinks import external
-from rowloom.sinks.tables import append_jdbc
+from rowloom.sinks.tables import append_jdbc, append_table
 from rowloom.sources.jdbc import JdbcConnection, Split, lookup_each_row, read_jdbc
+from rowloom.sources.scratch import scratch_path
 from rowloom.sources.sqlstep import exec_sql, has_named, has_positional, parameter_row, sql_each_row, sql_input
 
 Action = Callable[[], object]
@@ -37,11 +40,15 @@ class SessionSpace:
     """Views and tables of the Spark session.
 
     A change makes a new state of the table, which replaces its view, so later
-    steps read the changed table.  ``states`` holds what is to be written.
+    steps read the changed table.  ``flush`` writes the states of tables of the
+    catalog, when everything that reads them has run: rows that were only inserted
+    are appended; other states are written to the shared folder first, as they are
+    computed from the table that they replace.
     """
 
     spark: SparkSession
     states: dict[str, DataFrame] = default(default_factory=dict)
+    stored: dict[str, tuple[str, list[DataFrame] | None]] = default(default_factory=dict)
     parameters: Parameters = default(default_factory=Parameters)
 
     def query(self, sql: str, rows: DataFrame | None, each_row: bool, split: Split | None = None) -> DataFrame:
@@ -54,17 +61,49 @@ class SessionSpace:
             raise ValueError("a statement per row needs an external database")
         return [lambda: exec_sql(self.spark, sql)]
 
-    def _replace(self, table: str, state: DataFrame) -> list[Action]:
-        self.states[table.lower()] = state
-        state.createOrReplaceTempView(table)
+    def _replace(self, table: str, state: DataFrame, inserted: DataFrame | None = None) -> list[Action]:
+        key = table.lower()
+        if key not in self.states and (name := self._catalog_name(table)):
+            self.stored[key] = (name, [])
+        if key in self.stored:
+            name, rows = self.stored[key]
+            self.stored[key] = (name, None if rows is None or inserted is None else [*rows, inserted])
+        self.states[key] = state
+        if "." not in table:
+            state.createOrReplaceTempView(table)
         return []
 
+    def _catalog_name(self, table: str) -> str | None:
+        """The full name of a table of the catalog; a view is no table."""
+        catalog = self.spark.catalog
+        if not catalog.tableExists(table) or catalog.getTable(table).tableType not in ("MANAGED", "EXTERNAL"):
+            return None
+        return table if "." in table else f"{catalog.currentDatabase()}.{table}"
+
+    def flush(self) -> None:
+        """Write what changed, once."""
+        written = {}
+        for key, (name, rows) in self.stored.items():
+            if rows is None:
+                written[key] = scratch_path(self.spark, "state")
+                self.states[key].write.parquet(written[key])
+        for key, (name, rows) in self.stored.items():
+            columns = self.spark.table(name).columns
+            if rows is None:
+                state = self.spark.read.parquet(written[key])
+                state.select(*columns_of(columns)).write.mode("overwrite").insertInto(name)
+            for some in rows or ():
+                append_table(some.select(*columns_of([c for c in columns if resolve(some, c)])), name)
+            if "." not in key:
+                self.spark.catalog.dropTempView(key)
+        self.stored.clear()
+
     def _now(self, table: str) -> DataFrame:
         state = self.states.get(table.lower())
         return self.spark.table(table) if state is None else state
 
     def insert(self, table: str, rows: DataFrame, commit_size: int) -> list[Action]:
-        return self._replace(table, merge.insert_rows(self._now(table), rows))
+        return self._replace(table, merge.insert_rows(self._now(table), rows), rows)
 
     def upsert(self, table: str, rows: DataFrame, keys, updates, order_by, commit_size: int) -> list[Action]:
         keys = keys or [rows.columns[0]]

@@ -33,6 +33,7 @@ class Context:
     as_of: datetime | None = None
     actions: list[Callable[[], object]] = default(default_factory=list)
     session: SessionSpace | None = None
+    read_later: bool = False
 
     def __post_init__(self) -> None:
         self.session = self.session or SessionSpace(self.spark)
@@ -134,9 +135,16 @@ def db_delete(ctx, inputs, s):
 
 @step("ExecSQL")
 def exec_statement(ctx, inputs, s):
+    """Steps that follow may read what the statement changes and are planned now, so
+    then it runs at once; a statement that nothing follows runs with the flow."""
     rows = inputs[0] if inputs else None
-    ctx.actions += ctx.space(s).execute(text(s, "SQL"), rows, truth(s, "ExecuteEachRow", False))
-    return {OUT: rows} if rows is not None else {}
+    actions = ctx.space(s).execute(text(s, "SQL"), rows, truth(s, "ExecuteEachRow", False))
+    if not ctx.read_later:
+        ctx.actions += actions
+        return {OUT: rows} if rows is not None else {}
+    for action in actions:
+        action()
+    return {OUT: rows if rows is not None else ctx.spark.range(1).select()}
 
 
 @step("ExcelInput")

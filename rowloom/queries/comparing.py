@@ -123,3 +123,20 @@ def compare_dups(t):
 )
 def compare_dup_count(t):
     return right_duplicates(t.lineitem, "l_orderkey")
+
+
+@query(
+    "compare_long_decimal",
+    """SELECT CAST(9007199254740993 + o_orderkey * 2 AS DECIMAL(38, 2)) AS k, o_orderkey AS "v_L",
+              CAST(o_orderkey + o_orderkey % 2 AS DECIMAL(38, 0)) AS "v_R",
+              CASE WHEN o_orderkey % 2 = 0 THEN 'MATCH' ELSE 'DIFF' END AS _status,
+              CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'v' END AS _diff_columns FROM orders""",
+)
+def compare_long_decimal(t):
+    """Keys beyond what a double holds, integers against decimals."""
+    left = t.sql("SELECT 9007199254740993 + o_orderkey * 2 AS k, o_orderkey AS v FROM {orders}")
+    right = t.sql(
+        """SELECT CAST(9007199254740993 + o_orderkey * 2 AS DECIMAL(38, 2)) AS k,
+                  CAST(o_orderkey + o_orderkey % 2 AS DECIMAL(38, 0)) AS v FROM {orders}"""
+    )
+    return table_compare(left, right, "k", "v", assume_unique=True, include_matched=True)

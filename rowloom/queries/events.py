@@ -63,6 +63,29 @@ def row_number_group(t):
     return out.select("event_id", "n")
 
 
+BY_DAY = "PARTITION BY CAST(date_trunc('day', ts) AS DATE) ORDER BY ts, event_id"
+
+
+def _days(t):
+    return t.events.select("event_id", "ts", "value", F.to_date("ts").alias("day"))
+
+
+@query("prev_event_by_day", f"SELECT event_id, lag(event_id) OVER ({BY_DAY}) AS before FROM events")
+def prev_event_by_day(t):
+    """Groups that follow one another in the order, each cut at its own quantiles."""
+    rows = _days(t).withColumn("before", F.col("event_id"))
+    out = previous_event(rows, ["day"], ["ts", "event_id"], ["before"], keep_first=True, group_rows=20)
+    return out.select("event_id", F.col("PREVIOUS_before").alias("before"))
+
+
+@query(
+    "running_count_by_day",
+    f"SELECT event_id, count(CASE WHEN value > 10 THEN 1 END) OVER ({BY_DAY} ROWS UNBOUNDED PRECEDING) AS n FROM events",
+)
+def running_count_by_day(t):
+    return with_running_count(_days(t), ["day"], ["ts", "event_id"], "n", F.col("value") > 10, group_rows=20).select("event_id", "n")
+
+
 @query(
     "row_number_global",
     """SELECT row_number() OVER (ORDER BY user_id, ts, event_id) AS "ROWNUM", event_id FROM events""",

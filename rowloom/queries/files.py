@@ -48,6 +48,20 @@ def txt_no_header(t):
     return read_delimited(t.spark, path, format="TXT", delimiter=";", header=False)
 
 
+CONTROL = "CASE WHEN c_nationkey = 4 THEN 'x' || chr(1) || 'y' ELSE c_mktsegment END"
+
+
+@query("tsv_control_text", ORACLE.format(note=CONTROL))
+def tsv_control_text(t):
+    """Control characters are text like any other."""
+    return _round_trip(t, CONTROL, format="TSV")
+
+
+@query("txt_control_delimiter", ORACLE.format(note="c_mktsegment"))
+def txt_control_delimiter(t):
+    return _round_trip(t, "c_mktsegment", format="TXT", delimiter="\u0001")
+
+
 BOOKS = "CAST(c_nationkey AS VARCHAR(9)) || '-' || CAST(CAST(floor(c_custkey / 1000) AS BIGINT) AS VARCHAR(20))"
 
 

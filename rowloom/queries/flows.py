@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rowloom.plans.flow import build
@@ -178,3 +180,34 @@ def fan_out_flow(t):
     """One source with two consumers, compared with each other."""
     t.views("customer")
     return build(FAN_OUT, Context(t.spark)).frame("Compare")
+
+
+def _stored(name: str) -> dict:
+    """Changes of a table of the catalog, which later steps of the flow see."""
+    return {
+        "Name": "stored",
+        "Steps": [
+            _step("Fresh", "ExecSQL", SQL=f"REFRESH TABLE {name}"),
+            _step("Read", "DBInput", SQL="SELECT s_suppkey AS k, s_acctbal + 1 AS v FROM supplier WHERE s_suppkey % 2 = 0"),
+            _step("Upsert", "InsertUpdate", TableName=name, KeyFields="k", UpdateFields="k,v"),
+            _step("Fifth", "Calculation", OutputFieldName="fifth", ExpressionType="divide", Field1="k", Field2="five"),
+            _step("Five", "Calculation", OutputFieldName="five", ExpressionType="constant", Constant="5"),
+            _step("Few", "Filter", FieldName="fifth", Operator="lessOrEqual", Value="1"),
+            _step("Delete", "DBDelete", TableName=name, KeyFields="k"),
+        ],
+        "Connections": _edges("Fresh>Read", "Read>Upsert", "Upsert>Five", "Five>Fifth", "Fifth>Few", "Few:pass>Delete"),
+    }
+
+
+@query(
+    "stored_table_flow",
+    """SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS v FROM supplier
+       WHERE (s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0) AND NOT (s_suppkey % 2 = 0 AND s_suppkey <= 5)""",
+)
+def stored_table_flow(t):
+    """A flow that changes a table of the catalog; the table is read back."""
+    name = f"flow_{uuid.uuid4().hex}"
+    t.views("supplier")
+    t.spark.sql("SELECT s_suppkey AS k, s_acctbal AS v FROM supplier WHERE s_suppkey % 3 <> 0").write.saveAsTable(name)
+    build(_stored(name), Context(t.spark)).run()
+    return t.spark.table(name)

@@ -77,6 +77,28 @@ def sql_each_row_twice(t):
     return sql_each_row(t.spark, text, t.supplier.select("s_nationkey", "s_suppkey"))
 
 
+@query(
+    "sql_each_row_literal",
+    "SELECT n_name, '?' AS mark, ':{s_nationkey}' AS note FROM supplier JOIN nation ON n_nationkey = s_nationkey",
+)
+def sql_each_row_literal(t):
+    """What looks like a parameter inside a literal, once per row."""
+    t.views("nation")
+    text = "SELECT n_name, '?' AS mark, ':{s_nationkey}' AS note FROM nation WHERE n_nationkey = ? -- why?\n"
+    return sql_each_row(t.spark, text, t.supplier.select("s_nationkey", "s_suppkey"))
+
+
+@query(
+    "sql_named_literal",
+    "SELECT c_custkey, ':{top}' AS mark, '?' AS more FROM customer WHERE c_nationkey = (SELECT max(n_nationkey) FROM nation)",
+)
+def sql_named_literal(t):
+    t.views("customer")
+    row = t.nation.agg(F.max("n_nationkey").alias("top"))
+    text = "SELECT c_custkey, ':{top}' AS mark, \"?\" AS more FROM customer /* :{none} */ WHERE c_nationkey = :{top}"
+    return sql_input(t.spark, text, row)
+
+
 # --- patterns ---------------------------------------------------------------
 
 

@@ -47,8 +47,10 @@ def read_delimited(
 
     An empty field is empty text; a field the line does not have is NULL; fields
     beyond the header are dropped, and so are lines of nothing but white space.
-    Quotes mean something only when the delimiter is a comma.  One small job reads the first line to fix the schema, so the
-    files themselves are read once.
+    Quotes mean something only when the delimiter is a comma.  One small job reads the
+    first line to fix the schema, so the files themselves are read once.  In a folder
+    every file must have the same header, else reading fails; headers with an empty or
+    a repeated name cannot be compared and are taken by place.
     """
     sep = delimiter or DELIMITERS.get(format, ",")
     out = _read_quoted if sep == "," else _read_plain
@@ -56,17 +58,25 @@ def read_delimited(
     return df.limit(max_rows) if max_rows > 0 else df
 
 
+def _checked(names: list[str | None], header: bool) -> bool:
+    """Whether Spark can hold every file's header against the first one's: it compares
+    by name and place, so the names must be there and differ."""
+    return header and all(names) and len({n.lower() for n in names}) == len(names)
+
+
 def _read_quoted(spark: SparkSession, path, sep: str, header: bool, encoding: str) -> DataFrame:
     options = {"sep": sep, "quote": '"', "escape": '"'}
     first = _reader(spark, encoding, False).options(**options).csv(path).head(1)
-    names = _names(list(first[0]) if first else [], header)
-    inner = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*inner, _BAD]])
+    found = list(first[0]) if first else []
+    names = _names(found, header)
+    inner, checked = [f"c{i}" for i in range(len(names))], _checked(found, header)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*(found if checked else inner), _BAD]])
     rows = (
         _reader(spark, encoding, header)
-        .options(**options, columnNameOfCorruptRecord=_BAD)
+        .options(**options, columnNameOfCorruptRecord=_BAD, enforceSchema=not checked)
         .schema(schema)
         .csv(path)
+        .toDF(*inner, _BAD)
     )
     # Spark reads an empty field and an absent one as NULL.  Lines of the wrong
     # length keep their text, from which the number of fields is counted.
@@ -80,13 +90,15 @@ def _read_quoted(spark: SparkSession, path, sep: str, header: bool, encoding: st
 
 
 def _read_plain(spark: SparkSession, path, sep: str, header: bool, encoding: str) -> DataFrame:
-    # The whole line is read as one column (with a separator no text file holds),
-    # so that Spark still skips the header of every file; then it is split.
-    options = {"sep": "\u0001", "quote": "", "escape": "", "maxCharsPerColumn": "-1"}
-    schema = T.StructType([T.StructField("line", T.StringType())])
-    first = _reader(spark, encoding, False).options(**options).schema(schema).csv(path).head(1)
-    names = _names(first[0][0].split(sep) if first else [], header)
-    lines = _reader(spark, encoding, header).options(**options).schema(schema).csv(path)
+    # The whole line is read as one column, so that Spark still skips the header of
+    # every file; then it is split.  No line can hold the separator, as it has a line end.
+    options = {"sep": "\n\u0001", "quote": "", "escape": "", "maxCharsPerColumn": "-1"}
+    line = lambda name: T.StructType([T.StructField(name, T.StringType())])
+    first = _reader(spark, encoding, False).options(**options).schema(line("line")).csv(path).head(1)
+    top = first[0][0] if first else ""
+    names = _names(top.split(sep) if first else [], header)
+    checked = _checked([top], header)
+    lines = _reader(spark, encoding, header).options(**options, enforceSchema=not checked).schema(line(top if checked else "line")).csv(path).toDF("line")
     cells = F.split(F.col("line"), _literal_pattern(sep), -1)
     columns = [(n, F.get(F.col("cells"), i)) for i, n in enumerate(names)]
     return lines.select(cells.alias("cells")).select(*_last_of_each(columns))

@@ -115,6 +115,11 @@ def bound_sql(sql: str, params: DataFrame | Mapping | Sequence | None, kind: str
     return outside_quotes(wanted, fill, sql, kind in BACKSLASH_ESCAPES)
 
 
+def _ended(sql: str) -> str:
+    """A comment at the end of a query must not hide what follows it."""
+    return sql + "\n" if "--" in sql else sql
+
+
 def read_options(
     connection: JdbcConnection,
     table: str = "",
@@ -126,7 +131,7 @@ def read_options(
     """A query is wrapped as a subquery, so an ORDER BY in it is not kept."""
     if bool(table) == bool(sql):
         raise ValueError("give either a table or a query")
-    source = table or f"({bound_sql(trim_statement(sql), params, connection.kind)}) q"
+    source = table or f"({_ended(bound_sql(trim_statement(sql), params, connection.kind))}) q"
     out = {**connection.options(), "dbtable": source, "fetchsize": str(fetch_size)}
     return {**out, **split.options()} if split else out
 

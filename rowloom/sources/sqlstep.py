@@ -91,7 +91,7 @@ def sql_each_row(spark: SparkSession, sql: str, rows: DataFrame, check_empty: bo
         text = outside_quotes(r"\?", lambda m: f"{outer}.{quoted(next(columns))}", text)
     rows.createOrReplaceTempView(outer)
     try:
-        return spark.sql(f"SELECT q.* FROM {outer}, LATERAL ({text}) AS q")
+        return spark.sql(f"SELECT q.* FROM {outer}, LATERAL ({text}\n) AS q")
     finally:
         spark.catalog.dropTempView(outer)
 

@@ -150,3 +150,20 @@ def test_workbook_step_gives_a_table(spark, books):
     table = build({"Steps": [step]}, Context(spark)).frame("w")
     assert table.columns == ["id", "name", "day", "ok", ""]
     assert rows(table.select("id", "ok")) == [("1", "True"), ("2.5", "False"), ("4", None), (None, None)]
+
+
+def test_control_characters_survive(spark, tmp_path):
+    path = tmp_path / "c.tsv"
+    path.write_bytes(b"a\tb\tc\r\n1\tx\x01y\t3\r\n")
+    assert rows(read_delimited(spark, str(path), "TSV")) == [("1", "x\x01y", "3")]
+    other = tmp_path / "d.txt"
+    other.write_bytes(b"a\x01b\n1\x012\n")
+    assert rows(read_delimited(spark, str(other), "TXT", delimiter="\x01")) == [("1", "2")]
+
+
+@pytest.mark.parametrize("sep, kind", [(",", "CSV"), ("\t", "TSV")])
+def test_headers_in_another_order_fail(spark, tmp_path, sep, kind):
+    (tmp_path / "1.csv").write_text(f"a{sep}b\n1{sep}2\n")
+    (tmp_path / "2.csv").write_text(f"b{sep}a\n20{sep}10\n")
+    with pytest.raises(Exception, match="(?s)header|FAILED_READ_FILE"):
+        read_delimited(spark, str(tmp_path), kind).collect()

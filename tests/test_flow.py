@@ -7,7 +7,7 @@ from conftest import dicts, rows
 from rowloom.operators.intervals import event_intervals
 from rowloom.plans.flow import build
 from rowloom.plans.steps import STEPS, Context, step
-from rowloom.queries.flows import WORK_WAIT
+from rowloom.queries.flows import IDLE
 
 
 def node(ident, kind, **settings):
@@ -207,10 +207,10 @@ def test_work_wait_flow_equals_the_operator(spark, sf_dir):
     """Two numbered inputs and a join give what the previous-event operator gives."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.createOrReplaceTempView("events")
-    events.select("user_id", "event_id", F.lit(None).cast("double").alias("wait_min")).createOrReplaceTempView("waits")
-    flow = build(WORK_WAIT, Context(spark))
-    joined = flow.frame("Minutes").select("user_id", "event_id", F.col("WAIT_MIN").alias("m"))
-    mine = event_intervals(events, ["user_id"], "ts", "ts", ["ts", "event_id"], "m").select("user_id", "event_id", "m")
+    events.select("user_id", "event_id", F.lit(None).cast("double").alias("idle_min")).createOrReplaceTempView("gaps")
+    flow = build(IDLE, Context(spark))
+    joined = flow.frame("Before").select("user_id", "event_id", "last_ts")
+    mine = event_intervals(events, ["user_id"], "ts", "ts", ["ts", "event_id"], "m").select("user_id", "event_id", "PREVIOUS_ts")
     assert rows(joined) == rows(mine)
 
 
