@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rowloom.llm.common import per_slice, whole
 
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 """Words whose tokens a worker process remembers; when there are more it starts anew."""
 
 # Fixed pattern of the pre-tokens; \\s is Unicode White_Space.

@@ -7,7 +7,10 @@ and bytes, and reruns lost tasks; a batch is worked on as Arrow and numpy arrays
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from contextlib import suppress
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,10 +19,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 """Text that a task works on at once.  A longer text is a slice of its own."""
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and what
+    they hold is missing to the next ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, and where that is
     unset a folder of the warehouse, which is shared as well."""
@@ -66,7 +78,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         start = stop
 
 
-def per_slice(df: DataFrame, text: str, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+def per_slice(df: DataFrame, text: str, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]], limit: int = SLICE_BYTES) -> DataFrame:
     """``make()`` runs once in each task and returns a function from a slice of rows to
     the columns of ``schema``."""
     names = schema.names if isinstance(schema, StructType) else [f.split()[0].strip("`") for f in _fields(schema)]
@@ -74,9 +86,11 @@ def per_slice(df: DataFrame, text: str, schema: str | StructType, make: Callable
     def run(batches):
         work = make()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 found = work(part)
                 yield pa.RecordBatch.from_arrays([_array(found[n]) for n in names], names)
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
 

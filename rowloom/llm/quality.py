@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowloom.llm.common import Words, inside, mixed, runs_of, slices, whole
+from rowloom.llm.common import Words, give_back, inside, mixed, runs_of, slices, whole
 
 WINDOW = 8
 COMMON = 64
@@ -102,9 +102,10 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                     for k in np.flatnonzero(n):
                         of[vocabulary[k]] = of.get(vocabulary[k], 0) + int(n[k])
                 held = sum(map(len, words.values()))
-                if held > 300_000:
+                if held > 200_000:
                     yield from rows()
         yield from rows()
+        give_back()
 
     given = docs.select(whole(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(ANY)).alias("lang"))
     counted = given.mapInArrow(count, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
@@ -136,6 +137,7 @@ def quality(docs: DataFrame, refs: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part in slices(batch, "text"):
                 yield judge(part)
+        give_back()
 
     found = given.mapInArrow(run, schema).withColumnRenamed("id", id_col)
     few = F.col("n_words") < 20

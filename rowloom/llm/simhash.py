@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from rowloom.llm.common import Words, components, cut, inside, mixed, packed, per_slice, runs_of, whole
+from rowloom.llm.common import Words, components, cut, give_back, inside, mixed, packed, per_slice, runs_of, whole
 
 WORDS = 4
 SEED = 42
@@ -38,7 +38,8 @@ DISTANCE = 4
 NEAR_WORDS = 5
 NEAR_BITS = 22
 SEGMENTS, SEGMENT_BITS = 6, 21
-BUCKET_ROWS = 400_000
+BUCKET_ROWS = 150_000
+DEAL_ROWS = 2_500
 LARGE_RUN = 2_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -193,7 +194,7 @@ def near_links(classes: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
     buckets = max(64, -(-n * per // BUCKET_ROWS))
 
     def deal(batches):
-        for batch in batches:
+        for batch in (b.slice(i, DEAL_ROWS) for b in batches for i in range(0, b.num_rows, DEAL_ROWS)):
             ids = np.asarray(batch.column("id"), dtype=np.int64)
             f1, f2 = (np.asarray(batch.column(c), dtype=np.int64).view(np.uint64) for c in ("f1", "f2"))
             keys = []
@@ -209,6 +210,7 @@ def near_links(classes: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
             blob = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in cuts], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(home[order[heads]].astype(np.int32)), blob(keys), blob(ids[who]), blob(f1[who]), blob(f2[who])],
                                              ["bucket", "key", "id", "f1", "f2"])
+        give_back()
 
     def join(table: pa.Table) -> pa.Table:
         column = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)

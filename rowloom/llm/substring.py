@@ -35,6 +35,7 @@ WINDOW, ANCHOR = 13, 5
 FILTER_BYTES = 8 << 20
 BUCKET_BYTES = 200_000
 """Text for each bucket of window hashes."""
+SLICE = 4_000_000
 GROUP_BYTES = 5_000_000
 """Text of the documents that are put together again in one group."""
 
@@ -129,7 +130,7 @@ def repeated_anchors(given: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
             bits[at] = 1
         return pa.table({"bucket": table.column("bucket")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    parts = per_slice(given, "text", "bucket int, codes binary, twice binary", make).groupBy("bucket").applyInArrow(segment, "bucket int, bits binary")
+    parts = per_slice(given, "text", "bucket int, codes binary, twice binary", make, SLICE).groupBy("bucket").applyInArrow(segment, "bucket int, bits binary")
     found = np.zeros((buckets, size), np.uint8)
     for r in parts.toLocalIterator():  # FILTER_BYTES altogether
         found[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
@@ -182,10 +183,10 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = np.unique(_all(right, "keys", np.uint64))
-        parts = [_factored(rows, keys) for b in left.combine_chunks().to_batches() for rows in slices(b, "text", 4_000_000)]
+        parts = [_factored(rows, keys) for b in left.combine_chunks().to_batches() for rows in slices(b, "text")]
         return pa.Table.from_batches(parts, _OUT)
 
-    met = per_slice(known, "text", "bucket long, hashes binary, ids binary, more binary, more_ids binary", make).groupBy("bucket")
+    met = per_slice(known, "text", "bucket long, hashes binary, ids binary, more binary, more_ids binary", make, SLICE).groupBy("bucket")
     back = met.applyInArrow(repeated, "home int, keys binary")
     dealt = given.withColumn("home", _home_column("id", groups))
     schema = "id long, n_words long, n_removed long, kept string, factors array<struct<first:long,end:long>>"

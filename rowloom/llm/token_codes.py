@@ -24,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rowloom.llm.bpe import WORDS_KEPT, pretokens
-from rowloom.llm.common import slices, whole
+from rowloom.llm.bpe import pretokens
+from rowloom.llm.common import give_back, slices, whole
 
+WORDS_KEPT = 500_000
+"""Words whose ids a worker process remembers; when there are more it starts anew."""
 SEGMENT = 1_000_000
 """Tokens after which a segment ends, at the end of a document."""
 _BLOCK = 512
@@ -152,6 +154,8 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
                         ids, texts = [], []
         if ids:
             yield segment()
+        del ids, texts
+        give_back()
 
     ordered.mapInArrow(run, SCHEMA).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 

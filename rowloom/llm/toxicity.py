@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from rowloom.llm.common import Words, cut, packed, slices, whole
+from rowloom.llm.common import Words, cut, give_back, packed, slices, whole
 
 SAMPLE_ROWS = 30_000
 MAX_TERMS = 2_000
@@ -115,7 +115,7 @@ class Automaton:
                 break
         for t, e in self.states[state][2]:
             best[t] = min(e, best.get(t, 9))
-        if len(self.known) > 200_000:
+        if len(self.known) > 50_000:
             self.known.clear()
         self.known[word] = found = tuple(sorted(best.items()))
         return found
@@ -293,6 +293,8 @@ def toxicity(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id",),
         for batch in batches:
             for part in slices(batch, "text"):
                 yield _scored(part, known.value, automaton)
+        del automaton
+        give_back()
 
     more = StructType.fromDDL("score double, n_exact long, n_misspelled long, n_quoted long")
     return given.mapInArrow(run, StructType([given.schema["row"], *more.fields]))
