@@ -94,7 +94,16 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         F.char_length("masked").cast("long").alias("loss_chars"), F.sha2(F.col("masked").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 11)) AS i)),
+     own AS (SELECT win, min(doc_id) AS least FROM windows GROUP BY win),
+     gone AS (SELECT DISTINCT doc_id, i + j AS place FROM windows JOIN own USING (win), range(13) r(j) WHERE least < doc_id),
+     words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w),
+     kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = substring.passages(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -122,7 +131,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
                         (F.size("reasons") == 0).alias("kept"), "chars_distance", "words_distance", F.concat_ws(",", "reasons").alias("reasons"))
 
 
-@query("op10_decontamination")
+@query("op10_decontamination", r"""
+WITH lowered AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+     w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lowered),
+     b AS (SELECT id AS item, least(13, len(ws)) AS size, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS win
+           FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 11, 2))) AS i) WHERE kind = 'b' AND len(ws) > 0),
+     d AS (SELECT id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS win
+           FROM w, (SELECT DISTINCT size FROM b), LATERAL (SELECT unnest(range(1, len(ws) - size + 2)) AS i) WHERE kind = 'd'),
+     met AS (SELECT id, size, i, item FROM d JOIN b USING (size, win)),
+     hits AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT id, i + j AS place FROM (SELECT DISTINCT id, size, i FROM met), LATERAL (SELECT unnest(range(size)) AS j)) GROUP BY id),
+     named AS (SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM met WHERE item IS NOT NULL) GROUP BY id)
+SELECT w.id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN hits ON hits.id = w.id LEFT JOIN named ON named.id = w.id WHERE kind = 'd'
+""")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("row.*", "*")
     names = F.concat_ws(",", F.array_sort("items"))
