@@ -33,7 +33,7 @@ from rowloom.llm.common import Words, inside, mixed, per_slice, runs_of, slices,
 
 WINDOW, ANCHOR = 13, 5
 FILTER_BYTES = 8 << 20
-BUCKET_BYTES = 200_000
+BUCKET_BYTES = 4_000_000
 """Text for each bucket of window hashes."""
 SLICE = 4_000_000
 GROUP_BYTES = 5_000_000
