@@ -41,6 +41,7 @@ SEGMENTS, SEGMENT_BITS = 6, 21
 BUCKET_ROWS = 150_000
 DEAL_ROWS = 2_500
 LARGE_RUN = 2_000
+LEADERS = 16
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -185,9 +186,9 @@ def near_links(classes: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
 
     A row of the shuffle holds all members that one batch has for one bucket of ball
     values.  In a bucket, members with the same value are compared; two that are joined
-    already are not compared again.  Values with over ``LARGE_RUN`` members compare each
-    only with leaders, the members that no leader before them was near to; what such a
-    value leaves apart may be joined by another of the 132 values of each member.
+    already are not compared again.  Values with over ``LARGE_RUN`` members are first
+    joined through ``LEADERS`` of them; then each member outside the largest part is
+    compared with all that are still apart from it, so no pair is left out.
     """
     n = classes.count()
     per = SEGMENTS * (SEGMENT_BITS + 1)
@@ -256,11 +257,19 @@ def linked(key: np.ndarray, ids: np.ndarray, f1: np.ndarray, f2: np.ndarray, bit
             unite(hit, hit + step)
         step += 1
     for h, n in zip(heads[sizes > LARGE_RUN], sizes[sizes > LARGE_RUN]):
-        rest = np.arange(h, h + n)
-        while len(rest):
-            hit = near(rest, rest[0])
-            unite(rest[hit], np.full(hit.sum(), rest[0]))
-            rest = rest[~hit]
+        run = rest = np.arange(h, h + n)
+        for _ in range(LEADERS):
+            if len(rest):
+                hit = near(rest, rest[0])
+                unite(rest[hit], np.full(hit.sum(), rest[0]))
+                rest = rest[~hit]
+        # of two members that are apart, one is outside the largest part
+        _, part, count = np.unique(root[who[run]], return_inverse=True, return_counts=True)
+        for x in run[part != count.argmax()]:
+            apart = run[root[who[run]] != root[who[x]]]
+            hit = apart[near(apart, x)]
+            if len(hit):
+                unite(hit, np.full(len(hit), x))
     moved = np.flatnonzero(root != np.arange(len(names)))
     return names[moved], names[root[moved]]
 

@@ -321,6 +321,31 @@ def test_near_copies(spark, none):
     assert simhash.without_near_copies(none).count() == 0
 
 
+def test_large_runs_lose_no_link(monkeypatch):
+    """A member near a leader, and another near that member only, stay in one component."""
+    monkeypatch.setattr(simhash, "LARGE_RUN", 5)
+    monkeypatch.setattr(simhash, "LEADERS", 2, raising=False)
+    for seed in range(20):
+        r = random.Random(seed)
+        prints = [r.getrandbits(128) for _ in range(4)]
+        for p in list(prints):
+            for _ in range(12):  # a walk: each step is a link, two steps mostly are none
+                p ^= sum(1 << b for b in r.sample(range(128), 20))
+                prints.append(p)
+        r.shuffle(prints)
+        group = list(range(len(prints)))
+        for a, p in enumerate(prints):
+            for b, q in enumerate(prints):
+                if (p ^ q).bit_count() <= 22 and group[a] != group[b]:
+                    group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+        f1, f2 = (np.array([p >> s & (2**64 - 1) for p in prints], np.uint64) for s in (0, 64))
+        a, b = simhash.linked(np.zeros(len(prints), np.uint64), np.arange(len(prints)), f1, f2, 22)
+        got = list(range(len(prints)))
+        for x, y in zip(a.tolist(), b.tolist()):
+            got[x] = y
+        assert got == group
+
+
 # ---- quality ----
 
 
