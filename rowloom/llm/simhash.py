@@ -11,12 +11,16 @@ itself, so only true links leave it.  Equal fingerprints are one class and never
 expanded into pairs.  Both sides of the join are plain shuffles, which adaptive
 execution splits where a value is hot.
 
-``near_copies`` (the pipeline's rule: five-word shingles, similarity 0.8) needs wider
-fingerprints: at similarity 0.8 about 15 % of the bits differ, so 4 of 64 would miss
-nearly all.  It uses 128 bits in six segments and enumerates balls of radius 1 on both
-sides, so that texts meet when a segment differs in up to two bits; complete distances
-of at most ``NEAR_BITS`` are links.  The chance that two texts of similarity 0.8 meet
-is about 0.9, of 0.9 over 0.99; this is a limit of the method and measured in the tests.
+``near_copies`` (the pipeline's rule: five-word shingles, similarity 0.8) links two
+texts when the Jaccard similarity of their shingle sets is at least 0.8, counted on the
+sets themselves.  Fingerprints only find the candidates, and must be wider for it: at
+similarity 0.8 about 15 % of the bits differ, so 4 of 64 would miss nearly all.  It uses
+128 bits of the distinct shingles in seven segments of 18 and enumerates balls of radius
+1 on both sides, so that texts meet when a segment differs in up to two bits; complete
+distances of at most ``NEAR_BITS`` make clusters of candidates.  By the usual model
+(differing share acos(2s/(1+s))/pi) a pair of similarity 0.8 becomes a candidate with
+a chance of 98.6 %, of 0.9 over 99.9 %; the rest is missed unless other links join it.
+In a cluster all pairs within ``NEAR_BITS`` are compared that are not joined already.
 
 Null texts count as empty.  Texts without words have fingerprint 0.  A row without id
 has its fingerprint and the component of its class.  Repeated rows are copies.
@@ -27,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowloom.llm.common import Words, components, cut, give_back, inside, mixed, packed, per_slice, runs_of, whole
 
@@ -36,8 +40,10 @@ SEED = 42
 DISTANCE = 4
 
 NEAR_WORDS = 5
-NEAR_BITS = 22
-SEGMENTS, SEGMENT_BITS = 6, 21
+NEAR_SHARE = (4, 5)
+"""Least Jaccard similarity of a link."""
+NEAR_BITS = 30
+SEGMENTS, SEGMENT_BITS = 7, 18
 BUCKET_ROWS = 150_000
 DEAL_ROWS = 2_500
 LARGE_RUN = 2_000
@@ -150,34 +156,49 @@ def hex_of(fingerprint: str = "fingerprint"):
 # ---- near copies by wide fingerprints -------------------------------------------------
 
 
+def shingle_sets(texts: pa.Array, width: int = NEAR_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text, ascending, and where each text starts."""
+    seen = Words(pc.ascii_lower(texts))
+    n, total = len(seen.starts) - 1, len(seen.hashes)
+    at = np.flatnonzero(inside(seen.starts, width, total))
+    shingles, owner = runs_of(seen.hashes, width)[at], seen.owner[at]
+    short = np.flatnonzero((seen.counts() > 0) & (seen.counts() < width))
+    whole_ones = [runs_of(some, len(some)) for some in (seen.hashes[seen.starts[i] : seen.starts[i + 1]] for i in short)]  # fewer words: all of them
+    shingles, owner = np.concatenate([shingles, *whole_ones]), np.r_[owner, short]
+    order = np.lexsort((shingles, owner))
+    shingles, owner = shingles[order], owner[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])
+    return shingles[new], np.r_[0, np.cumsum(np.bincount(owner[new], minlength=n))]
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WORDS) -> DataFrame:
-    """``(id, text_hash, f1, f2)``: 128 bits from mixed hashes of the shingles."""
+    """``(id, text_hash, f1, f2, same, n)``: 128 bits from mixed hashes of the distinct
+    shingles, a hash of their set, and how many they are."""
     given = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), whole(text_col).alias("text"))
 
     def make():
         def work(part: pa.RecordBatch) -> dict:
-            seen = Words(pc.ascii_lower(part.column("text")))
-            n, total = len(seen.starts) - 1, len(seen.hashes)
-            at = np.flatnonzero(inside(seen.starts, width, total))
-            shingles, owner = runs_of(seen.hashes, width)[at], seen.owner[at]
-            short = np.flatnonzero((seen.counts() > 0) & (seen.counts() < width))
-            for i in short:  # fewer words: all of them
-                some = seen.hashes[seen.starts[i] : seen.starts[i + 1]]
-                shingles, owner = np.append(shingles, runs_of(some, len(some))), np.append(owner, i)
-            order = np.argsort(owner, kind="stable") if len(short) else slice(None)
-            shingles, owner = shingles[order], owner[order]
-            starts = np.r_[0, np.cumsum(np.bincount(owner, minlength=n))]
+            shingles, starts = shingle_sets(part.column("text"), width)
             f = [majority(mixed(shingles, salt), starts).view(np.int64) for salt in (1, 2)]
-            return {"id": part.column("id"), "text_hash": part.column("text_hash"), "f1": pa.array(f[0]), "f2": pa.array(f[1])}
+            sums = np.r_[np.uint64(0), np.cumsum(mixed(shingles, 3), dtype=np.uint64)][starts]
+            same = (sums[1:] - sums[:-1]).view(np.int64)
+            return {"id": part.column("id"), "text_hash": part.column("text_hash"), "f1": pa.array(f[0]), "f2": pa.array(f[1]), "same": pa.array(same), "n": pa.array(np.diff(starts))}
 
         return work
 
-    return per_slice(given, "text", f"id {docs.schema[id_col].dataType.simpleString()}, text_hash long, f1 long, f2 long", make)
+    return per_slice(given, "text", f"id {docs.schema[id_col].dataType.simpleString()}, text_hash long, f1 long, f2 long, same long, n long", make)
 
 
 def _segment(f1: np.ndarray, f2: np.ndarray, k: int) -> np.ndarray:
-    f, shift = (f1, k * SEGMENT_BITS) if k < 3 else (f2, (k - 3) * SEGMENT_BITS)
-    return (f >> np.uint64(shift)) & np.uint64((1 << SEGMENT_BITS) - 1)
+    at = k * SEGMENT_BITS
+    if at >= 64:
+        f = f2 >> np.uint64(at - 64)
+    elif at + SEGMENT_BITS <= 64:
+        f = f1 >> np.uint64(at)
+    else:
+        f = (f1 >> np.uint64(at)) | (f2 << np.uint64(64 - at))
+    return f & np.uint64((1 << SEGMENT_BITS) - 1)
 
 
 def near_links(classes: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
@@ -274,19 +295,82 @@ def linked(key: np.ndarray, ids: np.ndarray, f1: np.ndarray, f2: np.ndarray, bit
     return names[moved], names[root[moved]]
 
 
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``(a, b)`` of pairs whose ``sets(id, shingles)`` have the similarity."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    over, under = NEAR_SHARE
+
+    def judge(batches):
+        for batch in batches:
+            hit = []
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                hit.append(under * common >= over * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        give_back()
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
+
+
+def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, component)`` of ``members(id, cluster, f1, f2, n, doc, text_hash)``: joined by
+    links of at least the similarity, among pairs of a cluster within ``NEAR_BITS``.
+
+    About ``LEADERS`` members of each cluster, all in a small one, are compared with every
+    member.  Where parts stay apart, each member outside the largest part is compared with
+    all members of other parts.
+    """
+    def make():
+        def work(part: pa.RecordBatch) -> dict:
+            shingles, starts = shingle_sets(part.column("text"))
+            return {"id": part.column("id"), "shingles": pa.array([shingles[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary())}
+
+        return work
+
+    texts = docs.select(F.col(id_col).alias("doc_"), F.xxhash64(F.col(text_col)).alias("hash_"), whole(text_col).alias("text"))
+    own = members.join(texts, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("text_hash") == F.col("hash_"))).select("id", "text")
+    sets = cut(per_slice(own, "text", "id long, shingles binary", make).dropDuplicates(["id"]))
+    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    members = cut(members.join(size, "cluster").select("id", "cluster", "f1", "f2", "n", (F.pmod(F.xxhash64("id"), "size") < LEADERS).alias("leads")))
+
+    def pairs(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
+        """Candidates of a cluster; sets of very different size cannot be similar."""
+        x, y = left.alias("x"), right.alias("y")
+        bits = F.bit_count(F.col("x.f1").bitwiseXOR(F.col("y.f1"))) + F.bit_count(F.col("x.f2").bitwiseXOR(F.col("y.f2")))
+        over, under = NEAR_SHARE
+        sizes = (under * F.col("x.n") >= over * F.col("y.n")) & (under * F.col("y.n") >= over * F.col("x.n"))
+        on = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.id") != F.col("y.id")) & (bits <= NEAR_BITS) & sizes & more
+        return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    first = cut(similar(pairs(members.where("leads"), members, ~F.col("y.leads") | (F.col("x.id") < F.col("y.id"))), sets))
+    reached = cut(components(first))
+    parts = cut(members.join(reached, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"))
+    counts = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("k"))
+    largest = counts.groupBy("cluster").agg(F.max_by("part", F.struct("k", "part")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    apart = parts.where("not leads").join(largest, "cluster").withColumn("outside", F.col("part") != F.col("largest"))
+    once = (F.col("x.part") != F.col("y.part")) & (~F.col("y.outside") | (F.col("x.id") < F.col("y.id")))
+    rest = cut(similar(pairs(apart.where("outside"), apart, once), sets))
+    return reached if rest.isEmpty() else components(first.union(rest))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text_hash, group, stays)`` per distinct (id, text): the group's smallest id
     stays."""
     prints = cut(wide_fingerprints(docs, id_col, text_col))
     row = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    classes = prints.groupBy("f1", "f2").agg(F.min(row).alias("first"))
-    number = F.coalesce(F.col("first.id").cast("long"), F.xxhash64("f1", "f2"))
-    classes = cut(classes.select("f1", "f2", number.alias("number"), "first"))
+    # texts with the same set of shingles
+    of = ["f1", "f2", "same", "n"]
+    classes = prints.groupBy(*of).agg(F.min(row).alias("first"))
+    number = F.coalesce(F.col("first.id").cast("long"), F.xxhash64(*of))
+    classes = cut(classes.select(*of, number.alias("number"), "first"))
     # the same id in several classes: the classes keep apart by their fingerprints
-    nodes = cut(classes.groupBy("number").agg(F.min(F.struct("f1", "f2")).alias("of"), F.count(F.lit(1)).alias("n")))
-    classes = classes.join(nodes, "number").select("f1", "f2", "first", F.when((F.col("f1") == F.col("of.f1")) & (F.col("f2") == F.col("of.f2")), F.col("number")).otherwise(F.xxhash64("f1", "f2", "number")).alias("id"))
+    nodes = cut(classes.groupBy("number").agg(F.min(F.struct(*of)).alias("of")))
+    classes = classes.join(nodes, "number").select(*of, "first", F.when(F.struct(*of) == F.col("of"), F.col("number")).otherwise(F.xxhash64(*of, "number")).alias("id"))
     classes = cut(classes)
-    reached = components(near_links(classes))
+    clusters = components(near_links(classes))
+    members = cut(classes.join(clusters, "id").select("id", F.col("component").alias("cluster"), "f1", "f2", "n", F.col("first.id").alias("doc"), F.col("first.text_hash").alias("text_hash")))
+    reached = verified(docs, members, id_col, text_col)
     return classes.join(reached, "id", "left").select(F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), (F.coalesce("component", "id")).alias("group"), (F.coalesce("component", "id") == F.col("id")).alias("stays"))
 
 

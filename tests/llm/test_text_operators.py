@@ -321,6 +321,45 @@ def test_near_copies(spark, none):
     assert simhash.without_near_copies(none).count() == 0
 
 
+@pytest.mark.parametrize("leaders", [16, 1])
+def test_near_copies_by_exact_similarity(spark, monkeypatch, leaders):
+    """Pairs of 0.6 to 0.9 against brute force, alone and in a family of many variants.
+    No group is joined without links of 0.8; near the bound fingerprints may miss few."""
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    r, texts = random.Random(3), []
+    for i, edits in enumerate([4, 6, 8, 8, 8, 9, 10, 12, 15, 18] * 4):  # each costs five of 396 shingles
+        w = prose(400, 1000 + i).split()
+        texts.append(" ".join(w))
+        for k in range(edits):
+            w[5 + 19 * k + r.randrange(6)] = f"new{k}"
+        texts.append(" ".join(w))
+    base = prose(400, 77).split()
+    for i in range(40):
+        w = list(base)
+        for k in r.sample(range(19), 3 + i % 6):
+            w[5 + 20 * k] = f"other{i}x{k}"
+        texts.append(" ".join(w))
+    texts += ["same line here again now " * 80 + prose(40, 60 + i) for i in range(2)]  # one shingle in most places
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    group, shares, alone = list(range(len(texts))), [], {}
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            share = len(x & y) / len(x | y)
+            shares.append(share)
+            alone |= {b: share} if b % 2 == 0 and a == b + 1 and a < 80 else {}
+            if share >= 0.8 and group[a] != group[b]:
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    assert all(any(s <= x < s + 0.05 for x in shares) for s in (0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9))
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {x["id"]: x["group"] for x in simhash.near_copies(df).collect()}
+    assert all(group[i] == group[g] for i, g in got.items())
+    assert [got[i] for i in range(80, len(texts))] == group[80:]
+    linked = {b: got[b + 1] == b for b in alone}
+    assert all(linked[b] for b, x in alone.items() if x >= 0.85) and not any(linked[b] for b, x in alone.items() if x < 0.8)
+    near = [linked[b] for b, x in alone.items() if 0.8 <= x < 0.85]
+    assert sum(near) >= 0.9 * len(near)
+
+
 def test_large_runs_lose_no_link(monkeypatch):
     """A member near a leader, and another near that member only, stay in one component."""
     monkeypatch.setattr(simhash, "LARGE_RUN", 5)
