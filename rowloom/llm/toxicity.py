@@ -8,7 +8,9 @@ least hashes), which is the documented bound of what the classifier is fitted on
 
 Matching.  ``Automaton`` runs a word through all terms' automata of edit distance 1 at
 once: its states are sets of (trie node, errors), made when first reached, so that a
-word costs one step for each letter until no term can match.
+word costs one step for each letter until no term can match.  Of a white-space word its
+letter runs are matched, and the word itself without outer punctuation, so that a digit or
+symbol can be the edit.
 
 Scoring.  A mention belongs to a channel: exact, misspelled or quoted (in quotation
 marks within ``QUOTE_WORDS`` words on both sides).  Each term has log odds in each
@@ -46,15 +48,18 @@ QUOTE_WORDS = 12
 THRESHOLD = 0.7
 
 _TOKEN = re.compile(r"[^\W\d_]+")
+_OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _OPENS = re.compile(r"[^\w]*[\"“„«‹]\w")
 _CLOSES = re.compile(r"\w[^\w]*[\"”“»›]")
 
 
 class Automaton:
     """All terms within one edit of a word.  A stem (``lowe*``) matches any word that
-    begins with it; a misspelled stem must be followed as it is."""
+    begins with it; a misspelled stem must be followed as it is.  The edit may be at the
+    first letter only with ``first``."""
 
-    def __init__(self, terms: list[str]) -> None:
+    def __init__(self, terms: list[str], first: bool = False) -> None:
+        self.first = first
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[tuple[int, bool] | None] = [None]  # term and whether it is a stem
         self.deep = [0]
@@ -94,7 +99,7 @@ class Automaton:
         for n, e in self.states[state][0]:
             if c in self.children[n]:
                 after.add((self.children[n][c], e))
-            if e == 0 and n:  # the first letter is taken as right
+            if e == 0 and (n or self.first):
                 after.add((n, 1))
                 after.update((k, 1) for k in self.children[n].values())
         self.steps[state][c] = to = self._state(self._closed(after))
@@ -124,12 +129,20 @@ class Automaton:
 CHANNELS = ("exact", "misspelled", "quoted")
 
 
+def matches(word: str, automaton: Automaton) -> list[tuple[int, int]]:
+    """(term, edits) in the letter runs of a white-space word; of terms in none of them
+    those that the word matches as it is."""
+    found = [m for t in _TOKEN.findall(word) for m in automaton.match(t)]
+    known = {t for t, _ in found}
+    return found + [m for m in automaton.match(_OUTER.sub("", word)) if m[0] not in known]
+
+
 def mentions(texts: pa.Array, automaton: Automaton) -> list[dict[tuple[int, str], int]]:
     """For each text, (term, channel) and how often."""
     seen = Words(pc.utf8_lower(texts))
     out: list[dict[tuple[int, str], int]] = [{} for _ in range(len(texts))]
     vocabulary = seen.vocabulary.to_pylist()
-    hits = {i: found for i, w in enumerate(vocabulary) if (found := [m for t in _TOKEN.findall(w) for m in automaton.match(t)])}
+    hits = {i: found for i, w in enumerate(vocabulary) if (found := matches(w, automaton))}
     if not hits:
         return out
     is_hit = np.zeros(len(vocabulary), bool)
@@ -232,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = spark.sparkContext.broadcast(terms)
 
     def found_in(batches):
-        automaton = Automaton(known.value)
+        automaton = Automaton(known.value, first=True)
         for batch in batches:
             for part in slices(batch, "text"):
                 per = mentions(part.column("text"), automaton)
@@ -289,7 +302,7 @@ def toxicity(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id",),
     given = docs.select(packed(docs, carry), whole(text_col).alias("text"))
 
     def run(batches):
-        automaton = Automaton(known.value.terms)
+        automaton = Automaton(known.value.terms, first=True)
         for batch in batches:
             for part in slices(batch, "text"):
                 yield _scored(part, known.value, automaton)

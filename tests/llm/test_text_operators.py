@@ -132,6 +132,18 @@ def test_automaton_matches_one_edit():
     assert not of("marrn") and not of("loser") and not of("") and not of("zdiot")
 
 
+def test_edits_at_any_letter_and_by_any_sign():
+    import pyarrow as pa
+
+    a = toxicity.Automaton(["moron", "lowei*", "idiot"], first=True)
+    found = lambda w: {(t, c) for t, c in toxicity.mentions(pa.array([f"so {w} now"]), a)[0]}
+    for w in ("ldiot", "zdiot", "xidiot", "diot", "1diot", "id1ot", "idi*t", "idi-ot", "id_ot", '("id1ot!")', "idio7,", "$idiot", "idiot's"):
+        assert (2, "exact" if "idiot" in w and w != "xidiot" else "misspelled") in {(t, c.replace("quoted", "misspelled")) for t, c in found(w)}, w
+    assert found("m0ron") == {(0, "misspelled")} and found("l0weitum") == found("1oweitum") == {(1, "misspelled")}
+    assert not found("id1o7") and not found("1di0t") and not found("mo12n") and not found("zlowai") and not found("...")
+    assert toxicity.mentions(pa.array(["idiot/idiot lowei/x"]), a)[0] == {(2, "exact"): 2, (1, "exact"): 1}
+
+
 def test_toxicity_learns_and_scores(spark, none):
     rows, labels = [], []
     for i in range(300):
