@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import bpe, chat, decontaminate, langid, quality, secrets, simhash, substring, token_codes, toxicity
+from rowloom.llm import alignment, bpe, chat, decontaminate, langid, periodic, pieces, quality, secrets, simhash, substring, token_codes, toxicity
 from rowloom.llm.common import remainder, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -153,6 +159,26 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
                         decontaminate.is_contaminated().alias("contaminated"))
 
 
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.runs(table(spark, folder, "documents"), alter=periodic.planted)
+    found = found.withColumn("most", periodic.most_repeated())
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("most.start").alias("start"), F.col("most.length").alias("length"), F.col("most.period").alias("period"),
+        F.expr("1000 * most.length div most.period").alias("exponent_milli"), digest(periodic.run_lines()).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment(table(spark, folder, "documents"), tokenizer(), piece_model())
+
+
+@query("op13_piece_round_trip")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"), piece_model())
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
