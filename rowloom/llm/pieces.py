@@ -21,6 +21,7 @@ text is decoded as a space, as the library does.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from rowloom.llm.common import per_slice, whole
 
 WORDS_KEPT = 250_000
-"""Words whose ids a worker process remembers; when there are more it starts anew."""
+"""Words whose ids a worker process remembers, and as many older ones."""
 LONG_WORD = 200
 """Longer words are not remembered."""
 PAIRS_KEPT = 300_000
@@ -40,16 +41,20 @@ _PROBE = "  Aé①\n ﬁ "
 
 
 class Known(dict):
-    """Values by key, made when first asked for; emptied when there are too many."""
+    """Values by key, made when first asked for.  When there are too many, they become
+    the old ones, of which those that are asked for again are kept."""
 
     def __init__(self, make, most: int) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         self[key] = value
         return value
 
@@ -87,7 +92,10 @@ class Pieces:
             if self.merged(n) == [i]:  # others are never the outcome of merges
                 self.automaton.add_word(n, i)
         self.automaton.make_automaton()
-        self.apart = Known(lambda pair: self.merged(self.names[pair[0]] + self.names[pair[1]]) == [*pair], PAIRS_KEPT)
+        # the next shorter piece that begins a piece, -1 for none
+        begins = lambda n: next((self.automaton.get(n[:k]) for k in range(len(n) - 1, 0, -1) if n[:k] in self.automaton), -1)
+        self.shorter = {i: begins(n) for n, i in self.ids.items()}
+        self.apart = Known(self._apart, PAIRS_KEPT)
         # a text may be cut where no piece reaches over
         pattern = r".+" if any(re.search(f"[^{SPACE}]{SPACE}", n) for n in self.ids) else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
         if pattern != ".+" and not any("\n" in n for n in self.ids):
@@ -98,6 +106,11 @@ class Pieces:
             if list(self.encode(SPACE + name.replace(" ", SPACE))) != ids:
                 raise ValueError("the model does not join pairs by score")
 
+    def _apart(self, pair: int) -> bool:
+        """Whether two adjacent pieces stay as they are when their letters are merged."""
+        a, b = divmod(pair, len(self.bytes))
+        return self.merged(self.names[a] + self.names[b]) == [a, b]
+
     def merged(self, text: str) -> list[int]:
         """Ids of a short run of letters, pair by pair."""
         ids, score = self.ids, self.score
@@ -119,35 +132,38 @@ class Pieces:
 
     def run(self, text: str) -> list[int]:
         """Ids of letters that all have a piece, by backtracking."""
-        n = len(text)
-        choices: list[list[int]] = [[] for _ in range(n)]
-        size = self.size
-        for last, i in self.automaton.iter(text):
-            choices[last - size[i] + 1].append(i)  # those of one place come by length
-        failed = bytearray((n >> 3) + 1)
+        n, size, shorter, apart, count = len(text), self.size, self.shorter, self.apart, len(self.bytes)
+        longest = self.automaton.iter_long
         out: list[int] = []
-        taken: list[int] = []
-        at, k = 0, len(choices[0]) - 1
-        apart = self.apart
+        at, last = 0, -1
+        for _, i in longest(text):  # the longest from place to place, while they fit
+            if last >= 0 and not apart[last * count + i]:
+                break
+            out.append(i)
+            at += size[i]
+            last = i
+        else:
+            return out
+        failed = bytearray((n >> 3) + 1)
+        i = shorter[i]
         while at < n:
-            here = choices[at]
-            while k >= 0:
-                i = here[k]
+            while i >= 0:
                 to = at + size[i]
-                if not failed[to >> 3] >> (to & 7) & 1 and (not out or apart[out[-1], i]):
+                if not failed[to >> 3] >> (to & 7) & 1 and (last < 0 or apart[last * count + i]):
                     break
-                k -= 1
-            if k >= 0:
+                i = shorter[i]
+            if i >= 0:
                 out.append(i)
-                taken.append(k)
-                at = to
-                k = len(choices[at]) - 1 if at < n else 0
+                at, last = to, i
+                if at < n:
+                    i = next(longest(text, at))[1]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise ValueError("no way through the pieces")
-                at -= size[out.pop()]
-                k = taken.pop() - 1
+                i = shorter[out.pop()]
+                at -= size[last]
+                last = out[-1] if out else -1
         return out
 
     def encode(self, word: str) -> list[int]:
@@ -175,7 +191,7 @@ class PieceCodec:
         self.last = np.array([self.pieces.end], "<u4").tobytes()
 
     def ids_of(self, word: str) -> bytes:
-        return np.array(self.pieces.encode(word), "<u4").tobytes()
+        return array("I", self.pieces.encode(word)).tobytes()
 
     def raw(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text, without begin and end."""
