@@ -18,6 +18,7 @@ Documents without an id come first; of equal ids the order is that of their text
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -106,9 +107,9 @@ class WordEncoder:
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         pieces = [self.pieces(t) for t in texts]
-        fresh = [w for w in {w for p in pieces for w in p} if w not in self.known]
+        fresh = [*set().union(*pieces).difference(self.known)]
         for w, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known[w] = array("I", e.ids).tobytes()
         known = self.known.__getitem__
         return [b"".join(map(known, p)) + end for p in pieces]
 
