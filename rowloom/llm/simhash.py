@@ -48,6 +48,8 @@ BUCKET_ROWS = 150_000
 DEAL_ROWS = 2_500
 LARGE_RUN = 2_000
 LEADERS = 16
+BLOCK = 1_000
+"""Members of a cluster that a task holds of each side."""
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -295,31 +297,53 @@ def linked(key: np.ndarray, ids: np.ndarray, f1: np.ndarray, f2: np.ndarray, bit
     return names[moved], names[root[moved]]
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``(a, b)`` of pairs whose ``sets(id, shingles)`` have the similarity."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+def joined(table: pa.Table) -> pa.Table:
+    """A star for each group of members, cluster by cluster, that links of at least the
+    similarity join.  Rows of ``side`` 1 are compared with those of side 2, rows of side 0
+    with each other; members of one ``part`` are joined already."""
+    if not table.num_rows:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    table = table.sort_by([("cluster", "ascending"), ("id", "ascending"), ("side", "ascending")])
+    column = lambda name: np.asarray(table.column(name))
+    cluster, ids, side, n = column("cluster"), column("id"), column("side"), column("n")
+    f1, f2 = column("f1").view(np.uint64), column("f2").view(np.uint64)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+    names, who = np.unique(np.r_[column("part"), ids], return_inverse=True)
+    root = np.arange(len(names))
+    who = who[: len(ids)]  # a part stands for its members
     over, under = NEAR_SHARE
-
-    def judge(batches):
-        for batch in batches:
-            hit = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(under * common >= over * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
-        give_back()
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
+    heads = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1]])
+    for h, end in zip(heads, [*heads[1:], len(cluster)]):
+        own = np.arange(h, end)
+        left, right = own[side[own] < 2], own[side[own] != 1]
+        for x in left:
+            some = right[np.searchsorted(right, x + 1) :] if side[x] == 0 else right
+            some = some[root[who[some]] != root[who[x]]]
+            near = np.bitwise_count(f1[some] ^ f1[x]) + np.bitwise_count(f2[some] ^ f2[x]) <= NEAR_BITS
+            some = some[near & (under * n[some] >= over * n[x]) & (under * n[x] >= over * n[some])]
+            for y in some:
+                if root[who[y]] == root[who[x]]:
+                    continue
+                small, large = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
+                at = np.searchsorted(large, small)
+                common = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
+                if under * common >= over * (len(small) + len(large) - common):
+                    low, high = sorted((root[who[x]], root[who[y]]))
+                    root[root == high] = low
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    give_back()
+    return pa.table({"a": pa.array(names[moved]), "b": pa.array(names[root[moved]])})
 
 
 def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, component)`` of ``members(id, cluster, f1, f2, n, doc, text_hash)``: joined by
     links of at least the similarity, among pairs of a cluster within ``NEAR_BITS``.
 
-    About ``LEADERS`` members of each cluster, all in a small one, are compared with every
-    member.  Where parts stay apart, each member outside the largest part is compared with
-    all members of other parts.
+    Clusters of at most ``BLOCK`` members are compared whole, many in one task.  Larger
+    ones are dealt over blocks: first about ``LEADERS`` members are compared with all; then
+    each member outside the largest part is compared with all members of other parts, one
+    block with one block in a task.  A set travels once for each block that it meets, and
+    tasks give back links only, not the pairs that they look at.
     """
     def make():
         def work(part: pa.RecordBatch) -> dict:
@@ -330,27 +354,35 @@ def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) ->
 
     texts = docs.select(F.col(id_col).alias("doc_"), F.xxhash64(F.col(text_col)).alias("hash_"), whole(text_col).alias("text"))
     own = members.join(texts, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("text_hash") == F.col("hash_"))).select("id", "text")
-    sets = cut(per_slice(own, "text", "id long, shingles binary", make).dropDuplicates(["id"]))
+    sets = per_slice(own, "text", "id long, shingles binary", make).dropDuplicates(["id"])
     size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    members = cut(members.join(size, "cluster").select("id", "cluster", "f1", "f2", "n", (F.pmod(F.xxhash64("id"), "size") < LEADERS).alias("leads")))
-
-    def pairs(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
-        """Candidates of a cluster; sets of very different size cannot be similar."""
-        x, y = left.alias("x"), right.alias("y")
-        bits = F.bit_count(F.col("x.f1").bitwiseXOR(F.col("y.f1"))) + F.bit_count(F.col("x.f2").bitwiseXOR(F.col("y.f2")))
-        over, under = NEAR_SHARE
-        sizes = (under * F.col("x.n") >= over * F.col("y.n")) & (under * F.col("y.n") >= over * F.col("x.n"))
-        on = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.id") != F.col("y.id")) & (bits <= NEAR_BITS) & sizes & more
-        return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-    first = cut(similar(pairs(members.where("leads"), members, ~F.col("y.leads") | (F.col("x.id") < F.col("y.id"))), sets))
+    blocks, block = F.ceil(F.col("size") / BLOCK).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int")
+    sized = members.join(size, "cluster").join(sets, "id").withColumn("blocks", blocks)
+    rows = cut(sized.select("id", "cluster", "f1", "f2", "n", "shingles", "size", "blocks", block.alias("block"), (F.pmod(F.xxhash64("id"), "size") < LEADERS).alias("leads")))
+    shape = ["cluster", "id", "part", "n", "f1", "f2", "shingles"]
+
+    def compared(given: DataFrame) -> DataFrame:
+        return given.groupBy("home", "i", "j").applyInArrow(joined, "a long, b long")
+
+    # the homes of small clusters hold about a block of members each
+    homes = max(1, members.count() // BLOCK)
+    every = rows.withColumn("part", F.col("id"))
+    small = every.where("blocks = 1").select(F.pmod(F.xxhash64("cluster"), F.lit(homes)).alias("home"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), *shape, F.lit(0).alias("side"))
+    large = every.where("blocks > 1")
+    leaders = large.where("leads").select(F.col("cluster").alias("home"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), *shape, F.lit(1).alias("side"))
+    led = large.select(F.col("cluster").alias("home"), F.lit(0).alias("i"), F.col("block").alias("j"), *shape, F.lit(2).alias("side"))
+    first = cut(compared(small.union(leaders).union(led)))
     reached = cut(components(first))
-    parts = cut(members.join(reached, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"))
+    parts = rows.where("blocks > 1").join(reached, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    parts = cut(parts)
     counts = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("k"))
-    largest = counts.groupBy("cluster").agg(F.max_by("part", F.struct("k", "part")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    apart = parts.where("not leads").join(largest, "cluster").withColumn("outside", F.col("part") != F.col("largest"))
-    once = (F.col("x.part") != F.col("y.part")) & (~F.col("y.outside") | (F.col("x.id") < F.col("y.id")))
-    rest = cut(similar(pairs(apart.where("outside"), apart, once), sets))
+    largest = counts.groupBy("cluster").agg(F.max_by("part", F.struct("k", "part")).alias("largest"), (F.sum("k") - F.max("k")).alias("outside")).where("outside > 0")
+    apart = parts.join(largest, "cluster").withColumn("lots", F.ceil(F.col("outside") / BLOCK).cast("int"))
+    lone = apart.where("part <> largest and not leads")
+    lot = F.pmod(F.xxhash64("id", F.lit(2)), "lots").cast("int")
+    lone = lone.select(F.col("cluster").alias("home"), lot.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), *shape, F.lit(1).alias("side"))
+    met = apart.where("not leads").select(F.col("cluster").alias("home"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("i"), F.col("block").alias("j"), *shape, F.lit(2).alias("side"))
+    rest = cut(compared(lone.union(met)))
     return reached if rest.isEmpty() else components(first.union(rest))
 
 
