@@ -8,8 +8,6 @@ are never computed.
 from __future__ import annotations
 
 import json
-import threading
-from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass, field as default
 from graphlib import CycleError, TopologicalSorter
@@ -33,14 +31,22 @@ def load_spec(source: str | Path | Mapping) -> Mapping:
 
 @dataclass
 class Flow:
-    """The composed frames by (step id, port), and the writes still to be run."""
+    """The composed frames by (step id, port), and what is still to be run.
+
+    ``waiting`` holds the steps that follow a statement: they can only be planned when it
+    has run, which ``run`` does, or ``frame`` where it is asked for one of them.
+    """
 
     spec: Mapping
     context: Context
+    persist: bool = False
+    observe: bool = False
     frames: dict[tuple[str, str], DataFrame] = default(default_factory=dict)
     persisted: list[DataFrame] = default(default_factory=list)
     observations: dict[tuple[str, str], Observation] = default(default_factory=dict)
     used: set[tuple[str, str]] = default(default_factory=set)
+    waiting: list[str] = default(default_factory=list)
+    acted: bool = False
 
     def step_id(self, name: str) -> str:
         """The id of a step given by id or by (unique) name."""
@@ -50,21 +56,42 @@ class Flow:
         return ids[0]
 
     def frame(self, name: str, port: str = OUT) -> DataFrame:
+        """A step's frame; statements before it are run if it waits for them."""
         ident = self.step_id(name)
+        while ident in self.waiting:
+            self._next()
         if (ident, port) not in self.frames and port == OUT and (ident, PASS) in self.frames:
             port = PASS
         return self.frames[(ident, port)]
 
+    def _next(self) -> None:
+        """Plans the first waiting step, and runs it if it is a statement."""
+        ident = self.waiting.pop(0)
+        before = len(self.context.actions)
+        _compose(self, ident)
+        if _is_statement(self.spec, ident):
+            statement = self.context.actions[before:]
+            del self.context.actions[before:]
+            for action in statement:
+                action()
+
+    def _act(self) -> None:
+        """Runs the external writes that are planned so far, in step order."""
+        while self.context.actions:
+            self.acted = True
+            self.context.actions.pop(0)()
+
     def run(self) -> None:
-        """Run the external writes in step order, read every other terminal step, and
-        last write the changed tables of the session."""
+        """Run external writes and statements in step order, read every other terminal
+        step, and last commit the changed tables of the session."""
         sources = {c["SourceStepId"] for c in self.spec.get("Connections", [])}
-        acted = bool(self.context.actions)
-        for action in self.context.actions:
-            action()
         try:
+            self._act()
+            while self.waiting:
+                self._next()
+                self._act()
             for (ident, _), df in self.frames.items():
-                if ident not in sources and not (acted and self._is_sink(ident)):
+                if ident not in sources and not (self.acted and self._is_sink(ident)):
                     df.write.format("noop").mode("overwrite").save()
             self.context.session.flush()
         finally:
@@ -75,23 +102,19 @@ class Flow:
         kind = next(s["StepType"] for s in self.spec["Steps"] if s["Id"] == ident)
         return kind.endswith("Output") or kind in ("InsertUpdate", "DBUpdate", "DBDelete", "ExecSQL")
 
-    def row_counts(self, timeout: float = 10.0) -> dict[tuple[str, str], int]:
+    def row_counts(self) -> dict[tuple[str, str], int]:
         """Rows that passed each used port in ``run``; needs ``observe=True``.
 
         Counted on the way, without a job of their own.  A port that the plan did
-        not execute has no count.
+        not execute has no count, and none is waited for.
         """
-        out: dict[tuple[str, str], int] = {}
+        return {key: seen.get["rows"] for key, seen in self.observations.items() if key in self.used and _seen(seen)}
 
-        def fetch(key: tuple[str, str], seen: Observation) -> None:
-            out[key] = seen.get["rows"]
 
-        for key, seen in self.observations.items():
-            if key in self.used:
-                waiter = threading.Thread(target=fetch, args=(key, seen), daemon=True)
-                waiter.start()
-                waiter.join(timeout)
-        return out
+def _seen(observation: Observation) -> bool:
+    """Whether a query has filled the observation; reading it before would wait."""
+    inner = observation._jo
+    return inner is not None and inner.future().isCompleted()
 
 
 def _ordered(spec: Mapping) -> list[str]:
@@ -133,38 +156,55 @@ def build(
     persist: bool = False,
     observe: bool = False,
 ) -> Flow:
-    """Compose all steps.  ``persist`` keeps frames with several readers (for
-    costly steps; a plain scan is better read again, with its own filters).
-    ``observe`` counts rows per port while they pass."""
-    spec = load_spec(source)
-    flow = Flow(spec, context)
-    steps = {s["Id"]: s for s in spec["Steps"]}
-    edges = list(spec.get("Connections", []))
-    readers = Counter(c["SourceStepId"] for c in edges)
-    for ident in _ordered(spec):
-        me = steps[ident]
-        inputs = []
-        for c in edges:
-            if c["TargetStepId"] != ident:
-                continue
-            origin = steps[c["SourceStepId"]]
-            ports = [p for i, p in flow.frames if i == origin["Id"]]
-            port = _port(ports, c.get("SourceBranchKey"), origin["StepType"], origin.get("Name", ""))
-            flow.used.add((origin["Id"], port))
-            inputs.append(flow.frames[(origin["Id"], port)])
-        if len(inputs) > 1 and me["StepType"] not in TWO_INPUTS:
-            inputs = [union_inputs(inputs)]
-        settings = me.get("Settings") or {}
-        context.read_later = readers[ident] > 0
-        for port, df in STEPS[me["StepType"]](context, inputs, settings).items():
-            if observe:
-                seen = Observation(f"{ident}/{port}/{id(flow)}")
-                df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-                flow.observations[(ident, port)] = seen
-            if persist and readers[ident] > 1 and me["StepType"] not in ("DBInput", "SetVariable"):
-                df = df.persist(StorageLevel.MEMORY_AND_DISK)
-                flow.persisted.append(df)
-            flow.frames[(ident, port)] = df
-            if readers[ident] == 0:
-                flow.used.add((ident, port))
+    """Compose all steps; nothing is read, changed or run.  ``persist`` keeps frames with
+    several readers (for costly steps; a plain scan is better read again, with its own
+    filters).  ``observe`` counts rows per port while they pass."""
+    flow = Flow(load_spec(source), context, persist, observe)
+    order = _ordered(flow.spec)
+    after: set[str] = set()
+    targets: dict[str, list[str]] = {}
+    for c in flow.spec.get("Connections", []):
+        targets.setdefault(c["SourceStepId"], []).append(c["TargetStepId"])
+    for ident in order:
+        if ident in after or ident in targets and _is_statement(flow.spec, ident):
+            after.update([ident, *targets.get(ident, [])])
+            flow.waiting.append(ident)
+        else:
+            _compose(flow, ident)
     return flow
+
+
+def _is_statement(spec: Mapping, ident: str) -> bool:
+    return next(s["StepType"] for s in spec["Steps"] if s["Id"] == ident) == "ExecSQL"
+
+
+def _compose(flow: Flow, ident: str) -> None:
+    """Adds the frames of one step, whose inputs are there."""
+    steps = {s["Id"]: s for s in flow.spec["Steps"]}
+    edges = list(flow.spec.get("Connections", []))
+    readers = sum(c["SourceStepId"] == ident for c in edges)
+    me = steps[ident]
+    inputs = []
+    for c in edges:
+        if c["TargetStepId"] != ident:
+            continue
+        origin = steps[c["SourceStepId"]]
+        ports = [p for i, p in flow.frames if i == origin["Id"]]
+        port = _port(ports, c.get("SourceBranchKey"), origin["StepType"], origin.get("Name", ""))
+        flow.used.add((origin["Id"], port))
+        inputs.append(flow.frames[(origin["Id"], port)])
+    if len(inputs) > 1 and me["StepType"] not in TWO_INPUTS:
+        inputs = [union_inputs(inputs)]
+    settings = me.get("Settings") or {}
+    flow.context.read_later = readers > 0
+    for port, df in STEPS[me["StepType"]](flow.context, inputs, settings).items():
+        if flow.observe:
+            seen = Observation(f"{ident}/{port}/{id(flow)}")
+            df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+            flow.observations[(ident, port)] = seen
+        if flow.persist and readers > 1 and me["StepType"] not in ("DBInput", "SetVariable"):
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            flow.persisted.append(df)
+        flow.frames[(ident, port)] = df
+        if readers == 0:
+            flow.used.add((ident, port))

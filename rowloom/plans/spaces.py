@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from rowloom.functions.values import resolve
 from rowloom.operators import merge
 from rowloom.operators.keyed import columns_of
+from rowloom.plans.commit import Commit
 from rowloom.sinks import external
-from rowloom.sinks.tables import append_jdbc, append_table
+from rowloom.sinks.tables import append_jdbc
 from rowloom.sources.jdbc import JdbcConnection, Split, lookup_each_row, read_jdbc
-from rowloom.sources.scratch import scratch_path
 from rowloom.sources.sqlstep import exec_sql, has_named, has_positional, parameter_row, sql_each_row, sql_input
 
 Action = Callable[[], object]
@@ -40,10 +40,10 @@ class SessionSpace:
     """Views and tables of the Spark session.
 
     A change makes a new state of the table, which replaces its view, so later
-    steps read the changed table.  ``flush`` writes the states of tables of the
-    catalog, when everything that reads them has run: rows that were only inserted
-    are appended; other states are written to the shared folder first, as they are
-    computed from the table that they replace.
+    steps read the changed table.  ``flush`` commits the changes of tables of the
+    catalog, when everything that reads them has run: all of them are staged in the
+    shared folder while the tables are still as they were; then tables to which rows were
+    only inserted get these, and other states replace their tables.
     """
 
     spark: SparkSession
@@ -81,21 +81,22 @@ class SessionSpace:
         return table if "." in table else f"{catalog.currentDatabase()}.{table}"
 
     def flush(self) -> None:
-        """Write what changed, once."""
-        written = {}
-        for key, (name, rows) in self.stored.items():
-            if rows is None:
-                written[key] = scratch_path(self.spark, "state")
-                self.states[key].write.parquet(written[key])
+        """Write what changed, once: everything is staged before any table changes."""
+        if not self.stored:
+            return
+        commit = Commit(self.spark)
         for key, (name, rows) in self.stored.items():
             columns = self.spark.table(name).columns
             if rows is None:
-                state = self.spark.read.parquet(written[key])
-                state.select(*columns_of(columns)).write.mode("overwrite").insertInto(name)
+                commit.replace(name, self.states[key].select(*columns_of(columns)))
             for some in rows or ():
-                append_table(some.select(*columns_of([c for c in columns if resolve(some, c)])), name)
+                commit.append(name, some.select(*columns_of([c for c in columns if resolve(some, c)])))
+        commit.run()
+        for key in self.stored:
             if "." not in key:
                 self.spark.catalog.dropTempView(key)
+            # what was read is no longer the state
+            self.states.pop(key)
         self.stored.clear()
 
     def _now(self, table: str) -> DataFrame:

@@ -135,15 +135,12 @@ def db_delete(ctx, inputs, s):
 
 @step("ExecSQL")
 def exec_statement(ctx, inputs, s):
-    """Steps that follow may read what the statement changes and are planned now, so
-    then it runs at once; a statement that nothing follows runs with the flow."""
+    """Steps that follow may read what the statement changes, so they are planned when it
+    has run (see ``Flow``).  The statement sees tables without the flow's own changes."""
     rows = inputs[0] if inputs else None
-    actions = ctx.space(s).execute(text(s, "SQL"), rows, truth(s, "ExecuteEachRow", False))
-    if not ctx.read_later:
-        ctx.actions += actions
-        return {OUT: rows} if rows is not None else {}
-    for action in actions:
-        action()
+    ctx.actions += ctx.space(s).execute(text(s, "SQL"), rows, truth(s, "ExecuteEachRow", False))
+    if rows is None and not ctx.read_later:
+        return {}
     return {OUT: rows if rows is not None else ctx.spark.range(1).select()}
 
 

@@ -211,3 +211,53 @@ def stored_table_flow(t):
     t.spark.sql("SELECT s_suppkey AS k, s_acctbal AS v FROM supplier WHERE s_suppkey % 3 <> 0").write.saveAsTable(name)
     build(_stored(name), Context(t.spark)).run()
     return t.spark.table(name)
+
+
+@query(
+    "chained_insert_flow",
+    """SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 4 = 1 UNION ALL SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 = 2
+       UNION ALL SELECT s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 4 IN (1, 2)""",
+)
+def chained_insert_flow(t):
+    """Rows are inserted, the table is read with them, and more are inserted: each once."""
+    name = f"flow_{uuid.uuid4().hex}"
+    t.views("supplier")
+    t.spark.sql("SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 4 = 1").write.saveAsTable(name)
+    flow = {
+        "Name": "chained",
+        "Steps": [
+            _step("New", "DBInput", SQL="SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 4 = 2"),
+            _step("Store", "DBOutput", TableName=name),
+            _step("Read", "DBInput", SQL=f"SELECT k + 1000000 AS k FROM {name}"),
+            _step("Again", "DBOutput", TableName=name),
+        ],
+        "Connections": _edges("New>Store", "Store>Read", "Read>Again"),
+    }
+    build(flow, Context(t.spark)).run()
+    return t.spark.table(name)
+
+
+@query(
+    "chained_upsert_flow",
+    """SELECT 'first' AS place, s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey + 1 ELSE s_nationkey END AS v FROM supplier
+       UNION ALL SELECT 'second', s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey + 1 ELSE s_nationkey END FROM supplier""",
+)
+def chained_upsert_flow(t):
+    """A table is changed from itself, and a second one is filled from what it became."""
+    first, second = (f"flow_{uuid.uuid4().hex}" for _ in range(2))
+    t.views("supplier")
+    t.spark.sql("SELECT s_suppkey AS k, s_nationkey AS v FROM supplier").write.saveAsTable(first)
+    t.spark.sql("SELECT s_suppkey AS k, s_nationkey AS v FROM supplier LIMIT 0").write.saveAsTable(second)
+    flow = {
+        "Name": "chained",
+        "Steps": [
+            _step("Old", "DBInput", SQL=f"SELECT k, v + 1 AS v FROM {first} WHERE k % 2 = 0"),
+            _step("Change", "InsertUpdate", TableName=first, KeyFields="k", UpdateFields="v"),
+            _step("Read", "DBInput", SQL=f"SELECT k, v FROM {first}"),
+            _step("Fill", "DBOutput", TableName=second),
+        ],
+        "Connections": _edges("Old>Change", "Change>Read", "Read>Fill"),
+    }
+    build(flow, Context(t.spark)).run()
+    tagged = lambda name, place: t.spark.table(name).select(F.lit(place).alias("place"), "k", "v")
+    return tagged(first, "first").union(tagged(second, "second"))

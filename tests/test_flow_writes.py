@@ -73,3 +73,85 @@ def test_split_settings_reach_the_source(spark):
     steps = flow(step("Read", "OracleInput", ConnectionId="c", SQL="SELECT 1", SplitColumn="id", SplitLower="0", SplitUpper="90", SplitParts="9"))
     build(steps, Context(spark, connections={"c": Space()}))
     assert (seen["split"].column, seen["split"].lower, seen["split"].upper, seen["split"].partitions) == ("id", "0", "90", 9)
+
+
+def test_chained_inserts_are_each_written_once(spark, table):
+    """Insert, read with what was inserted, insert again."""
+    again = step("Again", "DBInput", SQL=f"SELECT k + 10 AS k, v FROM {table}")
+    build(flow(READ, step("One", "DBOutput", TableName=table), again, step("Two", "DBOutput", TableName=table)), Context(spark)).run()
+    assert rows(spark.table(table)) == sorted([(1, "a"), (2, "b"), (2, "x"), (3, "y"), (11, "a"), (12, "b"), (12, "x"), (13, "y")], key=lambda r: tuple(map(str, r)))
+
+
+def test_second_table_is_filled_from_the_unchanged_first(spark, table):
+    other = f"{table}_other"
+    spark.sql(f"CREATE TABLE {other} (k BIGINT) USING parquet")
+    try:
+        steps = flow(
+            step("Old", "DBInput", SQL=f"SELECT k, concat(v, v) AS v FROM {table}"), step("Up", "InsertUpdate", TableName=table, KeyFields="k"),
+            step("Now", "DBInput", SQL=f"SELECT CAST(length(v) AS BIGINT) AS k FROM {table}"), step("Out", "DBOutput", TableName=other))
+        build(steps, Context(spark)).run()
+        assert rows(spark.table(other)) == [(2,), (2,)]
+        assert rows(spark.table(table)) == [(1, "aa"), (2, "bb")]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {other}")
+
+
+def test_build_has_no_effects(spark, table):
+    steps = flow(step("Gone", "ExecSQL", SQL=f"TRUNCATE TABLE {table}"), step("Read", "DBInput", SQL=f"SELECT k FROM {table}"), step("Out", "DBOutput", TableName=table))
+    built = build(steps, Context(spark))
+    assert spark.table(table).count() == 2 and len(built.waiting) == 3
+    assert rows(built.frame("Read")) == [] and spark.table(table).count() == 0
+
+
+def test_statements_run_in_step_order(spark, table):
+    """An external write, a statement, and what follows it."""
+    seen = []
+
+    class Space:
+        def query(self, sql, given, each_row, split=None):
+            seen.append(sql)
+            return spark.range(1)
+
+        def insert(self, name, given, size):
+            return [lambda: seen.append("insert")]
+
+        def execute(self, sql, given, each_row):
+            return [lambda: seen.append(sql)]
+
+    steps = flow(step("A", "DBInput", ConnectionId="c", SQL="first"), step("B", "DBOutput", ConnectionId="c", TableName="t"), step("C", "ExecSQL", ConnectionId="c", SQL="statement"), step("D", "DBInput", ConnectionId="c", SQL="last"))
+    built = build(steps, Context(spark, connections={"c": Space()}))
+    assert seen == ["first"]
+    built.run()
+    assert seen == ["first", "insert", "statement", "last"]
+
+
+def test_a_commit_that_was_cut_off_is_finished(spark, table, monkeypatch):
+    from rowloom.plans import commit
+
+    other = f"{table}_other"
+    spark.sql(f"CREATE TABLE {other} (k BIGINT, v STRING) USING parquet")
+    try:
+        staged = commit.Commit(spark)
+        assert not commit.recover(spark, staged.folder)
+        staged.append(table, spark.table("fresh"))
+        staged.append(table, spark.table("fresh").where("k = 3"))
+        staged.replace(other, spark.table(table))
+        real, calls = commit._write_text, []
+
+        def failing(session, path, text):
+            calls.append(path)
+            if len(calls) == 3:  # the second append has landed, its mark has not
+                raise OSError("lost")
+            real(session, path, text)
+
+        monkeypatch.setattr(commit, "_write_text", failing)
+        with pytest.raises(OSError):
+            staged.run()
+        assert spark.table(other).count() == 0
+        monkeypatch.setattr(commit, "_write_text", real)
+        for _ in range(2):
+            assert commit.recover(spark, staged.folder)
+            assert rows(spark.table(table)) == [(1, "a"), (2, "b"), (2, "x"), (3, "y"), (3, "y")]
+            assert rows(spark.table(other)) == [(1, "a"), (2, "b")]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {other}")
