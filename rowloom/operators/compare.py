@@ -44,7 +44,7 @@ def table_compare(
     columns: str | Sequence[str] = (),
     order_by: str | Sequence[str] = (),
     assume_unique: bool = False,
-    split_hot: bool = False,
+    split_hot: bool = True,
     ignore_case: bool = False,
     trim: bool = False,
     nulls_equal: bool = True,
@@ -53,8 +53,9 @@ def table_compare(
     """Keys, ``c_L``/``c_R`` per compared column, ``_status`` and ``_diff_columns``.
 
     Of several right rows with one key the first in ``order_by`` is compared; all
-    left rows are.  One full outer join does it; where left keys are hot
-    (``split_hot``) it is two joins, whose hot keys adaptive execution can split.
+    left rows are.  A left outer join and the right rows without a left key: both can be
+    split by adaptive execution where a left key is hot.  Without ``split_hot`` one full
+    outer join does it, which cannot.
     """
     names = split_names(keys)
     if not names:

@@ -2,9 +2,11 @@
 
 Skew: the plans keep both join inputs as plain shuffles and use join types whose
 hot partitions adaptive execution can split.  Adaptive execution splits no full outer
-join, and of other outer joins only the preserved side.  Where keys may be hot there,
-``hot_rows`` looks for them (which runs a job) and sends them through an inner join; a
-full outer join is then a left outer join plus the unmatched right rows.
+join, so that is planned as the inner join plus the rows of either side without a
+partner: each of these can be split, keys of the other side collapse before their shuffle,
+and the shuffles of the rows are used by both.  Of other outer joins only the preserved
+side is split.  Where keys may be hot on the other one, ``hot_rows`` looks for them (which
+runs a job) and sends them through an inner join.
 """
 
 from __future__ import annotations
@@ -118,7 +120,10 @@ def merge_join(
     if how == "RIGHT OUTER":
         return _outer(left, right, pairs, "right", hot_rows)
     if how == "FULL OUTER" and hot_rows is None:
-        return _full(left, right, pairs)
+        if left.isStreaming or right.isStreaming:
+            return _full(left, right, pairs)
+        alone = _unmatched(left, right, pairs)
+        return _joined(left, right, pairs, "inner").union(_unmatched_left(left, right, pairs)).union(alone)
     out = _outer(left, right, pairs, "left", hot_rows)
     return out if how == "LEFT OUTER" else out.union(_unmatched(left, right, pairs))
 
@@ -173,11 +178,23 @@ def _unmatched(left: DataFrame, right: DataFrame, pairs: list[Key]) -> DataFrame
     return right.alias("r").join(known, on, "left_anti").alias("r").select(*columns)
 
 
-def merge_join_inputs(inputs: Sequence[DataFrame], keys: str | Sequence[str] = (), how: str = "INNER") -> DataFrame:
+def _unmatched_left(left: DataFrame, right: DataFrame, pairs: list[Key]) -> DataFrame:
+    """Left rows without a right row, in the output's shape."""
+    known = right.alias("r").select(*[p.right.alias(f"k{i}") for i, p in enumerate(pairs)]).distinct().alias("k")
+    on = reduce(lambda a, b: a & b, [p.left.eqNullSafe(F.col(f"k.k{i}")) for i, p in enumerate(pairs)])
+    columns = []
+    for c in left.columns:
+        mine, other = field(left, c, "l"), field(right, c, "r")
+        columns.append((mine.col if other is None else to_type(mine, common_type(mine.type, other.type))).alias(c))
+    columns += [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns if resolve(left, c) is None]
+    return left.alias("l").join(known, on, "left_anti").alias("l").select(*columns)
+
+
+def merge_join_inputs(inputs: Sequence[DataFrame], keys: str | Sequence[str] = (), how: str = "INNER", hot_rows: int | None = None) -> DataFrame:
     """First input is left, second is right; more are an error."""
     if len(inputs) != 2:
         raise ValueError(f"a join takes two inputs, got {len(inputs)}")
-    return merge_join(inputs[0], inputs[1], keys, how)
+    return merge_join(inputs[0], inputs[1], keys, how, hot_rows)
 
 
 def union_inputs(inputs: Sequence[DataFrame]) -> DataFrame:

@@ -86,7 +86,7 @@ def _cut(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], group_rows
             if not points:
                 break
             table = F.broadcast(spark.createDataFrame(points, found.schema))
-            numbered = _cell_number(F.col(quoted(name))).alias(cell)
+            numbered = _cell_number(F.col(quoted(name)), max(len(r[_CUTS]) for r in points)).alias(cell)
             rows = rows.join(table, parts, "left").select(*columns_of(rows.columns), numbered)
             sample = sample.join(table, parts, "left").select(*columns_of(sample.columns), numbered)
             cells.append(cell)
@@ -97,13 +97,17 @@ def _cut(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], group_rows
     return Cut(rows, cells, F.col(cells[0]) != 0)
 
 
-def _cell_number(p: Column) -> Column:
-    """The cell of a value among its part's cut points: even between two points, odd
-    for a value that fills a cell of its own, and for no value; 0 where nothing is cut."""
-    below = F.size(F.filter(_CUTS, lambda c: c < p))
-    same = F.size(F.filter(_CUTS, lambda c: c == p))
-    number = F.when(p.isNull(), F.lit(1)).otherwise(2 + 2 * below + (same > 1).cast("int"))
-    return F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(number).cast("bigint")
+def _cell_number(p: Column, most: int) -> Column:
+    """The cell of a value among its part's cut points, at most ``most``: even between two
+    points, odd for a value that fills a cell of its own, and for no value; 0 where nothing
+    is cut.  Points are in order, so they are searched by halves."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most.bit_length())))])
+    further = lambda at, step: F.when(F.get(_CUTS, at + step - 1) < p, at + step).otherwise(at)
+    below = F.aggregate(steps, F.lit(0), further)
+    found = F.struct(below.alias("below"))
+    repeated = lambda x: F.coalesce((F.get(_CUTS, x["below"]) == p) & (F.get(_CUTS, x["below"] + 1) == p), F.lit(False))
+    number = F.element_at(F.transform(F.array(found), lambda x: 2 + 2 * x["below"] + repeated(x).cast("int")), 1)
+    return F.when(F.col(_CUTS).isNull(), F.lit(0)).when(p.isNull(), F.lit(1)).otherwise(number).cast("bigint")
 
 
 def _edge_join(rows: DataFrame, edges: DataFrame, names: Sequence[str]) -> DataFrame:

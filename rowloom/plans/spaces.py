@@ -108,7 +108,7 @@ class SessionSpace:
 
     def upsert(self, table: str, rows: DataFrame, keys, updates, order_by, commit_size: int) -> list[Action]:
         keys = keys or [rows.columns[0]]
-        return self._replace(table, merge.upsert(self._now(table), rows, keys, updates, order_by))
+        return self._replace(table, merge.upsert(self._now(table), rows, keys, updates, order_by, target_unique=False))
 
     def update(self, table: str, rows: DataFrame, keys, updates, order_by, commit_size: int) -> list[Action]:
         return self._replace(table, merge.update_matched(self._now(table), rows, keys, updates, order_by))

@@ -12,7 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.operators import compare, intervals, join, project, route
+from rowloom.operators import compare, digests, intervals, join, project, route
 from rowloom.plans.spaces import SessionSpace
 from rowloom.sinks.files import write_delimited
 from rowloom.sources.files import read_delimited
@@ -222,13 +222,20 @@ def select_step(ctx, inputs, s):
 
 @step("MergeJoin")
 def merge_step(ctx, inputs, s):
-    return {OUT: join.merge_join_inputs(inputs, text(s, "KeyFields"), text(s, "JoinType", "INNER"))}
+    """``HotRows``: from how many rows on a key counts as hot on the side of an outer join
+    that cannot be split; looking for such keys runs a job."""
+    return {OUT: join.merge_join_inputs(inputs, text(s, "KeyFields"), text(s, "JoinType", "INNER"), count(s, "HotRows", 0) or None)}
 
 
 @step("TableCompare")
 def compare_step(ctx, inputs, s):
+    """``Digests``: join only buckets of rows whose digests differ, for tables that are
+    nearly the same; matching rows are not in its output."""
     if len(inputs) != 2:
         raise ValueError(f"TableCompare takes two inputs, got {len(inputs)}")
+    if truth(s, "Digests", False) and not truth(s, "IncludeMatched", False):
+        rules = {"ignore_case": truth(s, "IgnoreCase", False), "trim": truth(s, "TrimStrings", False), "nulls_equal": truth(s, "NullsEqual", True)}
+        return {OUT: digests.digest_compare(*inputs, text(s, "KeyFields"), text(s, "CompareFields"), order_of(s, inputs[1]), **rules)}
     return {
         OUT: compare.table_compare(
             *inputs,
@@ -245,10 +252,11 @@ def compare_step(ctx, inputs, s):
 
 @step("PreviousEvent")
 def previous_event_step(ctx, inputs, s):
-    """``Columns`` of the row before in the group, under ``Prefix``."""
+    """``Columns`` of the row before in the group, under ``Prefix``.  Groups with more than
+    ``GroupRows`` rows are cut; looking for them runs a job."""
     rows = _one(inputs, "PreviousEvent")
     names = {k: join.split_names(text(s, k)) for k in ("KeyFields", "OrderFields", "Columns")}
-    out = intervals.previous_event(rows, names["KeyFields"], names["OrderFields"], names["Columns"], text(s, "Prefix", intervals.PREFIX), truth(s, "KeepFirst", False))
+    out = intervals.previous_event(rows, names["KeyFields"], names["OrderFields"], names["Columns"], text(s, "Prefix", intervals.PREFIX), truth(s, "KeepFirst", False), count(s, "GroupRows", 0) or None)
     return {OUT: out}
 
 
@@ -267,10 +275,11 @@ def event_pivot_step(ctx, inputs, s):
 
 @step("Overlap")
 def overlap_step(ctx, inputs, s):
-    """Spans that begin before the group's previous one has ended, and all others."""
+    """Spans that begin before the group's previous one has ended, and all others;
+    ``GroupRows`` as for PreviousEvent."""
     rows = _one(inputs, "Overlap")
     keys, order = (join.split_names(text(s, k)) for k in ("KeyFields", "OrderFields"))
-    return intervals.overlap_split(rows, keys, text(s, "StartField"), text(s, "EndField"), order, text(s, "OutputFieldName", "INTERVAL_MIN"))
+    return intervals.overlap_split(rows, keys, text(s, "StartField"), text(s, "EndField"), order, text(s, "OutputFieldName", "INTERVAL_MIN"), count(s, "GroupRows", 0) or None)
 
 
 @step("SetVariable")

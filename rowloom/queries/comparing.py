@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowloom.operators.compare import compare_summary, right_duplicates, table_compare
+from rowloom.operators.digests import digest_compare
 from rowloom.queries.registry import plain, query
 
 ALTERED = """SELECT p_partkey,
@@ -140,3 +141,23 @@ def compare_long_decimal(t):
                   CAST(o_orderkey + o_orderkey % 2 AS DECIMAL(38, 0)) AS v FROM {orders}"""
     )
     return table_compare(left, right, "k", "v", assume_unique=True, include_matched=True)
+
+
+CHANGED = """SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 991 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+     FROM {orders} WHERE o_orderkey % 997 <> 1
+     UNION ALL SELECT -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice FROM {orders} WHERE o_orderkey % 983 = 0"""
+
+
+@query(
+    "compare_digest",
+    plain(f"""WITH l AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders), r AS ({CHANGED})
+       SELECT coalesce(l.o_orderkey, r.o_orderkey) AS o_orderkey, l.o_custkey AS "o_custkey_L", r.o_custkey AS "o_custkey_R",
+              l.o_orderstatus AS "o_orderstatus_L", r.o_orderstatus AS "o_orderstatus_R", l.o_totalprice AS "o_totalprice_L", r.o_totalprice AS "o_totalprice_R",
+              CASE WHEN r.o_orderkey IS NULL THEN 'ONLY_LEFT' WHEN l.o_orderkey IS NULL THEN 'ONLY_RIGHT' ELSE 'DIFF' END AS _status,
+              CASE WHEN r.o_orderkey IS NULL OR l.o_orderkey IS NULL THEN '' ELSE 'o_totalprice' END AS _diff_columns
+       FROM l FULL JOIN r ON l.o_orderkey = r.o_orderkey WHERE l.o_orderkey IS NULL OR r.o_orderkey IS NULL OR l.o_totalprice <> r.o_totalprice"""),
+)
+def compare_digest(t):
+    """Nearly equal tables: only buckets with different digests are joined."""
+    left = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return digest_compare(left, t.sql(CHANGED), "o_orderkey", assume_unique=True)

@@ -80,3 +80,31 @@ def test_hot_source_keys_collapse_before_the_shuffle(sides):
     assert out.count() == few.count()
     plan = merge.upsert(few, many, "k", "v", order_by="n")._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan
+
+
+@pytest.mark.parametrize("hot_side", ["left", "right"])
+def test_full_outer_join_is_split_by_default(sides, hot_side):
+    """Inner join and rows without a partner; the result is that of one full outer join."""
+    many, few = sides
+    left, right = (many, renamed(few)) if hot_side == "left" else (renamed(few), many)
+    left, right = left.where("k % 5 <> 1"), right.where("k % 5 <> 3")
+    out = join.merge_join(left, right, "k", "FULL OUTER")
+    assert splits(out) >= 1
+    plain = left.alias("l").join(right.alias("r"), F.col("l.k").eqNullSafe(F.col("r.k")), "full")
+    columns = [F.coalesce("l.k", "r.k").alias("k"), *[F.col(c) for c in out.columns if c != "k"]]
+    assert out.exceptAll(plain.select(*columns)).count() == plain.select(*columns).exceptAll(out).count() == 0
+
+
+def test_comparison_is_split_by_default(sides):
+    many, few = sides
+    assert splits(compare.table_compare(many, few, "k", "v", order_by="n", include_matched=True)) == 1
+
+
+def test_flow_upsert_into_a_hot_target_is_split(spark, sides):
+    from rowloom.plans.spaces import SessionSpace
+
+    many, few = sides
+    many.createOrReplaceTempView("hot_target")
+    space = SessionSpace(spark)
+    space.upsert("hot_target", few, ["k"], "v", ["n"], 100)
+    assert splits(space.states["hot_target"]) >= 1
