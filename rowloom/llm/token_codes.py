@@ -17,6 +17,7 @@ Documents without an id come first; of equal ids the order is that of their text
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from functools import lru_cache
@@ -89,6 +90,8 @@ class WordEncoder:
 
         from tokenizers import Tokenizer
 
+        # a task has one core; threads of the library's own would take those of others
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
