@@ -16,6 +16,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from rowloom.operators.keyed import columns_of
+from rowloom.sinks.marks import exists as _exists, read_text as _read_text, write_text as _write_text
 from rowloom.sinks.tables import append_table
 from rowloom.sources.scratch import scratch_path
 
@@ -32,30 +33,6 @@ class Change:
     files: str = ""
 
 
-def _file_system(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside and renamed, so that the file is there whole or not at all."""
-    system, where = _file_system(spark, path)
-    beside = where.suffix(".part")
-    out = system.create(beside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    system.rename(beside, where)
-
-
-def _read_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    system, where = _file_system(spark, path)
-    return system.exists(where)
-
-
 def _files_of(spark: SparkSession, table: str) -> str:
     """A digest of the names of a table's files."""
     spark.catalog.refreshTable(table)

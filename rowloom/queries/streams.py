@@ -58,17 +58,13 @@ def stream_upsert(t):
     source = scratch_path(t.spark, "stream")
     t.events.repartitionByRange(4, "event_id").write.parquet(source + "/in")
     stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(source + "/in")
-    empty = t.events.select("user_id", "event_type", "ts", "value", F.col("event_id").alias("seen")).limit(0)
-    state = UpsertStream(t.spark, empty, source + "/state", ["user_id", "event_type"], ["newest"], ["ts", "value", "seen"])
-
-    def newer(batch: DataFrame, ident: int) -> None:
-        # Files may arrive in any order, so the row already held competes too.
-        held = state.state(ident - 1).withColumn("newest", F.col("seen"))
-        rows = batch.select("user_id", "event_type", "ts", "value", F.col("event_id").alias("seen"), F.col("event_id").alias("newest"))
-        state.apply(rows.unionByName(held), ident)
-
-    writer = stream.writeStream.foreachBatch(newer).option("checkpointLocation", source + "/checkpoint")
-    _drain(writer.trigger(availableNow=True).start())
+    seen = F.col("event_id").alias("seen")
+    empty = t.events.select("user_id", "event_type", "ts", "value", seen).limit(0)
+    # files may arrive in any order, so the row already held competes too
+    newest = lambda held: held.withColumn("newest", F.col("seen"))
+    state = UpsertStream(t.spark, empty, source + "/state", ["user_id", "event_type"], ["newest"], ["ts", "value", "seen"], buckets=8, held=newest)
+    rows = stream.select("user_id", "event_type", "ts", "value", seen, F.col("event_id").alias("newest"))
+    _drain(state.start(rows, source + "/checkpoint"))
     return state.state().select("user_id", "event_type", "ts", "value")
 
 

@@ -87,3 +87,29 @@ def test_ports_are_written_in_one_pass(spark, tmp_path):
     write_routed(df, str(tmp_path / "p"))
     assert sorted(p.name for p in (tmp_path / "p").glob("branch=*")) == ["branch=a", "branch=b"]
     assert spark.read.parquet(str(tmp_path / "p/branch=a")).count() == 3
+
+
+def test_a_batch_of_one_key_writes_one_bucket(spark, tmp_path):
+    initial = spark.range(200).selectExpr("id AS k", "id", "'old' AS v")
+    sink = UpsertStream(spark, initial, str(tmp_path / "state"), ["k"], ["id"], buckets=16)
+    one = lambda k, v: spark.sql(f"SELECT {k} AS k, 1000L AS id, '{v}' AS v")
+    sink.apply(one(7, "first"), 0)
+    assert len(list((tmp_path / "state/version=0").glob("bucket=*"))) == 16
+    for ident, value in ((1, "second"), (1, "again"), (2, "third")):
+        sink.apply(one(7, value), ident)
+        assert len(list((tmp_path / f"state/version={ident}").glob("bucket=*"))) == 1
+    found = {r["k"]: r["v"] for r in sink.state().collect()}
+    assert len(found) == 200 and found[7] == "third" and found[8] == "old"
+    assert {r["v"] for r in sink.state(1).where("k = 7").collect()} == {"again"}
+    sink.apply(one("CAST(NULL AS BIGINT)", "loose"), 3)
+    sink.apply(spark.sql("SELECT 500 AS k, 1L AS id, 'new' AS v").where("false"), 4)
+    assert sink.state().count() == 201 and sink.state().where("k IS NULL").count() == 1
+
+
+def test_held_rows_compete(spark, tmp_path):
+    initial = spark.createDataFrame([], "k long, seen long, v string")
+    held = lambda df: df.withColumn("newest", F.col("seen"))
+    sink = UpsertStream(spark, initial, str(tmp_path / "state"), ["k"], ["newest"], ["seen", "v"], held=held)
+    for ident, (seen, v) in enumerate([(5, "five"), (3, "three"), (9, "nine")]):
+        sink.apply(spark.createDataFrame([(1, seen, v, seen)], "k long, seen long, v string, newest long"), ident)
+        assert rows(sink.state()) == [(1, max(5, seen), "nine" if seen == 9 else "five")]
