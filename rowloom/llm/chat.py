@@ -7,7 +7,9 @@ placeholder stands for are recorded beside it.
 
 Template: ``<|start|>role\\n content <|end|>\\n`` for each turn.  Inside texts a
 backslash is doubled and ``<|`` becomes ``<\\|`` (in roles a line end becomes
-``<\\n``), so no text can form a mark, and ``unescaped`` gives back the text.
+``<\\n``), and ``unescaped`` gives back the text.  Neighbouring text parts are one text
+before it is escaped, and parts of other types than ``ATTACHED`` are ``<|unknown|>``, so
+neither texts nor types can form a mark, however they are divided.
 
 A null text or role counts as empty.  Turns are ordered by number, then role and
 content; repeated rows are turns of their own.  Rows without a conversation id are
@@ -22,6 +24,7 @@ START, END = "<|start|>", "<|end|>\n"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 # Fixed sizes: pixels of an image patch, tokens of a second of audio, of a page.
 PATCH, PER_SECOND, PER_PAGE = 28, 25, 256
+ATTACHED = ("image", "audio", "document")
 
 
 def text_part(text: Column) -> Column:
@@ -48,8 +51,21 @@ def unescaped_role(role: Column) -> Column:
 
 
 def placeholder(part: Column) -> Column:
-    text = F.coalesce(part["text"], F.lit(""))
-    return F.when(part["type"] == "text", escaped(text)).otherwise(F.concat(F.lit("<|"), escaped_role(F.coalesce(part["type"], F.lit("unknown"))), F.lit("|>")))
+    """What stands for a part that is no text."""
+    kind = F.when(part["type"].isin(*ATTACHED), part["type"]).otherwise(F.lit("unknown"))
+    return F.concat(F.lit("<|"), kind, F.lit("|>"))
+
+
+def visited(parts: Column) -> Column:
+    """All parts as one text: runs of text parts are escaped together."""
+    def visit(acc: Column, part: Column) -> Column:
+        is_text = F.coalesce(part["type"] == "text", F.lit(False))
+        text = F.concat(acc["text"], F.coalesce(part["text"], F.lit("")))
+        out = F.concat(acc["out"], escaped(acc["text"]), placeholder(part))
+        return F.struct(F.when(is_text, acc["out"]).otherwise(out).alias("out"), F.when(is_text, text).otherwise(F.lit("")).alias("text"))
+
+    begin = F.struct(F.lit("").alias("out"), F.lit("").alias("text"))
+    return F.aggregate(parts, begin, visit, lambda acc: F.concat(acc["out"], escaped(acc["text"])))
 
 
 def expanded_tokens(part: Column) -> Column:
@@ -64,7 +80,7 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     ``attachments`` in order."""
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
     parts = F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART}>"))
-    content = F.array_join(F.transform(parts, placeholder), "")
+    content = visited(parts)
     files = F.transform(F.filter(parts, lambda p: ~F.coalesce(p["type"] == "text", F.lit(False))),
                         lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")))
     turn = F.struct(F.col(turn_col).alias("turn"), role.alias("role"), content.alias("content"), files.alias("files"))

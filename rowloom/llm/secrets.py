@@ -8,7 +8,8 @@ A credential that many owners share is an example from a manual; one that belong
 one or two owners may be live.  So every candidate's hash is aggregated over the whole
 corpus to the number of distinct owners and repositories.  ``opaque`` strings (long,
 with upper and lower case letters and digits, outside other spans) become spans only
-when they are not widely shared; the spans of the fixed kinds stay in any case and are
+when they are not widely copied (over many owners, or by one owner into very many
+repositories); the spans of the fixed kinds stay in any case and are
 marked as ``live`` or not.
 
 A hash may stand in any share of the rows: it is pre-aggregated per owner and
@@ -27,6 +28,8 @@ from rowloom.llm.common import cut, packed, whole
 
 MAX_OWNERS = 2
 """A value with more owners than this is widely copied."""
+MAX_PER_OWNER = 50
+"""And so is one in more repositories than this for each of its owners."""
 SALTS = 64
 
 # Fixed patterns: kind, pattern, group with the value, least length of the value.
@@ -75,9 +78,10 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None,
-            max_owners: int = MAX_OWNERS) -> DataFrame:
+            max_owners: int = MAX_OWNERS, max_per_owner: int = MAX_PER_OWNER) -> DataFrame:
     """Per document: ``id_col``, ``text_hash`` and ``spans`` in order: rank (of
-    ``KINDS``), start, end, live (looks live and is owned by few)."""
+    ``KINDS``), start, end, live (looks live, is owned by few and not copied widely:
+    neither into more repositories than ``max_per_owner`` for each of its owners)."""
     owner, repository = F.col(owner_col).cast("string"), F.col(repository_col or id_col).cast("string")
     text = F.col("text_")
     given = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text_"), owner.alias("owner"), repository.alias("repository"))
@@ -85,7 +89,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
     found = cut(given.select(F.monotonically_increasing_id().alias("row"), "id", "owner", "repository", F.xxhash64("text_").alias("text_hash"), candidates(text).alias("found")))
     some = found.where(F.size("found") > 0)
     each = some.select("row", "owner", "repository", F.explode(F.array_distinct(F.col("found.hash"))).alias("hash"))
-    shared = ownership(each).where(F.col("owners") > max_owners).select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copied = (F.col("owners") > max_owners) | (F.col("repositories") > max_per_owner * F.col("owners"))
+    shared = ownership(each).where(copied).select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = each.select("row", "hash", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
     wide = salted.join(shared, ["hash", "salt"]).groupBy("row").agg(F.collect_set("hash").alias("wide"))
     joined = found.join(wide, "row", "left")
