@@ -122,10 +122,10 @@ def merge_join(
     if how == "FULL OUTER" and hot_rows is None:
         if left.isStreaming or right.isStreaming:
             return _full(left, right, pairs)
-        alone = _unmatched(left, right, pairs)
+        alone = unmatched_rows(left, right, pairs)
         return _joined(left, right, pairs, "inner").union(_unmatched_left(left, right, pairs)).union(alone)
     out = _outer(left, right, pairs, "left", hot_rows)
-    return out if how == "LEFT OUTER" else out.union(_unmatched(left, right, pairs))
+    return out if how == "LEFT OUTER" else out.union(unmatched_rows(left, right, pairs))
 
 
 def _joined(left: DataFrame, right: DataFrame, pairs: list[Key], how: str) -> DataFrame:
@@ -165,7 +165,7 @@ def _outer(left: DataFrame, right: DataFrame, pairs: list[Key], how: str, hot_ro
     return _joined(*both("left_anti"), pairs, how).union(_joined(*both("left_semi"), pairs, "inner"))
 
 
-def _unmatched(left: DataFrame, right: DataFrame, pairs: list[Key]) -> DataFrame:
+def unmatched_rows(left: DataFrame, right: DataFrame, pairs: list[Key]) -> DataFrame:
     """Right rows without a left row, in the output's shape."""
     known = left.alias("l").select(*[p.left.alias(f"k{i}") for i, p in enumerate(pairs)]).distinct().alias("k")
     on = reduce(lambda a, b: a & b, [p.right.eqNullSafe(F.col(f"k.k{i}")) for i, p in enumerate(pairs)])

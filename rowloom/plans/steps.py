@@ -12,7 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.operators import compare, digests, intervals, join, project, route
+from rowloom.operators import compare, digests, intervals, join, project, ranges, route
 from rowloom.plans.spaces import SessionSpace
 from rowloom.sinks.files import write_delimited
 from rowloom.sources.files import read_delimited
@@ -44,7 +44,7 @@ class Context:
 
 StepFn = Callable[[Context, list[DataFrame], Mapping[str, str | None]], Ports]
 STEPS: dict[str, StepFn] = {}
-TWO_INPUTS = {"MergeJoin", "TableCompare"}
+TWO_INPUTS = {"MergeJoin", "RangeLookup", "TableCompare"}
 
 
 def step(*names: str) -> Callable[[StepFn], StepFn]:
@@ -227,6 +227,17 @@ def merge_step(ctx, inputs, s):
     return {OUT: join.merge_join_inputs(inputs, text(s, "KeyFields"), text(s, "JoinType", "INNER"), count(s, "HotRows", 0) or None)}
 
 
+@step("RangeLookup")
+def range_step(ctx, inputs, s):
+    """Rows of the first input with those of the second whose range ``LowField`` to
+    ``HighField`` holds ``ValueField``; ``KeyFields`` must be equal too."""
+    if len(inputs) != 2:
+        raise ValueError(f"RangeLookup takes two inputs, got {len(inputs)}")
+    value, low, high = (text(s, k) for k in ("ValueField", "LowField", "HighField"))
+    opened = {"low_open": truth(s, "LowOpen", False), "high_open": truth(s, "HighOpen", False)}
+    return {OUT: ranges.range_join(*inputs, value, low, high, text(s, "KeyFields"), text(s, "JoinType", "INNER"), **opened)}
+
+
 @step("TableCompare")
 def compare_step(ctx, inputs, s):
     """``Digests``: join only buckets of rows whose digests differ, for tables that are

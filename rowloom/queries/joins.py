@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowloom.operators.join import merge_join, merge_join_inputs, union_inputs
 from rowloom.operators.project import select_values
+from rowloom.operators.ranges import range_join
 from rowloom.queries.registry import query
 
 ORDER_SIDE = "SELECT o_custkey AS id, o_orderkey, o_totalprice AS amount FROM orders"
@@ -146,3 +147,45 @@ def union_widened(t):
     return union_inputs(
         [select_values(t.nation, "n_nationkey|k\nn_name|v"), select_values(t.customer, "c_custkey|k\nc_nationkey|v")]
     )
+
+
+@query(
+    "range_lookup",
+    """SELECT c_custkey, c_nationkey, c_acctbal, s_suppkey FROM customer
+       LEFT JOIN supplier ON s_nationkey = c_nationkey AND c_acctbal BETWEEN s_acctbal - 100 AND s_acctbal + 100""",
+)
+def range_lookup(t):
+    """Suppliers of the customer's nation whose balance is about the same; customers
+    without one stay."""
+    ranges = t.supplier.selectExpr("s_nationkey AS c_nationkey", "s_suppkey", "s_acctbal - 100 AS low", "s_acctbal + 100 AS high")
+    customers = t.customer.select("c_custkey", "c_nationkey", "c_acctbal")
+    return range_join(customers, ranges, "c_acctbal", "low", "high", "c_nationkey", "LEFT OUTER").drop("low", "high")
+
+
+@query(
+    "range_lookup_events",
+    """SELECT e.event_id, f.event_id AS error_id FROM events e
+       JOIN events f ON f.event_type = 'error' AND e.user_id = f.user_id AND e.ts > f.ts AND e.ts <= f.ts + INTERVAL 6 HOUR""",
+)
+def range_lookup_events(t):
+    """What a user did within six hours after each error."""
+    after = t.events.where("event_type = 'error'").selectExpr("user_id", "event_id AS error_id", "ts AS since", "ts + INTERVAL 6 HOURS AS until")
+    events = t.events.select("event_id", "user_id", "ts")
+    return range_join(events, after, "ts", "since", "until", "user_id", low_open=True).select("event_id", "error_id")
+
+
+@query(
+    "range_lookup_below",
+    """SELECT c_custkey, s_nationkey FROM customer
+       JOIN (SELECT s_nationkey, min(s_acctbal) AS low, max(s_acctbal) AS high FROM supplier GROUP BY 1) s
+       ON c_nationkey = s_nationkey AND c_acctbal < (CASE WHEN s_nationkey % 2 = 0 THEN low ELSE high END)""",
+)
+def range_lookup_below(t):
+    """Customers below a bound of their nation: ranges without a start."""
+    bounds = t.sql(
+        """SELECT s_nationkey AS nation, s_nationkey, cast(NULL AS double) AS low,
+                  CASE WHEN s_nationkey % 2 = 0 THEN min(s_acctbal) ELSE max(s_acctbal) END AS high
+           FROM {supplier} GROUP BY s_nationkey"""
+    )
+    customers = t.customer.selectExpr("c_custkey", "c_nationkey AS nation", "c_acctbal")
+    return range_join(customers, bounds, "c_acctbal", "low", "high", "nation", high_open=True).select("c_custkey", "s_nationkey")

@@ -10,6 +10,7 @@ from rowloom.operators.route import branch_counts, filter_rows, switch_tag
 from rowloom.queries.registry import Tables, query
 from rowloom.sources.scratch import scratch_path
 from rowloom.streaming.batches import UpsertStream, append_stream, route_stream
+from rowloom.streaming.static import CompareStream, JoinStream
 
 
 def _stream(t: Tables, name: str) -> DataFrame:
@@ -81,3 +82,61 @@ def stream_static_join(t):
     out = scratch_path(t.spark, "stream")
     _drain(append_stream(merge_join(left, right, "id", "LEFT OUTER"), out + "/rows", out + "/checkpoint"))
     return t.spark.read.parquet(out + "/rows").select("o_orderkey", "id", "c_name")
+
+
+def _in_batches(t: Tables, rows: DataFrame, order: str, place: str) -> DataFrame:
+    """The rows as a stream of four batches."""
+    rows.repartitionByRange(4, order).write.parquet(place)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
+
+
+DEAR_ORDERS = "SELECT o_orderkey, o_custkey AS id, o_totalprice AS amount FROM orders WHERE o_totalprice > 200000"
+BALANCES = "SELECT c_custkey AS id, c_name, c_acctbal AS amount FROM customer WHERE c_acctbal > 2000"
+
+
+def _stream_join(t: Tables, how: str) -> DataFrame:
+    place = scratch_path(t.spark, "stream")
+    orders = select_values(t.orders.where("o_totalprice > 200000"), "o_orderkey\no_custkey|id\no_totalprice|amount")
+    customers = select_values(t.customer.where("c_acctbal > 2000"), "c_custkey|id\nc_name\nc_acctbal|amount")
+    stream = _in_batches(t, orders, "o_orderkey", place + "/in")
+    join = JoinStream(customers, place + "/out", "id", how, stream.schema)
+    _drain(join.start(stream, place + "/checkpoint"))
+    return join.result()
+
+
+@query("stream_join_right", f"SELECT o_orderkey, r.id, r.amount, c_name FROM ({DEAR_ORDERS}) l RIGHT JOIN ({BALANCES}) r ON l.id = r.id")
+def stream_join_right(t):
+    """A stream of orders; customers that it never named come at its end."""
+    return _stream_join(t, "RIGHT OUTER")
+
+
+@query(
+    "stream_join_full",
+    f"""SELECT o_orderkey, coalesce(r.id, l.id) AS id, CASE WHEN r.id IS NOT NULL THEN r.amount ELSE l.amount END AS amount, c_name
+        FROM ({DEAR_ORDERS}) l FULL JOIN ({BALANCES}) r ON l.id = r.id""",
+)
+def stream_join_full(t):
+    return _stream_join(t, "FULL OUTER")
+
+
+@query(
+    "stream_compare",
+    """SELECT coalesce(l.id, r.id) AS id, l.kind AS kind_L, r.kind AS kind_R, l.n AS n_L, r.n AS n_R,
+              CASE WHEN r.id IS NULL THEN 'ONLY_LEFT' WHEN l.id IS NULL THEN 'ONLY_RIGHT' ELSE 'DIFF' END AS _status,
+              CASE WHEN l.id IS NULL OR r.id IS NULL THEN ''
+                   ELSE concat_ws(',', CASE WHEN l.kind IS DISTINCT FROM r.kind THEN 'kind' END, CASE WHEN l.n IS DISTINCT FROM r.n THEN 'n' END) END AS _diff_columns
+       FROM (SELECT event_id AS id, event_type AS kind, user_id AS n FROM events WHERE user_id % 3 <> 0) l
+       FULL JOIN (SELECT event_id AS id, CASE WHEN event_id % 50 = 0 THEN upper(event_type) ELSE event_type END AS kind,
+                         CASE WHEN event_id % 70 = 0 THEN -1 ELSE user_id END AS n FROM events WHERE user_id % 5 <> 0) r ON l.id = r.id
+       WHERE l.id IS NULL OR r.id IS NULL OR l.kind IS DISTINCT FROM r.kind OR l.n IS DISTINCT FROM r.n""",
+)
+def stream_compare(t):
+    """Events as they come against a changed copy of the table."""
+    place = scratch_path(t.spark, "stream")
+    columns = ["event_id AS id", "event_type AS kind", "user_id AS n"]
+    stream = _in_batches(t, t.events.where("user_id % 3 <> 0").selectExpr(*columns), "id", place + "/in")
+    changed = ["event_id AS id", "if(event_id % 50 = 0, upper(event_type), event_type) AS kind", "if(event_id % 70 = 0, -1L, user_id) AS n"]
+    copy = t.events.where("user_id % 5 <> 0").selectExpr(*changed)
+    compare = CompareStream(copy, place + "/out", "id", stream.schema, {"assume_unique": True})
+    _drain(compare.start(stream, place + "/checkpoint"))
+    return compare.result()

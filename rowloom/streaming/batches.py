@@ -23,7 +23,7 @@ ONCE: Trigger = {"availableNow": True}
 _BUCKET, _MANIFEST = "bucket", "manifest.json"
 
 
-def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: Trigger) -> StreamingQuery:
+def start_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: Trigger) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
@@ -46,7 +46,7 @@ def route_stream(
     def each(batch: DataFrame, ident: int) -> None:
         write_routed(tag(batch), f"{path}/batch_id={ident}", column)
 
-    return _start(stream, each, checkpoint, trigger)
+    return start_batches(stream, each, checkpoint, trigger)
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str, trigger: Trigger = ONCE) -> StreamingQuery:
@@ -55,7 +55,7 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, trigger: Trigge
     def each(batch: DataFrame, ident: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={ident}")
 
-    return _start(stream, each, checkpoint, trigger)
+    return start_batches(stream, each, checkpoint, trigger)
 
 
 @dataclass
@@ -122,4 +122,4 @@ class UpsertStream:
         self.latest = ident
 
     def start(self, stream: DataFrame, checkpoint: str, trigger: Trigger = ONCE) -> StreamingQuery:
-        return _start(stream, self.apply, checkpoint, trigger)
+        return start_batches(stream, self.apply, checkpoint, trigger)

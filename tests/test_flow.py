@@ -221,3 +221,13 @@ def test_ports_are_one_plan_with_pushed_filters(spark, sf_dir):
     plan = build(spec(steps, ("r", "f"), ("f", "k")), Context(spark)).frame("k")._jdf.queryExecution().toString()
     assert "GreaterThan(l_quantity,40.0)" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_range_lookup_step(spark, source):
+    spark.createDataFrame([(1, 2, "low"), (3, None, "high")], "a int, b int, name string").createOrReplaceTempView("bands")
+    bands = node("bands", "DBInput", SQL="SELECT * FROM bands")
+    look = node("r", "RangeLookup", ValueField="id", LowField="a", HighField="b")
+    flow = build(spec([source, bands, look], ("src", "r"), ("bands", "r")), Context(spark))
+    assert rows(flow.frame("r").select("id", "name")) == [(1, "low"), (2, "low"), (3, "high")]
+    with pytest.raises(ValueError):
+        build(spec([source, look], ("src", "r")), Context(spark)).frame("r")

@@ -2,11 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from rowloom.operators.compare import table_compare
 from rowloom.operators.join import merge_join
 from rowloom.operators.project import calculate
 from rowloom.operators.route import filter_rows, filter_tag, switch
 from rowloom.sinks.tables import write_routed, write_state
 from rowloom.streaming.batches import UpsertStream, append_stream, route_stream
+from rowloom.streaming.static import CompareStream, JoinStream
 
 
 @pytest.fixture()
@@ -113,3 +115,46 @@ def test_held_rows_compete(spark, tmp_path):
     for ident, (seen, v) in enumerate([(5, "five"), (3, "three"), (9, "nine")]):
         sink.apply(spark.createDataFrame([(1, seen, v, seen)], "k long, seen long, v string, newest long"), ident)
         assert rows(sink.state()) == [(1, max(5, seen), "nine" if seen == 9 else "five")]
+
+
+@pytest.fixture()
+def static(spark):
+    """Keys with and without a partner, repeated, and NULL."""
+    return spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (7, "d"), (7, "e"), (None, "f")], "k long, w string")
+
+
+@pytest.mark.parametrize("how", ["INNER", "LEFT OUTER", "RIGHT OUTER", "FULL OUTER"])
+def test_a_stream_joins_like_a_table(spark, stream, static, tmp_path, how):
+    join = JoinStream(static, str(tmp_path / "out"), "k", how, stream.schema)
+    before = rows(join.result())
+    assert before == rows(merge_join(batch(spark).limit(0), static, "k", how))
+    join.start(stream, str(tmp_path / "check")).awaitTermination()
+    expected = rows(merge_join(batch(spark), static, "k", how))
+    assert rows(join.result()) == expected
+    join.apply(batch(spark).where("id >= 20"), 2)  # a batch that runs again
+    again = JoinStream(static, str(tmp_path / "out"), "k", how, stream.schema)
+    assert rows(again.result()) == expected
+
+
+def test_null_keys_of_a_stream_meet_null_keys(spark, static, tmp_path):
+    given = spark.createDataFrame([(1, None, "x"), (2, 9, "y")], "id long, k long, v string")
+    for how in ("RIGHT OUTER", "FULL OUTER"):
+        join = JoinStream(static, str(tmp_path / how), "k", how, given.schema)
+        join.apply(given.limit(0), 0)
+        join.apply(given, 1)
+        assert rows(join.result()) == rows(merge_join(given, static, "k", how))
+
+
+def test_a_stream_compares_like_a_table(spark, stream, tmp_path):
+    right = batch(spark).where("id % 7 <> 0").selectExpr("id + 2 AS id", "(id + 2) % 4 AS k", "if(id % 5 = 0, 'new', CAST(id + 2 AS STRING)) AS v")
+    right = right.union(right.where("id < 9").selectExpr("id", "k", "'zz'"))
+    for n, options in enumerate(({"order_by": "v"}, {"order_by": "v", "include_matched": True})):
+        compare = CompareStream(right, str(tmp_path / f"out{n}"), "id", stream.schema, options)
+        compare.start(stream, str(tmp_path / f"check{n}")).awaitTermination()
+        assert rows(compare.result()) == rows(table_compare(batch(spark), right, "id", **options))
+
+
+def test_stream_joins_need_a_key_and_a_known_type(static):
+    for keys, how in (("", "INNER"), ("k", "CROSS")):
+        with pytest.raises(ValueError):
+            JoinStream(static, "nowhere", keys, how, static.schema)
