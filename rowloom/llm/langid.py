@@ -25,6 +25,8 @@ DICTIONARY = 100_000
 BLOCK = 8_000
 LEVEL = 6
 MARGIN = 0.01
+DEALT = 16
+"""Parts in which the sampled texts of a language are cut before they meet."""
 MAX_LANGUAGES = 200
 """Languages are broadcast with a dictionary each, so their number is checked."""
 
@@ -38,8 +40,11 @@ def language_texts(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), whole(text_col).alias("text")).where("trim(text) <> ''")
     # a part from the middle: first lines are the likeliest to be headings and licenses
     part = given.select("lang", "h", F.expr(f"substring(text, cast(greatest(1, (length(text) - {share}) / 2) as int), {share})").alias("text"))
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    chosen = part.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_TEXTS)
+    # cut in parts first, so that the texts of all partitions do not meet in one task
+    chosen = part.withColumn("deal", F.spark_partition_id() % DEALT)
+    for group in (["lang", "deal"], ["lang"]):
+        order = Window.partitionBy(*group).orderBy("h", "text")
+        chosen = chosen.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_TEXTS)
     rows = chosen.select("lang", "r", "text").limit(MAX_LANGUAGES * SAMPLE_TEXTS + 1).collect()
     if len(rows) > MAX_LANGUAGES * SAMPLE_TEXTS:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")

@@ -27,6 +27,8 @@ MIN_CHARS, MIN_WORDS = 200, 60
 MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE = 0.28, 0.72
 ANY = ""
 """The reference of all languages together."""
+DEALT = 256
+"""Parts in which a language's words are cut before they meet."""
 MAX_LANGUAGES = 1000
 """References are broadcast, so their number is checked."""
 
@@ -109,8 +111,17 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     given = docs.select(whole(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(ANY)).alias("lang"))
     counted = given.mapInArrow(count, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    return counted.withColumn("r", F.row_number().over(top)).where(F.col("r") <= COMMON).drop("r")
+    # the list of all languages is cut from complete counts, as each language's own is
+    both = F.explode(F.when(F.col("lang") == ANY, F.array("lang")).otherwise(F.array("lang", F.lit(ANY)))).alias("lang")
+    totals = counted.select(both, "kind", "key", "n").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    return most(most(totals.withColumn("deal", F.spark_partition_id() % DEALT), "lang", "kind", "deal"), "lang", "kind").drop("deal")
+
+
+def most(counts: DataFrame, *group: str) -> DataFrame:
+    """The ``COMMON`` most frequent keys of each group.  Cut in parts first, so that the
+    most frequent language's lists of all partitions do not meet in one task."""
+    top = Window.partitionBy(*group).orderBy(F.desc("n"), "key")
+    return counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= COMMON).drop("r")
 
 
 def quality(docs: DataFrame, refs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -121,12 +132,10 @@ def quality(docs: DataFrame, refs: DataFrame, id_col: str = "doc_id", text_col:
     chars: dict[str, np.ndarray] = {}
     words: dict[str, dict[str, int]] = {}
     for r in rows:
-        for g in {r["lang"], ANY}:
-            if r["kind"] == "char":
-                chars.setdefault(g, np.zeros(8))[CLASSES.index(r["key"])] += r["n"]
-            else:
-                of = words.setdefault(g, {})
-                of[r["key"]] = of.get(r["key"], 0) + r["n"]
+        if r["kind"] == "char":
+            chars.setdefault(r["lang"], np.zeros(8))[CLASSES.index(r["key"])] = r["n"]
+        else:
+            words.setdefault(r["lang"], {})[r["key"]] = r["n"]
     known = docs.sparkSession.sparkContext.broadcast((chars, words))
     given = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(ANY)).alias("lang"))
     schema = (f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, "
