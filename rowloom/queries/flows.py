@@ -71,7 +71,7 @@ def work_wait_flow(t):
 
 
 # The visits of a user and day that went from view over click and purchase to signup:
-# when each happened, how long the visit took, and what failed meanwhile.
+# when each happened, how long the visit took, and what failed that day.
 STAGES = {"view": "began", "click": "tried", "purchase": "paid", "signup": "ended"}
 VISITS = {
     "Name": "visits",
@@ -95,9 +95,16 @@ VISITS = {
         _step("Within", "Filter", FieldName="ended", Operator="lessThan", RightField="to_day"),
         _step("Took", "Calculation", OutputFieldName="took_min", ExpressionType="dateDiffMinutes", Field1="ended", Field2="began"),
         _step("Slim", "SelectValues", FieldMappings="user_id\nday\nbegan\ntried\npaid\nended\ntook_min"),
-        _step("Store", "InsertUpdate", TableName="visits", KeyFields="user_id,day", UpdateFields="user_id,day,began,tried,paid,ended,took_min"),
+        _step(
+            "Failed",
+            "DBInput",
+            SQL="""SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n, sum(CAST(value AS DECIMAL(18, 4))) AS total
+                   FROM events WHERE event_type = 'error' GROUP BY ALL""",
+        ),
+        _step("Beside", "MergeJoin", KeyFields="user_id,day", JoinType="LEFT OUTER"),
+        _step("Store", "InsertUpdate", TableName="visits", KeyFields="user_id,day", UpdateFields="user_id,day,began,tried,paid,ended,took_min,n,total"),
     ],
-    "Connections": _edges("Bounds>Read", "Read>Pivot", "Pivot>Later", "Later>Within", "Within>Took", "Took>Slim", "Slim>Store"),
+    "Connections": _edges("Bounds>Read", "Read>Pivot", "Pivot>Later", "Later>Within", "Within>Took", "Took>Slim", "Slim>Beside", "Failed>Beside", "Beside>Store"),
 }
 
 
@@ -109,10 +116,13 @@ VISITS = {
                 max(ts) FILTER (event_type = 'purchase') AS paid, max(ts) FILTER (event_type = 'signup') AS ended
               FROM events GROUP BY ALL),
         s AS (SELECT v.* FROM v, p WHERE began IS NOT NULL AND tried IS NOT NULL AND paid IS NOT NULL AND ended >= lo AND ended < hi),
+        f AS (SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, sum(CAST(value AS DECIMAL(18, 4))) AS total
+              FROM events WHERE event_type = 'error' GROUP BY ALL),
         t AS (SELECT DISTINCT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day FROM events WHERE event_type = 'signup')
        SELECT coalesce(t.user_id, s.user_id) AS user_id, coalesce(t.day, s.day) AS day, began, tried, paid, ended,
-              round_even((epoch_us(ended) - epoch_us(began)) / 60000000.0::DOUBLE, 2) AS took_min
-       FROM t FULL JOIN s ON t.user_id = s.user_id AND t.day = s.day""",
+              round_even((epoch_us(ended) - epoch_us(began)) / 60000000.0::DOUBLE, 2) AS took_min,
+              f.n, CAST(f.total AS DECIMAL(28, 4)) AS total
+       FROM t FULL JOIN s ON t.user_id = s.user_id AND t.day = s.day LEFT JOIN f ON f.user_id = s.user_id AND f.day = s.day""",
 )
 def process_time_flow(t):
     """Four events of a visit side by side in one aggregation, upserted."""
@@ -120,7 +130,8 @@ def process_time_flow(t):
     day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
     known = t.events.where("event_type = 'signup'").select("user_id", day).distinct()
     empty = [F.lit(None).cast("timestamp_ntz").alias(c) for c in STAGES.values()]
-    known.select("user_id", "day", *empty, F.lit(None).cast("double").alias("took_min")).createOrReplaceTempView("visits")
+    missing = [F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("decimal(28,4)").alias("total")]
+    known.select("user_id", "day", *empty, F.lit(None).cast("double").alias("took_min"), *missing).createOrReplaceTempView("visits")
     context = Context(t.spark)
     build(VISITS, context)
     return context.session.states["visits"]
