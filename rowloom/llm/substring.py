@@ -1,26 +1,34 @@
 """Repeated passages by relative Lempel-Ziv parsing.
 
-A document is factored against all documents with a smaller id.  A factor is a stretch
-of words each of whose windows of ``WINDOW`` words also starts in such a document;
-shorter matches are literals.  Factors are extended greedily window by window and
-checked at their boundaries, where a window may belong to another reference than its
-neighbour.  Every word inside a factor is removed.
-
-1. Index.  Each window is represented by its anchor, the ``ANCHOR``-word gram with the
-   least hash in it, so equal passages choose equal anchors (about one word in five).
-   Anchors are counted over all documents; those of two or more rows become a filter
-   of bounded size (``FILTER_BYTES``), which is broadcast.  A full filter only lets
-   more through; results never depend on it.
-2. Factoring.  Windows whose anchor is in the filter meet by their hash.  Where a batch
-   has a window in several documents, all but the smallest are settled there, so a
-   passage in a third of all documents costs one entry for each batch.  In a bucket of
-   hashes a window is repeated in every document but the smallest.
-3. The repeated windows of a document go back to it and give the factors.
-
-A window's identity is a hash of 64 bits and its bucket, from an independent hash.
+Each document is factored, left to right, against the documents with smaller ids.  A
+factor is a copy of words that stand in such a document (its source) from a word number
+(its offset) on; words in no factor are literals, and every word in a factor is removed.
+
+1. Index.  A reference is found by its windows of ``WINDOW`` words, each with the document
+   and word number where it starts.  Windows are represented by an anchor, the
+   ``ANCHOR``-word gram with the least hash in it, so equal passages choose equal anchors
+   (about one word in five).  Anchors of two or more rows become a filter of bounded size
+   (``FILTER_BYTES``), which is broadcast; a full filter only lets more through, results
+   never depend on it.  The other windows are the index, in buckets by their hash.
+2. Look-up.  In a batch of texts, a window of several documents gets the smallest of them
+   as its source at once and goes to its own document's group; the smallest alone goes to
+   the bucket, so a passage in a third of all documents costs one entry a batch there.
+   In a bucket each window's source is the smallest document of all.
+3. Parse.  The windows found go back to their document.  A factor starts at the first
+   window with a source and is extended as long as the next window has the same source,
+   one word further on; then it ends with the last window's last word.  A factor of another
+   source may begin inside it: its words up to there are the earlier factor's, and what is
+   left of it (``WINDOW`` words at least with the words before the boundary) is a factor
+   with its offset moved on.  So factors never overlap, and their words are the words
+   covered by windows that a smaller document holds.
+
+A source is the smallest document of its batch or of all, so it may depend on how the
+rows are dealt; which words are removed doesn't.  A window's identity is a hash of 64 bits
+and its bucket, from an independent hash.
 
 Null and empty texts have no words.  A document without an id is left whole and is no
-reference.  Rows with the same id are no references for each other.
+reference.  Rows with the same id are no references for each other; an offset in such a
+source counts in one of its rows.  Ids are whole numbers or text of such.
 """
 
 from __future__ import annotations
@@ -139,7 +147,8 @@ def repeated_anchors(given: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ``n_words``, ``n_removed``, ``kept`` (the other words, joined by a
-    blank) and ``factors``, the removed stretches of words."""
+    blank) and ``factors``, in order: words ``first`` up to ``end`` (exclusive) are those of
+    document ``source`` from word ``offset`` on."""
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -159,73 +168,120 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             keep = np.ones(len(w.at), bool)
             for at in _bits((w.anchor >> np.uint64(32)).astype(np.uint32), size):
                 keep &= (bits[segment * size + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
-            ids = np.asarray(part.column("id"), dtype=np.int64)[w.row[keep]]
-            hashes, home = w.hash[keep], (w.second[keep] % np.uint64(buckets)).astype(np.int64)
-            home, hashes, ids, first = _ordered(home, hashes, ids)
-            bounds = _bounds(home)
-            out = {"bucket": pa.array(home[[a for a, _ in bounds]] if bounds else home)}
-            # settled: not the smallest of this slice
-            out |= {n: pa.array([x[a:b][m[a:b]].tobytes() for a, b in bounds], pa.binary()) for n, x, m in
-                    (("hashes", hashes, first), ("ids", ids, first), ("more", hashes, ~first), ("more_ids", ids, ~first))}
-            return out
+            row = w.row[keep]
+            ids = np.asarray(part.column("id"), dtype=np.int64)[row]
+            places = (w.at[keep] - w.words.starts[row]).astype(np.int32)
+            found = _Places(w.hash[keep], ids, places, (w.second[keep] % np.uint64(buckets)).astype(np.int64))
+            # the smallest document of this slice asks the bucket; the others have their source
+            own, other = found.first, ~found.first
+            target = np.r_[found.bucket[own], buckets + _home(found.ids[other], groups)]
+            codes = np.r_[found.hashes[own], of_document(found.hashes[other], found.ids[other])]
+            return _dealt("bucket", target, codes, np.r_[found.ids[own], found.source[other]], np.r_[found.places[own], found.offset[other]])
 
         return work
 
-    def repeated(table: pa.Table) -> pa.Table:
-        hashes, ids = _all(table, "hashes", np.uint64), _all(table, "ids", np.int64)
-        _, hashes, ids, first = _ordered(np.zeros(len(hashes), np.int64), hashes, ids)
-        keys = np.r_[of_document(hashes[~first], ids[~first]), of_document(_all(table, "more", np.uint64), _all(table, "more_ids", np.int64))]
-        home = _home(np.r_[ids[~first], _all(table, "more_ids", np.int64)], groups)
-        order = np.argsort(home, kind="stable")
-        home, keys = home[order], keys[order]
-        bounds = _bounds(home)
-        return pa.table({"home": pa.array(home[[a for a, _ in bounds]].astype(np.int32) if bounds else np.zeros(0, np.int32)), "keys": _blobs(keys, bounds)})
+    def look_up(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        codes, ids, places = (_all(table, n, k) for n, k in _ENTRY.items())
+        if bucket >= buckets:  # a group of documents whose sources are known
+            return pa.table(_dealt("home", np.full(len(codes), bucket - buckets), codes, ids, places))
+        found = _Places(codes, ids, places)
+        other = ~found.first
+        keys = of_document(found.hashes[other], found.ids[other])
+        return pa.table(_dealt("home", _home(found.ids[other], groups), keys, found.source[other], found.offset[other]))
 
     def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = np.unique(_all(right, "keys", np.uint64))
-        parts = [_factored(rows, keys) for b in left.combine_chunks().to_batches() for rows in slices(b, "text")]
+        keys, source, offset = (_all(right, n, k) for n, k in _ENTRY.items())
+        order = np.lexsort((offset, source, keys))
+        order = order[np.r_[True, keys[order][1:] != keys[order][:-1]]] if len(order) else order
+        known = keys[order], source[order], offset[order]
+        parts = [_factored(rows, *known) for b in left.combine_chunks().to_batches() for rows in slices(b, "text")]
         return pa.Table.from_batches(parts, _OUT)
 
-    met = per_slice(known, "text", "bucket long, hashes binary, ids binary, more binary, more_ids binary", make, SLICE).groupBy("bucket")
-    back = met.applyInArrow(repeated, "home int, keys binary")
+    entry = "codes binary, ids binary, places binary"
+    met = per_slice(known, "text", f"bucket long, {entry}", make, SLICE).groupBy("bucket")
+    back = met.applyInArrow(look_up, f"home int, {entry}")
     dealt = given.withColumn("home", _home_column("id", groups))
-    schema = "id long, n_words long, n_removed long, kept string, factors array<struct<first:long,end:long>>"
+    schema = "id long, n_words long, n_removed long, kept string, factors array<struct<first:long,end:long,source:long,offset:long>>"
     return dealt.groupBy("home").cogroup(back.groupBy("home")).applyInArrow(put_back, schema).withColumnRenamed("id", id_col)
 
 
-def _ordered(home: np.ndarray, hashes: np.ndarray, ids: np.ndarray):
-    """Distinct (bucket, hash, id) in order, and which have the smallest id of a hash."""
-    order = np.lexsort((ids, hashes, home))
-    home, hashes, ids = home[order], hashes[order], ids[order]
-    if not len(ids):
-        return home, hashes, ids, np.zeros(0, bool)
-    first = np.r_[True, (home[1:] != home[:-1]) | (hashes[1:] != hashes[:-1])]
-    new = first | np.r_[True, ids[1:] != ids[:-1]]
-    return home[new], hashes[new], ids[new], first[new]
+_ENTRY = {"codes": np.uint64, "ids": np.int64, "places": np.int32}
+"""What travels for each window: to a bucket its hash, document and place; to its document
+a key of both, the source and the offset there."""
 
 
-_OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
-                  ("factors", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))])
+class _Places:
+    """Distinct (bucket, hash, document) with their first place, in order; ``first`` marks
+    the smallest document of a hash, ``source`` and ``offset`` are that one's for all."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, places: np.ndarray, bucket: np.ndarray | None = None) -> None:
+        bucket = np.zeros(len(hashes), np.int64) if bucket is None else bucket
+        order = np.lexsort((places, ids, hashes, bucket))
+        self.bucket, self.hashes, self.ids, self.places = bucket[order], hashes[order], ids[order], places[order]
+        self.first = np.zeros(len(ids), bool)
+        if len(ids):
+            head = np.r_[True, (self.bucket[1:] != self.bucket[:-1]) | (self.hashes[1:] != self.hashes[:-1])]
+            new = head | np.r_[True, self.ids[1:] != self.ids[:-1]]
+            self.bucket, self.hashes, self.ids, self.places, self.first = (x[new] for x in (self.bucket, self.hashes, self.ids, self.places, head))
+        least = np.flatnonzero(self.first)[np.cumsum(self.first) - 1] if len(ids) else np.zeros(0, np.int64)
+        self.source, self.offset = self.ids[least], self.places[least]
 
 
-def _factored(rows: pa.RecordBatch, keys: np.ndarray) -> pa.RecordBatch:
+def _dealt(key: str, target: np.ndarray, codes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> dict:
+    """Entries as one row for each target; neighbours in a source lie side by side."""
+    order = np.lexsort((places, ids, target))
+    target = target[order]
+    bounds = _bounds(target)
+    heads = target[[a for a, _ in bounds]] if bounds else target
+    blobs = {n: _blobs(x[order].astype(k), bounds) for (n, k), x in zip(_ENTRY.items(), (codes, ids, places))}
+    return {key: pa.array(heads.astype(np.int32 if key == "home" else np.int64)), **blobs}
+
+
+_OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
+                  ("factors", pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "end", "source", "offset")])))])
+
+
+def _parsed(w: Windows, hit: np.ndarray, source: np.ndarray, offset: np.ndarray) -> dict[int, list[dict]]:
+    """The factors of each row of a slice; the arrays have an entry for each window."""
+    at, row = w.at[hit], w.row[hit]
+    if not len(at):
+        return {}
+    source, offset = source[hit], offset[hit].astype(np.int64)
+    same = (np.diff(row) == 0) & (np.diff(at) == 1) & (np.diff(source) == 0) & (np.diff(offset) == 1)
+    heads = np.flatnonzero(np.r_[True, ~same])
+    last = np.r_[heads[1:], len(at)] - 1
+    first, end, row = at[heads], at[last] + WINDOW, row[heads]
+    # words that the factor before has already taken
+    taken = np.r_[0, np.maximum(end[:-1] - first[1:], 0)]
+    taken[1:][row[1:] != row[:-1]] = 0
+    base = w.words.starts[row]
+    columns = (row, first + taken - base, end - base, source[heads], offset[heads] + taken)
+    found: dict[int, list[dict]] = {}
+    for r, a, b, s, o in zip(*(c.tolist() for c in columns)):
+        found.setdefault(r, []).append({"first": a, "end": b, "source": s, "offset": o})
+    return found
+
+
+def _factored(rows: pa.RecordBatch, keys: np.ndarray, source: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
     w = Windows(rows.column("text"))
     ids = rows.column("id").to_pylist()
     numbers = np.array([i or 0 for i in ids], np.int64)
-    hit = np.isin(of_document(w.hash, numbers[w.row]), keys)
+    mine = of_document(w.hash, numbers[w.row])
+    place = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
+    hit = keys[place] == mine if len(keys) else np.zeros(len(mine), bool)
     hit &= np.array([i is not None for i in ids], bool)[w.row]
-    total = len(w.words.hashes)
-    edge = np.zeros(total + 1, np.int64)
-    np.add.at(edge, w.at[hit], 1)
-    np.add.at(edge, w.at[hit] + WINDOW, -1)
-    covered = np.cumsum(edge[:-1]) > 0
+    factors = _parsed(w, hit, source[place], offset[place]) if len(keys) else {}
     out: dict[str, list] = {n: [] for n in ("n_words", "n_removed", "kept", "factors")}
-    starts = w.words.starts
     for i, text in enumerate(rows.column("text").to_pylist()):
-        words, gone = text.encode().split(), covered[starts[i] : starts[i + 1]]
-        stretches = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+        words, mine = text.encode().split(), factors.get(i, [])
+        kept, done = [], 0
+        for f in mine:
+            kept += words[done : f["first"]]
+            done = f["end"]
+        kept = words if not mine else kept + words[done:]
         out["n_words"].append(len(words))
-        out["n_removed"].append(int(gone.sum()))
-        out["kept"].append(b" ".join(words if not len(stretches) else [x for x, g in zip(words, gone) if not g]).decode())
-        out["factors"].append([{"first": a, "end": b} for a, b in zip(stretches[::2].tolist(), stretches[1::2].tolist())])
+        out["n_removed"].append(len(words) - len(kept))
+        out["kept"].append(b" ".join(kept).decode())
+        out["factors"].append(mine)
     return pa.RecordBatch.from_arrays([rows.column("id"), *[pa.array(out[n], _OUT.field(n).type) for n in out]], schema=_OUT)

@@ -250,6 +250,51 @@ def test_passages_many_copies(spark):
     assert got == sorted(brute_passages(rows), key=str)
 
 
+def check_factors(rows, found, size=13):
+    """Factors are disjoint copies from smaller documents, and end where the copy ends or
+    another begins; with the words before it, each is part of a whole window."""
+    of = {}
+    for i, t, *_ in rows:
+        of.setdefault(i, []).append(words(t))
+    for r in found:
+        done, taken = 0, 0
+        for f in r["factors"]:
+            mine = of[r["doc_id"]]
+            assert done <= f["first"] < f["end"] and f["source"] < r["doc_id"]
+            at, n = f["offset"], f["end"] - f["first"]
+            whole = max(0, size - n)  # words before the boundary that complete a window
+            assert any(w[f["first"] - whole : f["end"]] == v[at - whole : at + n] for w in mine for v in of[f["source"]] if at >= whole)
+            done, taken = f["end"], taken + n
+        assert taken == r["n_removed"]
+
+
+def test_factors_have_sources(spark, docs):
+    check_factors(odd_rows(), substring.passages(docs).collect())
+    a, b, c = prose(30, 501), prose(30, 502), prose(9, 503)
+    rows = [(1, f"{c} {a}"), (2, f"{b} {c}"), (3, f"{a} {b} {c} {c}"), (4, f"{prose(5, 504)} {a} {prose(3, 505)} {b}"), (5, None), (6, a), (6, a)]
+    rows = [(i, t, "en", "s", 1) for i, t in rows]
+    one = substring.passages(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    check_factors(rows, one)
+    parse = {r["doc_id"]: [(f["first"], f["end"], f["source"], f["offset"]) for f in r["factors"]] for r in one}
+    assert parse[3] == [(0, 30, 1, 9), (30, 69, 2, 0)]
+    assert parse[4] == [(5, 35, 1, 9), (38, 68, 2, 0)]
+    assert parse[1] == parse[2] == parse[5] == [] and parse[6] == [(0, 30, 1, 9)]
+
+
+def test_factors_of_overlapping_sources(spark):
+    """A factor that begins inside another keeps what is left of it."""
+    r, text = random.Random(8), prose(400, 506).split()
+    rows = []
+    for i in range(60):
+        a = r.randrange(350)
+        rows.append((i, " ".join(text[a : a + r.randrange(5, 50)] + prose(r.randrange(4), 600 + i).split() + text[a // 2 : a // 2 + 20]), "en", "s", 1))
+    rows += [(100, " ".join(text), "en", "s", 1), (101, " ".join(text), "en", "s", 1), (102, "w " * 70_000, "en", "s", 1)]
+    for parts in (1, 9):
+        found = substring.passages(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()
+        check_factors(rows, found)
+        assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in found), key=str) == sorted(brute_passages(rows), key=str)
+
+
 # ---- language ----
 
 
