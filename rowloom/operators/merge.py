@@ -27,6 +27,7 @@ from rowloom.operators.keyed import (
 )
 
 _ORDER = "__order"
+INSERTED, UPDATED, UNCHANGED, DELETED = "inserted", "updated", "unchanged", "deleted"
 
 
 def _update_names(
@@ -82,6 +83,14 @@ def _as_target(target: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
+def _kind_of(updates: Sequence[str], present: Column) -> Column:
+    """What a change does to the target row that it is joined to; NULL for no change."""
+    changed = F.lit(False)
+    for u in updates:
+        changed = changed | values_differ(F.col(f"t.{quoted(u)}"), F.col(f"s.{quoted(u)}"))
+    return F.when(present, F.when(changed, F.lit(UPDATED)).otherwise(F.lit(UNCHANGED)))
+
+
 def _merged(target: DataFrame, keys: list[str], updates: set[str], present: Column) -> list[Column]:
     out = []
     for c in target.columns:
@@ -119,6 +128,7 @@ def upsert(
     order_by: str | Sequence[str] = (),
     assume_unique: bool = False,
     target_unique: bool = True,
+    kind: str | None = None,
 ) -> DataFrame:
     """Insert new keys and update known ones; the last row of a key wins.
 
@@ -126,6 +136,8 @@ def upsert(
     rows are NULL elsewhere; fields the source lacks are ignored.  Rows with a
     NULL key are always inserted.  A target that may repeat keys
     (``target_unique=False``) is planned as two joins whose hot keys can be split.
+    ``kind`` names a further column that tells what became of each row: inserted, updated,
+    unchanged (its values were the same), or NULL where nothing was to be changed.
     """
     names = _prepare(target, source, keys, "upsert")
     own_names(source, names, "key")
@@ -137,14 +149,20 @@ def upsert(
     changes = once.alias("s")
     present = F.col(f"s.{COPIES}").isNotNull()
     columns = _merged(target, names, set(updates), present)
+    new_kind, old_kind = ([], []) if kind is None else ([F.lit(INSERTED).alias(kind)], [F.lit(None).cast("string").alias(kind)])
+    if kind is not None:
+        row_kind = F.when(F.col("t.__old").isNull(), F.lit(INSERTED)).otherwise(_kind_of(updates, present))
+        known = target.where(all_present(names)).withColumn("__old", F.lit(True)).alias("t")
+        columns = [*columns, row_kind.alias(kind)]
     if target_unique:
         merged = known.join(changes, equal_keys(names, "t", "s", split_hot=False), "full").select(*columns)
     else:
         kept = known.join(changes, equal_keys(names, "t", "s"), "left").select(*columns)
         seen = target.select(*columns_of(names)).distinct().alias("t")
         new = changes.join(seen, equal_keys(names, "t", "s"), "left_anti")
-        merged = kept.union(_as_target(target, new))
-    return merged.union(target.where(~all_present(names))).union(_as_target(target, loose))
+        merged = kept.union(_as_target(target, new).select("*", *new_kind))
+    untouched = target.where(~all_present(names)).select("*", *old_kind)
+    return merged.union(untouched).union(_as_target(target, loose).select("*", *new_kind))
 
 
 def upsert_first_column(target: DataFrame, source: DataFrame, **options) -> DataFrame:
@@ -159,19 +177,21 @@ def update_matched(
     update_fields: str | Sequence[str] | None = None,
     order_by: str | Sequence[str] = (),
     assume_unique: bool = False,
+    kind: str | None = None,
 ) -> DataFrame:
     """Update rows whose key is in the source; never insert.
 
     Every target row with the key is updated.  An update field the source lacks
-    becomes NULL; a key column the source lacks matches nothing.
+    becomes NULL; a key column the source lacks matches nothing.  ``kind`` as in ``upsert``.
     """
     names = _prepare(target, source, keys, "update")
+    old_kind = [] if kind is None else [F.lit(None).cast("string").alias(kind)]
     if any(resolve(source, k) is None for k in names):
-        return target
+        return target.select("*", *old_kind)
     fields = own_names(target, _update_names(target, source, names, update_fields, order_by), "column")
     fields = [f for f in fields if f not in names]
     if not fields:
-        return target
+        return target.select("*", *old_kind)
     have = [f for f in fields if resolve(source, f)]
     once, _ = _changes(target, source, names, have, order_by, assume_unique)
     for f in fields:
@@ -180,20 +200,30 @@ def update_matched(
     known = target.where(all_present(names)).alias("t")
     present = F.col(f"s.{COPIES}").isNotNull()
     joined = known.join(once.alias("s"), equal_keys(names, "t", "s"), "left")
-    return joined.select(*_merged(target, names, set(fields), present)).union(target.where(~all_present(names)))
+    row_kind = [] if kind is None else [_kind_of(fields, present).alias(kind)]
+    updated = joined.select(*_merged(target, names, set(fields), present), *row_kind)
+    return updated.union(target.where(~all_present(names)).select("*", *old_kind))
+
 
+def delete_by_key(target: DataFrame, source: DataFrame, keys: str | Sequence[str], kind: str | None = None) -> DataFrame:
+    """Target rows whose key is not in the source; NULL keys delete nothing.
 
-def delete_by_key(target: DataFrame, source: DataFrame, keys: str | Sequence[str]) -> DataFrame:
-    """Target rows whose key is not in the source; NULL keys delete nothing."""
+    With ``kind`` the deleted rows are still there, marked as such in that column.
+    """
     names = _prepare(target, source, keys, "delete")
+    old_kind = [] if kind is None else [F.lit(None).cast("string").alias(kind)]
     if any(resolve(source, k) is None for k in names):
-        return target
+        return target.select("*", *old_kind)
     gone = source.select(
         *[to_type(field(source, k), target.schema[k].dataType).alias(k) for k in names]
     ).where(all_present(names)).distinct()
     known = target.where(all_present(names)).alias("t")
-    kept = known.join(gone.alias("s"), equal_keys(names, "t", "s"), "left_anti")
-    return kept.union(target.where(~all_present(names)))
+    if kind is None:
+        kept = known.join(gone.alias("s"), equal_keys(names, "t", "s"), "left_anti")
+    else:
+        met = known.join(gone.withColumn(COPIES, F.lit(1)).alias("s"), equal_keys(names, "t", "s"), "left")
+        kept = met.select("t.*", F.when(F.col(f"s.{COPIES}").isNotNull(), F.lit(DELETED)).alias(kind))
+    return kept.union(target.where(~all_present(names)).select("*", *old_kind))
 
 
 def matching_rows(df: DataFrame, other: DataFrame, keys: str | Sequence[str]) -> DataFrame:

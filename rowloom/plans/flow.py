@@ -18,6 +18,7 @@ from pyspark.storagelevel import StorageLevel
 
 from rowloom.operators.join import union_inputs
 from rowloom.operators.route import DEFAULT, PASS
+from rowloom.plans.spaces import Counts, seen as _seen
 from rowloom.plans.steps import OUT, STEPS, TWO_INPUTS, Context
 
 
@@ -47,6 +48,7 @@ class Flow:
     used: set[tuple[str, str]] = default(default_factory=set)
     waiting: list[str] = default(default_factory=list)
     acted: bool = False
+    writes: dict[str, Counts] = default(default_factory=dict)
 
     def step_id(self, name: str) -> str:
         """The id of a step given by id or by (unique) name."""
@@ -110,11 +112,15 @@ class Flow:
         """
         return {key: seen.get["rows"] for key, seen in self.observations.items() if key in self.used and _seen(seen)}
 
+    def write_counts(self) -> dict[str, dict[str, int | None]]:
+        """What each step that changes a table has written in ``run``, by step id: rows
+        ``processed`` and ``inserted``, ``updated``, ``unchanged``, ``deleted`` in tables of
+        the catalog; rows ``sent`` and ``affected`` in an external database.
 
-def _seen(observation: Observation) -> bool:
-    """Whether a query has filled the observation; reading it before would wait."""
-    inner = observation._jo
-    return inner is not None and inner.future().isCompleted()
+        Counted in the write itself.  Steps whose writes have not run, such as changes of a
+        temporary view, which nothing writes, have none.
+        """
+        return {ident: counts for ident, told in self.writes.items() if (counts := told()) is not None}
 
 
 def _ordered(spec: Mapping) -> list[str]:
@@ -197,7 +203,12 @@ def _compose(flow: Flow, ident: str) -> None:
         inputs = [union_inputs(inputs)]
     settings = me.get("Settings") or {}
     flow.context.read_later = readers > 0
-    for port, df in STEPS[me["StepType"]](flow.context, inputs, settings).items():
+    space = flow.context.space(settings)
+    before = len(getattr(space, "writes", ()))
+    ports = STEPS[me["StepType"]](flow.context, inputs, settings)
+    if len(getattr(space, "writes", ())) > before:
+        flow.writes[ident] = space.writes[-1]
+    for port, df in ports.items():
         if flow.observe:
             seen = Observation(f"{ident}/{port}/{id(flow)}")
             df = df.observe(seen, F.count(F.lit(1)).alias("rows"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field as default
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from rowloom.functions.values import resolve
 from rowloom.operators import merge
@@ -17,6 +17,14 @@ from rowloom.sources.jdbc import JdbcConnection, Split, lookup_each_row, read_jd
 from rowloom.sources.sqlstep import exec_sql, has_named, has_positional, parameter_row, sql_each_row, sql_input
 
 Action = Callable[[], object]
+Counts = Callable[[], "dict[str, int | None] | None"]
+_KIND = "__kind"
+
+
+def seen(observation: Observation) -> bool:
+    """Whether a query has filled the observation; reading it before would wait."""
+    inner = observation._jo
+    return inner is not None and inner.future().isCompleted()
 
 
 @dataclass
@@ -44,10 +52,16 @@ class SessionSpace:
     catalog, when everything that reads them has run: all of them are staged in the
     shared folder while the tables are still as they were; then tables to which rows were
     only inserted get these, and other states replace their tables.
+
+    ``observed`` are the same states with their changed rows counted; only ``flush`` reads
+    them, so ``writes``, a function for each change, tells what was written, without a query
+    of its own.
     """
 
     spark: SparkSession
     states: dict[str, DataFrame] = default(default_factory=dict)
+    observed: dict[str, DataFrame] = default(default_factory=dict)
+    writes: list[Counts] = default(default_factory=list)
     stored: dict[str, tuple[str, list[DataFrame] | None]] = default(default_factory=dict)
     parameters: Parameters = default(default_factory=Parameters)
 
@@ -88,7 +102,7 @@ class SessionSpace:
         for key, (name, rows) in self.stored.items():
             columns = self.spark.table(name).columns
             if rows is None:
-                commit.replace(name, self.states[key].select(*columns_of(columns)))
+                commit.replace(name, self.observed[key].select(*columns_of(columns)))
             for some in rows or ():
                 commit.append(name, some.select(*columns_of([c for c in columns if resolve(some, c)])))
         commit.run()
@@ -97,23 +111,49 @@ class SessionSpace:
                 self.spark.catalog.dropTempView(key)
             # what was read is no longer the state
             self.states.pop(key)
+            self.observed.pop(key)
         self.stored.clear()
 
-    def _now(self, table: str) -> DataFrame:
-        state = self.states.get(table.lower())
+    def _now(self, table: str, observed: bool = False) -> DataFrame:
+        state = (self.observed if observed else self.states).get(table.lower())
         return self.spark.table(table) if state is None else state
 
+    def _processed(self, rows: DataFrame) -> tuple[DataFrame, Observation]:
+        """The rows, counted while they pass; a frame of its own, read by ``flush`` alone."""
+        counted = Observation()
+        return rows.observe(counted, F.count(F.lit(1)).alias("processed")), counted
+
+    def _count(self, table: str, change: Callable[[DataFrame, DataFrame], DataFrame], rows: DataFrame, kinds: list[str]) -> None:
+        """Applies ``change`` to the observed state; it marks changed rows in a column."""
+        source, processed = self._processed(rows)
+        marked, changed = change(self._now(table, True), source), Observation()
+        sums = [F.count_if(F.col(_KIND) == k).alias(k) for k in kinds]
+        after = marked.observe(changed, *sums).where(~F.col(_KIND).eqNullSafe(merge.DELETED)).drop(_KIND)
+        self.observed[table.lower()] = after
+        self.writes.append(lambda: {**processed.get, **changed.get} if seen(processed) and seen(changed) else None)
+
     def insert(self, table: str, rows: DataFrame, commit_size: int) -> list[Action]:
-        return self._replace(table, merge.insert_rows(self._now(table), rows), rows)
+        source, processed = self._processed(rows)
+        before = self._now(table, True)
+        actions = self._replace(table, merge.insert_rows(self._now(table), rows), source)
+        self.observed[table.lower()] = merge.insert_rows(before, source)
+        tell = lambda n: {"processed": n, "inserted": n}
+        self.writes.append(lambda: tell(processed.get["processed"]) if seen(processed) else None)
+        return actions
 
     def upsert(self, table: str, rows: DataFrame, keys, updates, order_by, commit_size: int) -> list[Action]:
         keys = keys or [rows.columns[0]]
-        return self._replace(table, merge.upsert(self._now(table), rows, keys, updates, order_by, target_unique=False))
+        change = lambda now, source, kind=None: merge.upsert(now, source, keys, updates, order_by, target_unique=False, kind=kind)
+        self._count(table, lambda now, source: change(now, source, _KIND), rows, [merge.INSERTED, merge.UPDATED, merge.UNCHANGED])
+        return self._replace(table, change(self._now(table), rows))
 
     def update(self, table: str, rows: DataFrame, keys, updates, order_by, commit_size: int) -> list[Action]:
-        return self._replace(table, merge.update_matched(self._now(table), rows, keys, updates, order_by))
+        change = lambda now, source, kind=None: merge.update_matched(now, source, keys, updates, order_by, kind=kind)
+        self._count(table, lambda now, source: change(now, source, _KIND), rows, [merge.UPDATED, merge.UNCHANGED])
+        return self._replace(table, change(self._now(table), rows))
 
     def delete(self, table: str, rows: DataFrame, keys, commit_size: int) -> list[Action]:
+        self._count(table, lambda now, source: merge.delete_by_key(now, source, keys, _KIND), rows, [merge.DELETED])
         return self._replace(table, merge.delete_by_key(self._now(table), rows, keys))
 
 
@@ -126,6 +166,12 @@ class JdbcSpace:
     connection: JdbcConnection
     connect: Callable[[], object] | None = None
     parameters: Parameters = default(default_factory=Parameters)
+    writes: list[Counts] = default(default_factory=list)
+
+    def _sent(self) -> external.Sent:
+        sent = external.Sent(self.spark)
+        self.writes.append(sent.counts)
+        return sent
 
     def query(self, sql: str, rows: DataFrame | None, each_row: bool, split: Split | None = None) -> DataFrame:
         if each_row and rows is not None:
@@ -136,7 +182,8 @@ class JdbcSpace:
 
     def execute(self, sql: str, rows: DataFrame | None, each_row: bool) -> list[Action]:
         if each_row and rows is not None:
-            return [lambda: external.exec_each_row(rows, self.connect, sql)]
+            sent = self._sent()
+            return [lambda: external.exec_each_row(rows, self.connect, sql, sent=sent)]
 
         def once() -> None:
             connection = self.connect()
@@ -149,24 +196,27 @@ class JdbcSpace:
         return [once]
 
     def insert(self, table: str, rows: DataFrame, commit_size: int) -> list[Action]:
-        return [lambda: append_jdbc(rows, self.connection, table, commit_size)]
+        counted = Observation()
+        source = rows.observe(counted, F.count(F.lit(1)).alias("sent"))
+        self.writes.append(lambda: {**counted.get, "affected": None} if seen(counted) else None)
+        return [lambda: append_jdbc(source, self.connection, table, commit_size)]
 
     def upsert(self, table: str, rows: DataFrame, keys, updates, order_by, commit_size: int) -> list[Action]:
-        keys, kind = keys or [rows.columns[0]], self.connection.kind
+        keys, kind, sent = keys or [rows.columns[0]], self.connection.kind, self._sent()
         return [
             lambda: external.upsert_external(
-                rows, self.connect, kind, table, keys, updates or (), order_by, commit_size=commit_size
+                rows, self.connect, kind, table, keys, updates or (), order_by, commit_size=commit_size, sent=sent
             )
         ]
 
     def update(self, table: str, rows: DataFrame, keys, updates, order_by, commit_size: int) -> list[Action]:
-        kind = self.connection.kind
+        kind, sent = self.connection.kind, self._sent()
         return [
             lambda: external.update_external(
-                rows, self.connect, kind, table, keys, updates or (), order_by, commit_size=commit_size
+                rows, self.connect, kind, table, keys, updates or (), order_by, commit_size=commit_size, sent=sent
             )
         ]
 
     def delete(self, table: str, rows: DataFrame, keys, commit_size: int) -> list[Action]:
-        kind = self.connection.kind
-        return [lambda: external.delete_external(rows, self.connect, kind, table, keys, commit_size)]
+        kind, sent = self.connection.kind, self._sent()
+        return [lambda: external.delete_external(rows, self.connect, kind, table, keys, commit_size, sent)]

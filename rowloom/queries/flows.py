@@ -272,3 +272,35 @@ def chained_upsert_flow(t):
     build(flow, Context(t.spark)).run()
     tagged = lambda name, place: t.spark.table(name).select(F.lit(place).alias("place"), "k", "v")
     return tagged(first, "first").union(tagged(second, "second"))
+
+
+@query(
+    "write_counts_flow",
+    """WITH s AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0)
+       SELECT 'Up' AS step, count(*) AS processed, count(*) FILTER (k % 3 = 0) AS inserted, count(*) FILTER (k % 3 <> 0 AND k % 2 = 1) AS updated,
+              count(*) FILTER (k % 3 <> 0 AND k % 2 = 0) AS unchanged, NULL::BIGINT AS deleted FROM s
+       UNION ALL SELECT 'Change', count(*), NULL, count(*), 0, NULL FROM s
+       UNION ALL SELECT 'Gone', count(*), NULL, NULL, NULL, count(*) FROM s WHERE k < 50""",
+)
+def write_counts_flow(t):
+    """What the sinks of a flow have written, counted while they wrote."""
+    name = f"flow_{uuid.uuid4().hex}"
+    t.views("customer")
+    t.spark.sql("SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey % 3 <> 0").write.saveAsTable(name)
+    flow = {
+        "Name": "counted",
+        "Steps": [
+            _step("New", "DBInput", SQL="SELECT c_custkey AS k, c_nationkey + c_custkey % 2 AS v FROM customer WHERE c_custkey % 5 <> 0"),
+            _step("Up", "InsertUpdate", TableName=name, KeyFields="k", UpdateFields="v"),
+            _step("More", "DBInput", SQL=f"SELECT k, v + 1 AS v FROM {name} WHERE k % 5 <> 0"),
+            _step("Change", "DBUpdate", TableName=name, KeyFields="k", UpdateFields="v"),
+            _step("Few", "Filter", FieldName="k", Operator="lessThan", Value="50"),
+            _step("Gone", "DBDelete", TableName=name, KeyFields="k"),
+        ],
+        "Connections": _edges("New>Up", "Up>More", "More>Change", "Change>Few", "Few:pass>Gone"),
+    }
+    built = build(flow, Context(t.spark))
+    built.run()
+    names = ["processed", "inserted", "updated", "unchanged", "deleted"]
+    told = [(step, *[counts.get(n) for n in names]) for step, counts in built.write_counts().items()]
+    return t.spark.createDataFrame(told, "step string, " + ", ".join(f"{n} long" for n in names))

@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from rowloom.functions.values import resolve
 from rowloom.operators.join import split_names
@@ -103,6 +104,23 @@ CONNECTIONS = 16
 """Connections that one write opens at once, whatever the number of executors."""
 
 
+class Sent:
+    """Rows that a write has sent and rows that the database says it changed, counted in
+    the write itself; ``affected`` is None where the driver doesn't tell."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        new = spark.sparkContext.accumulator
+        self.rows: Accumulator = new(0)
+        self.changed: Accumulator = new(0)
+        self.untold: Accumulator = new(0)
+        self.done = False
+
+    def counts(self) -> dict[str, int | None] | None:
+        if not self.done:
+            return None
+        return {"sent": self.rows.value, "affected": None if self.untold.value else self.changed.value}
+
+
 def send(
     df: DataFrame,
     connect: Callable[[], object],
@@ -111,14 +129,16 @@ def send(
     commit_size: int = 100,
     connections: int = CONNECTIONS,
     in_order: bool = False,
+    sent: Sent | None = None,
 ) -> None:
     """Run ``statement`` once per row, in batches, over ``connections`` partitions with a
     connection each; ``in_order`` keeps the rows of a partition together.
 
     ``connect`` is called inside the tasks.  Tasks may run again after a loss, so
-    the statement must be idempotent.
+    the statement must be idempotent.  ``sent`` counts the rows of finished tasks.
     """
     names = list(columns)
+    tell = None if sent is None else (sent.rows, sent.changed, sent.untold)
 
     def run(rows: Iterator[Row]) -> None:
         pending = ([row[n] for n in names] for row in rows)
@@ -131,6 +151,10 @@ def send(
             while batch:
                 cursor.executemany(statement, batch)
                 connection.commit()
+                if tell is not None:
+                    affected = getattr(cursor, "rowcount", -1)
+                    tell[0].add(len(batch))
+                    tell[1 if affected >= 0 else 2].add(affected if affected >= 0 else 1)
                 batch = list(islice(pending, commit_size))
         except Exception:
             connection.rollback()
@@ -140,6 +164,8 @@ def send(
 
     rows = df.select(*columns_of(list(dict.fromkeys(names))))
     (rows.rdd.coalesce(connections) if in_order else rows.repartition(connections)).foreachPartition(run)
+    if sent is not None:
+        sent.done = True
 
 
 def _keys(df: DataFrame, keys: str | Sequence[str]) -> list[str]:
@@ -171,6 +197,7 @@ def upsert_external(
     order_by: str | Sequence[str] = (),
     assume_unique: bool = False,
     commit_size: int = 100,
+    sent: Sent | None = None,
 ) -> DataFrame:
     names = _keys(df, keys)
     low = {k.lower() for k in names}
@@ -178,7 +205,7 @@ def upsert_external(
     updates = [c for c in df.columns if c.lower() not in low and (not chosen or c.lower() in {u.lower() for u in chosen})]
     columns = [*names, *updates]
     rows = _reduced(df, names, columns, order_by, assume_unique)
-    send(rows, connect, Statements(kind).upsert(table, columns, names, updates), columns, commit_size)
+    send(rows, connect, Statements(kind).upsert(table, columns, names, updates), columns, commit_size, sent=sent)
     return df
 
 
@@ -192,6 +219,7 @@ def update_external(
     order_by: str | Sequence[str] = (),
     assume_unique: bool = False,
     commit_size: int = 100,
+    sent: Sent | None = None,
 ) -> DataFrame:
     """An update field the source lacks is set to NULL."""
     names = _keys(df, keys)
@@ -201,20 +229,22 @@ def update_external(
     full = df.withColumns(lacking) if lacking else df
     updates = own_names(full, updates, "column")
     rows = _reduced(full, names, [*names, *[u for u in updates if u not in names]], order_by, assume_unique)
-    send(rows, connect, Statements(kind).update(table, names, updates), [*updates, *names], commit_size)
+    send(rows, connect, Statements(kind).update(table, names, updates), [*updates, *names], commit_size, sent=sent)
     return df
 
 
 def delete_external(
-    df: DataFrame, connect: Callable[[], object], kind: str, table: str, keys: str | Sequence[str], commit_size: int = 100
+    df: DataFrame, connect: Callable[[], object], kind: str, table: str, keys: str | Sequence[str], commit_size: int = 100, sent: Sent | None = None
 ) -> DataFrame:
     names = _keys(df, keys)
     gone = df.select(*columns_of(names)).where(all_present(names)).distinct()
-    send(gone, connect, Statements(kind).delete(table, names), names, commit_size)
+    send(gone, connect, Statements(kind).delete(table, names), names, commit_size, sent=sent)
     return df
 
 
-def exec_each_row(df: DataFrame, connect: Callable[[], object], statement: str, commit_size: int = 100) -> DataFrame:
+def exec_each_row(
+    df: DataFrame, connect: Callable[[], object], statement: str, commit_size: int = 100, sent: Sent | None = None
+) -> DataFrame:
     """Run a statement for every row, values bound by column order."""
-    send(df, connect, statement, df.columns, commit_size, in_order=True)
+    send(df, connect, statement, df.columns, commit_size, in_order=True, sent=sent)
     return df

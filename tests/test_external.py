@@ -238,3 +238,34 @@ def test_literals_for_jdbc_queries():
     assert bound_sql("SELECT '?' FROM t WHERE a = ? AND b = ?", [1, "y'"], "oracle") == "SELECT '?' FROM t WHERE a = 1 AND b = 'y'''"
     assert read_options(PG, sql="SELECT * FROM t WHERE a = :{a};", params={"a": 7})["dbtable"] == "(SELECT * FROM t WHERE a = 7) q"
     assert bound_sql("SELECT 1", None, "oracle") == "SELECT 1"
+
+
+class Telling(Recorder):
+    """A connection whose driver tells how many rows a batch has changed."""
+
+    def executemany(self, statement, rows):
+        super().executemany(statement, rows)
+        self.rowcount = sum(row[0] is not None for row in rows)
+
+
+@pytest.mark.parametrize("kind, affected", [(Recorder, None), (Telling, 2)])
+def test_external_writes_are_counted(spark, tmp_path, kind, affected):
+    counted = external.Sent(spark)
+    assert counted.counts() is None
+    external.upsert_external(items(spark), partial(kind, str(tmp_path)), "sqlite", "t", "id", order_by="step", commit_size=1, sent=counted)
+    assert counted.counts() == {"sent": 3, "affected": affected}
+
+    items(spark).createOrReplaceTempView("ext_items")
+    space = JdbcSpace(spark, PG, partial(kind, str(tmp_path)))
+    settings = {"ConnectionId": "pg", "TableName": "t", "KeyFields": "id"}
+    flow = {
+        "Steps": [
+            {"Id": "r", "StepType": "DBInput", "Settings": {"SQL": "SELECT * FROM ext_items"}},
+            {"Id": "d", "StepType": "DBDelete", "Settings": settings},
+        ],
+        "Connections": [{"SourceStepId": "r", "TargetStepId": "d"}],
+    }
+    built = build(flow, Context(spark, {"pg": space}))
+    assert built.write_counts() == {}
+    built.run()
+    assert built.write_counts() == {"d": {"sent": 2, "affected": affected}}

@@ -155,3 +155,41 @@ def test_a_commit_that_was_cut_off_is_finished(spark, table, monkeypatch):
             assert rows(spark.table(other)) == [(1, "a"), (2, "b")]
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {other}")
+
+
+def test_writes_are_counted_on_the_way(spark, table):
+    """Processed, inserted, updated, unchanged and deleted rows of each sink, in a chain."""
+    more = [(2, "x"), (2, "z"), (3, "y"), (1, "a"), (None, "n")]
+    spark.createDataFrame(more, "k long, v string").createOrReplaceTempView("more")
+    steps = flow(
+        step("Read", "DBInput", SQL="SELECT k, v FROM more"),
+        step("Up", "InsertUpdate", TableName=table, KeyFields="k"),
+        step("Some", "DBInput", SQL=f"SELECT k, 'b' AS v FROM {table} WHERE k > 1"),
+        step("Change", "DBUpdate", TableName=table, KeyFields="k"),
+        step("Third", "Filter", FieldName="k", Operator="equals", Value="3"),
+        step("Out", "DBDelete", TableName=table, KeyFields="k"),
+    )
+    built = build(steps, Context(spark))
+    assert built.write_counts() == {}
+    built.run()
+    assert rows(spark.table(table)) == [(1, "a"), (2, "b"), (None, "n")]
+    assert built.write_counts() == {
+        "Up": {"processed": 5, "inserted": 2, "updated": 1, "unchanged": 1},
+        "Change": {"processed": 2, "updated": 2, "unchanged": 0},
+        "Out": {"processed": 1, "deleted": 1},
+    }
+
+
+def test_inserts_are_counted(spark, table):
+    built = build(flow(READ, step("Out", "DBOutput", TableName=table), step("Again", "DBOutput", TableName=table)), Context(spark))
+    built.run()
+    assert spark.table(table).count() == 6
+    assert built.write_counts() == {"Out": {"processed": 2, "inserted": 2}, "Again": {"processed": 2, "inserted": 2}}
+
+
+def test_counts_of_a_target_with_repeated_keys(spark, table):
+    spark.createDataFrame([(2, "b"), (2, "c")], "k long, v string").write.insertInto(table)
+    built = build(flow(READ, step("Out", "InsertUpdate", TableName=table, KeyFields="k")), Context(spark))
+    built.run()
+    assert rows(spark.table(table)) == [(1, "a"), (2, "x"), (2, "x"), (2, "x"), (3, "y")]
+    assert built.write_counts() == {"Out": {"processed": 2, "inserted": 1, "updated": 3, "unchanged": 0}}
