@@ -55,12 +55,31 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def checked(given: dict) -> dict:
+    """A tokenizer file's content; one with settings that would give other ids than a plain
+    byte-level tokenizer's raises."""
+    model, before = given["model"], given.get("pre_tokenizer") or {}
+    off = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    wrong = [f"model.{n}" for n in off if model.get(n)]
+    wrong += [n for n in ("normalizer", "truncation", "padding") if given.get(n)]
+    wrong += [f"added_tokens.{n}" for n in ("single_word", "lstrip", "rstrip") if any(t.get(n) for t in given.get("added_tokens", ()))]
+    if model.get("type", "BPE") != "BPE":
+        wrong.append("model.type")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    if (given.get("decoder") or {}).get("type") != "ByteLevel":
+        wrong.append("decoder")
+    if wrong:
+        raise ValueError(f"not a plain byte-level tokenizer: {', '.join(wrong)}")
+    return given
+
+
 class Vocabulary:
     """Ids, merges and added tokens of a byte-level tokenizer file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
-            given = json.load(f)
+            given = checked(json.load(f))
         model, of = given["model"], byte_symbols()
         self.bytes = {i: bytes(of[c] for c in token) for token, i in model["vocab"].items() if all(c in of for c in token)}
         self.added = {t["content"]: t["id"] for t in given["added_tokens"]}

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rowloom.llm.bpe import pretokens
+from rowloom.llm.bpe import checked, pretokens
 from rowloom.llm.common import give_back, slices, whole
 
 WORDS_KEPT = 500_000
@@ -86,10 +86,13 @@ class WordEncoder:
     tokenizer encodes these independently of each other."""
 
     def __init__(self, path: str) -> None:
+        import json
         import re
 
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            checked(json.load(f))
         # a task has one core; threads of the library's own would take those of others
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
@@ -117,6 +120,24 @@ class WordEncoder:
         return [b"".join(map(known, p)) + end for p in pieces]
 
 
+def stretch(levels: list[bytes], continues: list[bytes], ranks: list[bytes], a: int, b: int) -> np.ndarray:
+    """The ids at places ``a`` to ``b``, of which only the bytes that hold them are read: a
+    rank query for each level finds where the stretch goes on in the next one."""
+    ids = np.frombuffer(levels[0], np.uint8, b - a, a).astype(np.uint32)
+    at = np.arange(b - a)
+    for level, bits in enumerate(continues):
+        if not len(at):
+            break
+        block, low = a // _BLOCK, a & 7
+        before = np.frombuffer(bits, np.uint8, (a >> 3) - block * (_BLOCK // 8), block * (_BLOCK // 8))
+        inside = np.unpackbits(np.frombuffer(bits, np.uint8, (b + 7 >> 3) - (a >> 3), a >> 3), bitorder="little")
+        more = np.flatnonzero(inside[low : low + b - a])
+        a = int(np.frombuffer(ranks[level], np.uint32)[block]) + int(np.bitwise_count(before).sum()) + int(inside[:low].sum())
+        b, at = a + len(more), at[more]
+        ids[at] |= np.frombuffer(levels[level + 1], np.uint8, b - a, a).astype(np.uint32) << np.uint32(8 * (level + 1))
+    return ids
+
+
 @lru_cache(1)
 def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -189,3 +210,31 @@ def read_codes(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
                                                  [id_col, "start", "n_tokens", "ids_crc32"])
 
     return segments.mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+
+
+def tokens(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """Tokens ``first`` up to ``last`` (exclusive) of all documents one after the other, as
+    ``place`` and ``token``; places beyond the end have no rows.
+
+    The segments that hold them are found from their sizes.  The parts of the files are in
+    order, so bounds of the parts are pushed into the scan; in a segment the rank
+    directories lead to the bytes, and nothing else of it is decoded.
+    """
+    files = spark.read.schema(SCHEMA).parquet(path)
+    keys = ["part", "part_null", "segment"]
+    held = with_starts(files.select(*keys, "first", "n_tokens")).where((F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first))
+    ends = held.agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("part_null").alias("null")).first()
+    inside = F.col("part").between(ends["low"], ends["high"]) if ends["low"] is not None else F.lit(False)
+    near = files.where(inside | F.col("part_null") if ends["null"] else inside).drop("first", "n_tokens", "doc_ids", "doc_tokens")
+    starts = held.select(*[F.col(k).alias(f"h_{k}") for k in keys], "start", "n_tokens")
+    same = F.col("part").eqNullSafe(F.col("h_part")) & (F.col("part_null") == F.col("h_part_null")) & (F.col("segment") == F.col("h_segment"))
+    met = near.join(starts, same).select("start", "n_tokens", "levels", "continues", "ranks")
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = max(0, first - row["start"]), min(row["n_tokens"], last - row["start"])
+                found = stretch(row["levels"], row["continues"], row["ranks"], a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b) + row["start"]), pa.array(found.astype(np.int64))], ["place", "token"])
+
+    return met.mapInArrow(run, "place long, token long")

@@ -45,6 +45,8 @@ STEMS = range(4, 11)
 FUZZY_LETTERS = 5
 """Shorter terms must match exactly."""
 QUOTE_WORDS = 12
+STATES_KEPT = 20_000
+"""States of the automaton that a task remembers; when there are more it builds them anew."""
 THRESHOLD = 0.7
 
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -73,10 +75,14 @@ class Automaton:
                     self.deep.append(self.deep[node] + 1)
                 node = self.children[node][c]
             self.ends[node] = (number, stem)
+        self.known: dict[str, tuple] = {}
+        self._anew()
+
+    def _anew(self) -> None:
+        """Forgets all states but the first; they are made as words ask for them."""
         self.states: list[tuple[frozenset, tuple, tuple]] = []
         self.numbers: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
-        self.known: dict[str, tuple] = {}
         self.start = self._state(self._closed({(0, 0)}))
 
     def _closed(self, nodes: set) -> frozenset:
@@ -109,6 +115,8 @@ class Automaton:
         """(term, edits) of each term that matches, with its least edits."""
         if word in self.known:
             return self.known[word]
+        if len(self.states) > STATES_KEPT:
+            self._anew()
         best: dict[int, int] = {}
         state = self.start
         for c in word:

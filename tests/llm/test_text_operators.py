@@ -97,6 +97,22 @@ def test_bpe_refuses_merges_out_of_order(tmp_path, vocabulary):
         bpe.Vocabulary(str(path))
 
 
+@pytest.mark.parametrize("change", [
+    {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}},
+    {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}}, {"decoder": None}, {"model.byte_fallback": True},
+    {"model.end_of_word_suffix": "</w>"}, {"model.ignore_merges": True}, {"model.type": "WordPiece"}, {"added.lstrip": True}, {"padding": {"strategy": "BatchLongest"}}])
+def test_other_tokenizer_files_are_refused(tmp_path, vocabulary, change):
+    given = json.load(open(vocabulary))
+    for name, value in change.items():
+        first, _, rest = name.partition(".")
+        (given["added_tokens"][0] if first == "added" else given[first] if rest else given)[rest or first] = value
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(given))
+    for reader in (bpe.Vocabulary, token_codes.WordEncoder):
+        with pytest.raises(ValueError, match="byte-level"):
+            reader(str(path))
+
+
 def test_codes_round_trip(spark, docs, none, vocabulary, library):
     path = common.scratch_path(spark, "test")
     token_codes.write_codes(docs, path, vocabulary)
@@ -107,8 +123,13 @@ def test_codes_round_trip(spark, docs, none, vocabulary, library):
         expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert by_row(token_codes.read_codes(spark, path), "start", "n_tokens", "ids_crc32") == sorted(expected, key=str)
+    flat = [i for _, t, *_ in rows for i in library.encode(t or "", add_special_tokens=False).ids + [0]]
+    for a, b in ((0, at), (0, 1), (at - 1, at + 9), (5, 5), (at + 1, at + 7), (at // 3, at // 2), (at // 2, at // 2 + 3)):
+        found = sorted(map(tuple, token_codes.tokens(spark, path, a, b).collect()))
+        assert found == [(k, flat[k]) for k in range(a, min(b, at))]
     empty = common.scratch_path(spark, "test")
     token_codes.write_codes(none, empty, vocabulary)
+    assert token_codes.tokens(spark, empty, 0, 5).count() == 0
     assert token_codes.read_codes(spark, empty).count() == 0
 
 
@@ -119,6 +140,8 @@ def test_codes_random_access(high):
     levels, continues, ranks = token_codes.coded(ids)
     assert (token_codes.decoded(levels, continues) == ids).all()
     assert [token_codes.token_at(levels, continues, ranks, k) for k in range(len(ids))] == ids.tolist()
+    for a, b in [(0, 3000), (0, 0), (3000, 3000), (511, 513), (512, 1024), (1, 2), (2999, 3000), *[sorted(R.sample(range(3001), 2)) for _ in range(50)]]:
+        assert token_codes.stretch(levels, continues, ranks, a, b).tolist() == ids[a:b].tolist()
 
 
 # ---- toxicity ----
@@ -132,6 +155,34 @@ def test_automaton_matches_one_edit():
     assert not of("marrn") and not of("loser") and not of("") and not of("zdiot")
 
 
+def edits(word, term):
+    before = list(range(len(term) + 1))
+    for i, x in enumerate(word, 1):
+        now = [i]
+        for j, y in enumerate(term, 1):
+            now.append(min(before[j] + 1, now[j - 1] + 1, before[j - 1] + (x != y)))
+        before = now
+    return before[-1]
+
+
+@pytest.mark.parametrize("kept", [20_000, 5])
+def test_automaton_equals_levenshtein(monkeypatch, kept):
+    """Whole terms against the plain distance, also when states are forgotten all the time."""
+    monkeypatch.setattr(toxicity, "STATES_KEPT", kept)
+    r = random.Random(21)
+    terms = sorted({"".join(r.choice("abcd") for _ in range(r.randint(2, 8))) for _ in range(40)})
+    a = toxicity.Automaton(terms, first=True)
+    for _ in range(3000):
+        word = list(r.choice(terms)) if r.random() < 0.7 else []
+        for _ in range(r.randint(0, 3)):
+            at = r.randint(0, len(word))
+            word[at : at + r.randint(0, 1)] = [r.choice("abcd1")] * r.randint(0, 1)
+        word = "".join(word)
+        near = {k: edits(word, t) for k, t in enumerate(terms)}
+        assert dict(a.match(word)) == {k: e for k, e in near.items() if e == 0 or e == 1 and len(terms[k]) >= toxicity.FUZZY_LETTERS}, word
+        assert len(a.states) <= kept + 20
+
+
 def test_edits_at_any_letter_and_by_any_sign():
     import pyarrow as pa
 
